@@ -18,55 +18,71 @@ from rowtrail.plans import cut, join_small
 # Reachability. Walking parents level by level costs one job per generation, and Spark's recursive
 # CTE does the same (and has no UNION to drop paths met twice). Instead commits are indexed once
 # into chains: a chain follows first parents, so what a ref reaches inside a chain is always its
-# lower end, and the search moves by whole chains. Indexing takes log2(longest chain) joins,
-# searching as many joins as merges nest.
+# lower end, and the search moves by whole chains. A commit's chain continues with the child that
+# has most descendants, so a line of first parents changes chains at most log2(commits) times.
+# All steps double their reach: indexing takes about 2 log2(longest line) rounds.
 # ---------------------------------------------------------------------------------------------
 
 
+def _key_or_own(link: str):
+    """Join key of a link; rows without one get a key of their own instead of all sharing NULL."""
+    return F.coalesce(F.col(link), F.concat(F.lit("\x00"), "commit_id"))
+
+
+def _line_sizes(links: DataFrame) -> DataFrame:
+    """(commit_id, size): how many commits descend from each one by first parents, itself included."""
+    jump = cut(links.select("commit_id", F.col("first").alias("up"), F.lit(1).cast("bigint").alias("size")))
+    while not jump.filter(F.col("up").isNotNull()).isEmpty():
+        below = jump.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("commit_id"))
+        below = below.agg(F.sum("size").alias("_below"))
+        target = jump.select(F.col("commit_id").alias("_key"), F.col("up").alias("_next"))
+        grown = jump.join(below, "commit_id", "left").withColumn("_key", _key_or_own("up"))
+        size = F.col("size") + F.coalesce("_below", F.lit(0))
+        jump = cut(grown.join(target, "_key", "left").select("commit_id", F.col("_next").alias("up"), size.alias("size")))
+    return jump.select("commit_id", "size")
+
+
+def _chain_places(links: DataFrame) -> DataFrame:
+    """(commit_id, chain, pos) out of links to the commit before on the chain (``up``, NULL at its start)."""
+    start = F.col("up").isNull()
+    jump = cut(
+        links.select(
+            "commit_id", "up", F.when(start, F.col("commit_id")).alias("chain"), F.when(start, 0).otherwise(1)
+            .cast("bigint").alias("pos"),
+        )
+    )
+    # Commits of one chain always point at different commits, so no join key is hot.
+    while not jump.filter(F.col("chain").isNull()).isEmpty():
+        target = jump.select(
+            F.col("commit_id").alias("_key"), F.col("up").alias("_up"), F.col("chain").alias("_chain"),
+            F.col("pos").alias("_pos"),
+        )
+        open_ = F.col("chain").isNull()
+        moved = jump.withColumn("_key", _key_or_own("up")).join(target, "_key", "left")
+        jump = cut(
+            moved.select(
+                "commit_id",
+                F.when(open_ & F.col("_chain").isNull(), F.col("_up")).alias("up"),
+                F.coalesce("chain", "_chain").alias("chain"),
+                (F.col("pos") + F.when(open_, F.col("_pos")).otherwise(0)).alias("pos"),
+            )
+        )
+    return jump.select("commit_id", "chain", "pos")
+
+
 def index_commits(commits: DataFrame) -> DataFrame:
     """(commit_id, commit_no, parent_ids, chain, pos): chain membership of every commit.
 
     Build it once per commit table, store it, and pass it to the functions below.
     """
+    base = commits.select("commit_id", "commit_no", "parent_ids")
     first = F.try_element_at("parent_ids", F.lit(1))
-    base = commits.select("commit_id", "commit_no", "parent_ids", first.alias("_first"))
-    # Each commit continues the chain of its first parent unless an earlier child already does.
-    heirs = (
-        base.filter(F.col("_first").isNotNull())
-        .groupBy("_first")
-        .agg(F.min_by("commit_id", F.struct("commit_no", "commit_id")).alias("commit_id"))
-        .select("commit_id", F.lit(True).alias("_heir"))
-    )
-    up = F.when(F.col("_heir"), F.col("_first"))
-    links = base.join(heirs, "commit_id", "left").select("commit_id", up.alias("up"))
-    roots = cut(links.filter(F.col("up").isNull()).select("commit_id", F.col("commit_id").alias("chain"),
-                                                          F.lit(0).cast("bigint").alias("pos")))
-    done = [roots]
-    known = roots
-    active = cut(links.filter(F.col("up").isNotNull()).withColumn("d", F.lit(1).cast("bigint")))
-    # Pointer jumping. Every active commit of a chain points at a different commit, so no join
-    # key is hot; a commit leaves the active set once it points at a finished one.
-    while not active.isEmpty():
-        target = known.select(F.col("commit_id").alias("up"), "chain", F.col("pos").alias("_pos"))
-        met = active.join(target, "up", "left")
-        met = cut(met)
-        finished = met.filter(F.col("chain").isNotNull()).select(
-            "commit_id", "chain", (F.col("d") + F.col("_pos")).alias("pos")
-        )
-        still = met.filter(F.col("chain").isNull()).select("commit_id", "up", "d")
-        hop = still.select(F.col("commit_id").alias("up"), F.col("up").alias("_up2"), F.col("d").alias("_d2"))
-        ahead = still.join(hop, "up", "left").select(
-            "commit_id",
-            F.coalesce("_up2", "up").alias("up"),
-            (F.col("d") + F.coalesce("_d2", F.lit(0))).alias("d"),
-        )
-        done.append(finished)
-        known = known.union(finished)
-        active = cut(ahead)
-    placed = done[0]
-    for part in done[1:]:
-        placed = placed.union(part)
-    return cut(base.drop("_first").join(placed, "commit_id"))
+    links = cut(base.select("commit_id", first.alias("first")))
+    sized = links.filter(F.col("first").isNotNull()).join(_line_sizes(links), "commit_id")
+    heirs = sized.groupBy("first").agg(F.max_by("commit_id", F.struct("size", "commit_id")).alias("commit_id"))
+    heirs = heirs.select("commit_id", F.col("first").alias("up"))
+    places = _chain_places(links.select("commit_id").join(heirs, "commit_id", "left"))
+    return cut(base.join(places, "commit_id"))
 
 
 def _crossings(index: DataFrame) -> DataFrame:
