@@ -114,7 +114,8 @@ def packed_key(df: DataFrame, keys: list[str]) -> Column:
 
 
 def _urlsafe(data: Column) -> Column:
-    return F.translate(F.base64(data), "+/", "-_")
+    # Spark breaks long base-64 text into lines; the breaks have no counterpart and are dropped.
+    return F.translate(F.base64(data), "+/\r\n", "-_")
 
 
 def pk_filename(df: DataFrame, keys: list[str]) -> Column:

@@ -29,44 +29,54 @@ def _key_or_own(link: str):
     return F.coalesce(F.col(link), F.concat(F.lit("\x00"), "commit_id"))
 
 
+# Doubling steps taken between two written tables; more of them save jobs and make larger plans.
+STEPS = 2
+
+
 def _line_sizes(links: DataFrame) -> DataFrame:
     """(commit_id, size): how many commits descend from each one by first parents, itself included."""
-    jump = cut(links.select("commit_id", F.col("first").alias("up"), F.lit(1).cast("bigint").alias("size")))
-    while not jump.filter(F.col("up").isNotNull()).isEmpty():
+
+    def double(jump: DataFrame) -> DataFrame:
         below = jump.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("commit_id"))
         below = below.agg(F.sum("size").alias("_below"))
         target = jump.select(F.col("commit_id").alias("_key"), F.col("up").alias("_next"))
         grown = jump.join(below, "commit_id", "left").withColumn("_key", _key_or_own("up"))
         size = F.col("size") + F.coalesce("_below", F.lit(0))
-        jump = cut(grown.join(target, "_key", "left").select("commit_id", F.col("_next").alias("up"), size.alias("size")))
+        return grown.join(target, "_key", "left").select("commit_id", F.col("_next").alias("up"), size.alias("size"))
+
+    jump = links.select("commit_id", F.col("first").alias("up"), F.lit(1).cast("bigint").alias("size"))
+    while not jump.filter(F.col("up").isNotNull()).isEmpty():
+        for _ in range(STEPS):
+            jump = double(jump)
+        jump = cut(jump)
     return jump.select("commit_id", "size")
 
 
 def _chain_places(links: DataFrame) -> DataFrame:
     """(commit_id, chain, pos) out of links to the commit before on the chain (``up``, NULL at its start)."""
-    start = F.col("up").isNull()
-    jump = cut(
-        links.select(
-            "commit_id", "up", F.when(start, F.col("commit_id")).alias("chain"), F.when(start, 0).otherwise(1)
-            .cast("bigint").alias("pos"),
-        )
-    )
-    # Commits of one chain always point at different commits, so no join key is hot.
-    while not jump.filter(F.col("chain").isNull()).isEmpty():
+
+    def double(jump: DataFrame) -> DataFrame:
+        # Commits of one chain always point at different commits, so no join key is hot.
         target = jump.select(
             F.col("commit_id").alias("_key"), F.col("up").alias("_up"), F.col("chain").alias("_chain"),
             F.col("pos").alias("_pos"),
         )
         open_ = F.col("chain").isNull()
         moved = jump.withColumn("_key", _key_or_own("up")).join(target, "_key", "left")
-        jump = cut(
-            moved.select(
-                "commit_id",
-                F.when(open_ & F.col("_chain").isNull(), F.col("_up")).alias("up"),
-                F.coalesce("chain", "_chain").alias("chain"),
-                (F.col("pos") + F.when(open_, F.col("_pos")).otherwise(0)).alias("pos"),
-            )
+        return moved.select(
+            "commit_id",
+            F.when(open_ & F.col("_chain").isNull(), F.col("_up")).alias("up"),
+            F.coalesce("chain", "_chain").alias("chain"),
+            (F.col("pos") + F.when(open_, F.col("_pos")).otherwise(0)).alias("pos"),
         )
+
+    start = F.col("up").isNull()
+    pos = F.when(start, 0).otherwise(1).cast("bigint")
+    jump = cut(links.select("commit_id", "up", F.when(start, F.col("commit_id")).alias("chain"), pos.alias("pos")))
+    while not jump.filter(F.col("chain").isNull()).isEmpty():
+        for _ in range(STEPS):
+            jump = double(jump)
+        jump = cut(jump)
     return jump.select("commit_id", "chain", "pos")
 
 

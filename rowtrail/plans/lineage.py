@@ -29,8 +29,12 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` to a table in the shared folder and return a DataFrame that reads it back.
+
+    A written table is computed once, survives lost executors, and has a known size, so later joins
+    with it can be planned by that size.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
