@@ -10,15 +10,22 @@ import sys
 
 # What counts as a number: an optional sign, then digits with an optional fraction and exponent,
 # or the words for infinity and not-a-number. Narrower than Spark's cast, which takes "1d".
-NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
+_NUMBER = r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))"
+# First coordinate of a WKT text: from after the first "(" up to the next "," or ")".
+_FIRST_COORD = rf"^[^(]*\(\s*({_NUMBER})\s+({_NUMBER})(?:\s[^,)]*)?[,)]"
 
-# Bytes of an envelope of each type, after the eight header bytes.
-ENVELOPE_BYTES = {0: 0, 1: 32, 2: 48, 3: 48, 4: 64}
+# Bytes of an envelope of type 0 to 4, after the eight header bytes.
+ENVELOPE_BYTES = [0, 32, 48, 48, 64]
 
 
 def number(text: Column) -> Column:
     """Double of a text that is a plain number, else NULL."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.regexp_extract(text, f"^({_NUMBER})$", 1).try_cast("double")
+
+
+def _first_xy(wkt: Column) -> list[Column]:
+    """x and y of the first coordinate, both NULL when it does not parse."""
+    return [F.regexp_extract(wkt, _FIRST_COORD, i + 1).try_cast("double").alias(n) for i, n in enumerate("xy")]
 
 
 def first_coord(wkt: Column) -> Column:
@@ -27,11 +34,8 @@ def first_coord(wkt: Column) -> Column:
     Reads from after the first ``(`` up to the next ``,`` or ``)`` and needs two blank-separated
     numbers, so a polygon's double bracket never parses.
     """
-    inner = F.regexp_extract(wkt, r"^[^(]*\(([^,)]*)[,)]", 1)
-    parts = F.split(F.trim(F.regexp_replace(inner, r"\s+", " ")), " ")
-    x = number(F.try_element_at(parts, F.lit(1)))
-    y = number(F.try_element_at(parts, F.lit(2)))
-    return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+    x, y = _first_xy(wkt)
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(x, y))
 
 
 def parse_bbox(text: Column) -> Column:
@@ -48,6 +52,16 @@ def in_bbox(x: Column, y: Column, bbox) -> Column:
     return x.isNull() | y.isNull() | (inside & ~F.isnan(x) & ~F.isnan(y))
 
 
+def wkt_in_bbox(wkt: Column, bbox) -> Column:
+    """:func:`in_bbox` of the first coordinate of a WKT text.
+
+    The coordinate is bound to a lambda variable: a filter would otherwise repeat the text matching
+    for every comparison.
+    """
+    point = F.array(F.struct(*_first_xy(wkt)))
+    return F.exists(point, lambda p: in_bbox(p["x"], p["y"], bbox))
+
+
 def gpkg_header(data: Column) -> Column:
     """Struct (status, envelope_type, wkb) of a GeoPackage geometry blob.
 
@@ -55,10 +69,8 @@ def gpkg_header(data: Column) -> Column:
     """
     size = F.octet_length(data)
     flags = F.conv(F.hex(F.substring(data, 4, 1)), 16, 10).cast("int")
-    kind = F.when(size >= 4, F.shiftright(flags, 1).bitwiseAND(7))
-    offset = F.lit(None).cast("int")
-    for envelope, n_bytes in ENVELOPE_BYTES.items():
-        offset = F.when(kind == envelope, 8 + n_bytes).otherwise(offset)
+    kind = F.shiftright(flags, 1).bitwiseAND(7)
+    offset = F.get(F.array(*[F.lit(8 + n) for n in ENVELOPE_BYTES]), kind)
     status = (
         F.when(size < 8, "too_short")
         .when(F.hex(F.substring(data, 1, 2)) != "4750", "bad_magic")
@@ -102,9 +114,7 @@ def gpkg_wrap(wkb: Column, envelope: list[Column] | None = None, kind: int | Non
 def read_envelope(data: Column) -> Column:
     """Array of the envelope's doubles, NULL without a valid envelope."""
     head = gpkg_header(data)
-    length = F.lit(0)
-    for envelope, n_bytes in ENVELOPE_BYTES.items():
-        length = F.when(head.envelope_type == envelope, n_bytes).otherwise(length)
+    length = F.coalesce(F.get(F.array(*map(F.lit, ENVELOPE_BYTES)), head.envelope_type), F.lit(0))
     body = F.when((head.status == "ok") & (length > 0), F.substring(data, F.lit(9), length))
     return unpack_envelope(body)
 

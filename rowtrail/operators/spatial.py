@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtrail.functions.geometry import first_coord, in_bbox, read_envelope
+from rowtrail.functions.geometry import read_envelope, wkt_in_bbox
 from rowtrail.plans import join_small
 
 Box = tuple[float, float, float, float]
@@ -21,15 +21,13 @@ def bbox_filter(df: DataFrame, geometry: str | None, bbox: Box | None) -> DataFr
     """
     if geometry is None or bbox is None or df.schema[geometry].dataType.typeName() == "binary":
         return df
-    xy = first_coord(F.col(geometry))
-    return df.withColumn("_xy", xy).filter(in_bbox(F.col("_xy.x"), F.col("_xy.y"), bbox)).drop("_xy")
+    return df.filter(wkt_in_bbox(F.col(geometry), bbox))
 
 
 def bbox_filter_report(df: DataFrame, geometry: str, bbox: Box, dataset: str = "dataset") -> DataFrame:
     """``kept`` and ``total`` rows per dataset."""
-    xy = df.select(dataset, first_coord(F.col(geometry)).alias("_xy"))
-    kept = F.count_if(in_bbox(F.col("_xy.x"), F.col("_xy.y"), bbox))
-    return xy.groupBy(dataset).agg(kept.alias("kept"), F.count(F.lit(1)).alias("total"))
+    kept = F.count_if(wkt_in_bbox(F.col(geometry), bbox))
+    return df.groupBy(dataset).agg(kept.alias("kept"), F.count(F.lit(1)).alias("total"))
 
 
 def filter_by_envelope(df: DataFrame, column: str, bbox: Box) -> DataFrame:
