@@ -192,8 +192,8 @@ QUERIES = {
 _MARKS = "['.table-dataset', '.file-dataset', '.point-cloud-dataset.v1', '.raster-dataset.v1']"
 _FOUND = (
     "p AS (SELECT string_split(path, '/') AS p FROM {paths}), f AS (SELECT p[1:len(p) - 1] AS f FROM p),"
-    f" m AS (SELECT f, list_filter(range(1, len(f) + 1), lambda i: list_contains({_MARKS}, f[i]))[1] AS at FROM f),"
-    " n AS (SELECT f[1:at - 1] AS above, f[at] AS mark FROM m WHERE at IS NOT NULL),"
+    f" m AS (SELECT f, list_filter(range(1, len(f) + 1), lambda i: list_contains({_MARKS}, f[i]))[1] AS spot FROM f),"
+    " n AS (SELECT f[1:spot - 1] AS above, f[spot] AS mark FROM m WHERE spot IS NOT NULL),"
     " found AS (SELECT DISTINCT array_to_string(above, '/') AS name, CASE mark WHEN '.table-dataset' THEN 'table'"
     " WHEN '.file-dataset' THEN 'file' WHEN '.raster-dataset.v1' THEN 'raster' ELSE 'point cloud' END AS kind FROM n"
     " WHERE len(list_filter(above, lambda p: starts_with(p, '.') OR p = 'target' OR p LIKE '%.gpkg')) = 0)"

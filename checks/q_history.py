@@ -17,10 +17,10 @@ CUSTOMER = ["c_custkey"]
 CUSTOMER_VALUES = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 TOPIC = "topic/75"
 
-_indexes: dict[tuple[str, str], DataFrame] = {}
+_indexes: dict[tuple[str, str], H.CommitIndex] = {}
 
 
-def index(spark, sf) -> DataFrame:
+def index(spark, sf) -> H.CommitIndex:
     """The commit index, built once per session and folder as a user would store it."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _indexes:

@@ -93,8 +93,9 @@ def m9(spark, sf):
 
 
 def m10(spark, sf):
-    merged = M.merge_table(*sides(spark, sf), KEY)
-    return M.finish_merge(merged, M.resolve(M.list_conflicts(merged), KEY, "theirs"), KEY)
+    merged = rows(spark, sf)
+    resolutions = M.resolve(M.list_conflicts(merged), KEY, "theirs")
+    return M.finish_merge(given(spark, sf, "orders"), merged, resolutions, KEY)
 
 
 QUERIES = {

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F
-import sys
+from pyspark.sql import Column, functions as F, types as T
 
 # What counts as a number: an optional sign, then digits with an optional fraction and exponent,
 # or the words for infinity and not-a-number. Narrower than Spark's cast, which takes "1d".
@@ -84,13 +85,13 @@ def gpkg_header(data: Column) -> Column:
     return F.when(data.isNotNull(), fields)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_envelope(values: pd.Series) -> pd.Series:
     """Little-endian bytes of an array of doubles."""
     return values.map(lambda v: None if v is None else np.asarray(v, dtype="<f8").tobytes())
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def unpack_envelope(data: pd.Series) -> pd.Series:
     """Array of doubles out of little-endian bytes."""
     return data.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f8"))

@@ -100,27 +100,39 @@ def write_snapshot(df: DataFrame, keys: list[str], path: str, buckets: int = BUC
     leaves.sortWithinPartitions("bucket", "dir").write.mode("overwrite").parquet(f"{path}/dirs")
 
 
+# Changed directories up to this many are handed to the scan as a list.
+MAX_LISTED_DIRS = 100_000
+
+
 def diff_snapshots(
     spark: SparkSession, path_a: str, path_b: str, keys: list[str], names: list[str] | None = None
 ) -> DataFrame:
     """Delta between two stored snapshots with the same bucket count, reading changed buckets only.
 
-    The driver learns the numbers of the changed buckets, never more than the bucket count, so the
-    scan prunes partitions before any row is read.
+    The driver learns the changed directories while they stay within ``MAX_LISTED_DIRS``, and beyond
+    that only the numbers of the changed buckets, never more than the bucket count. The scan prunes
+    partitions by them before any row is read.
     """
     dirs_a = spark.read.parquet(f"{path_a}/dirs")
-    dirs_b = spark.read.parquet(f"{path_b}/dirs").withColumnsRenamed({"digest": "digest_b"})
+    dirs_b = spark.read.schema(dirs_a.schema).parquet(f"{path_b}/dirs").withColumnRenamed("digest", "digest_b")
     changed = dirs_a.join(dirs_b, ["bucket", "dir"], "full").filter(
         ~F.col("digest").eqNullSafe(F.col("digest_b"))
-    )
-    buckets = [r[0] for r in changed.select("bucket").distinct().collect()]
+    ).select("bucket", "dir")
+    listed = changed.limit(MAX_LISTED_DIRS + 1).collect()
+    if len(listed) <= MAX_LISTED_DIRS:
+        buckets = sorted({r["bucket"] for r in listed})
+        leaves = F.broadcast(spark.createDataFrame(listed, changed.schema).select("dir"))
+    else:
+        buckets = [r[0] for r in changed.select("bucket").distinct().collect()]
+        leaves = None
+    schema = spark.read.parquet(f"{path_b}/rows").schema
+    keep = names or [c for c in schema.names if c not in ("dir", "digest", "bucket")]
     sides = []
     for path in (path_a, path_b):
-        rows = spark.read.parquet(f"{path}/rows").filter(F.col("bucket").isin(buckets))
-        sides.append(rows.drop("bucket", "digest"))
-    leaves = changed.select("dir")
-    keep = names or [c for c in sides[1].columns if c != "dir"]
-    pruned = [
-        join_small(df, leaves, ["dir"], "left_semi", salts=16, salt_by=keys).select(*keep) for df in sides
-    ]
-    return diff_rows(*pruned, keys, keys_not_null=True)
+        rows = spark.read.schema(schema).parquet(f"{path}/rows").filter(F.col("bucket").isin(buckets))
+        if leaves is not None:
+            rows = rows.join(leaves, "dir", "left_semi")
+        else:
+            rows = join_small(rows, changed.select("dir"), ["dir"], "left_semi", salts=16, salt_by=keys)
+        sides.append(rows.select(*keep))
+    return diff_rows(*sides, keys, keys_not_null=True)

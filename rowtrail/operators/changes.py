@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtrail.functions.address import row_digest
 from rowtrail.operators.diff import diff_rows, prefix_filter
-from rowtrail.plans import join_small
+from rowtrail.plans import cut, join_small
 
 OPS = ["D", "I", "U"]
 
@@ -49,16 +49,21 @@ def net_changes(change_log: DataFrame) -> DataFrame:
 
 
 def replace_rows(base: DataFrame, net: DataFrame, upserts: DataFrame, keys: list[str]) -> DataFrame:
-    """``base`` without the keys of ``net``, plus ``upserts``.
+    """``base`` without the keys of ``net``, plus ``upserts``; keys are not NULL.
 
-    A net change set proven small is broadcast, so ``base`` is only scanned.
+    A net change set proven small is broadcast, so ``base`` is only scanned. Callers write ``net``
+    first, because measuring it reads it once more.
     """
     kept = join_small(base, net.select(*keys), keys, "left_anti")
     return kept.unionByName(upserts, allowMissingColumns=True).select(*base.columns)
 
 
 def apply_net(base: DataFrame, net: DataFrame, current: DataFrame, key: str) -> DataFrame:
-    """Replay of net changes (key column and ``op``) with values read from ``current``."""
+    """Replay of net changes (key column and ``op``) with values read from ``current``.
+
+    The net changes are used several times, so they are written once.
+    """
+    net = cut(net)
     upserts = net.filter(F.col("op") != "D").select(key).join(current, key, "left")
     return replace_rows(base, net, upserts, [key])
 
@@ -98,7 +103,7 @@ def selective_sync(
     """
     chosen, pending = split_by_filters(change_log, filters)
     net = net_changes(chosen)
-    net = net.select("table_name", F.col("pk").cast(base.schema[key].dataType).alias(key), "op")
+    net = cut(net.select("table_name", F.col("pk").cast(base.schema[key].dataType).alias(key), "op"))
     keys = ["table_name", key]
     upserts = net.filter(F.col("op") != "D").select(*keys).join(current, keys, "left")
     return replace_rows(base, net, upserts, keys), pending

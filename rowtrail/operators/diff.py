@@ -51,6 +51,17 @@ def delta_of(joined: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     )
 
 
+def full_join(left: DataFrame, right: DataFrame, keys: list[str], keys_not_null: bool = False) -> DataFrame:
+    """Full outer join by NULL-safe keys; each key column comes out once."""
+    if keys_not_null:
+        return left.join(right, keys, "full")
+    others = [c for df in (left, right) for c in df.columns if c not in keys]
+    left = left.withColumnsRenamed({k: f"_left_{k}" for k in keys})
+    matches = [F.col(f"_left_{k}").eqNullSafe(F.col(k)) for k in keys]
+    joined = left.join(right, matches, "full")
+    return joined.select(*[F.coalesce(F.col(k), F.col(f"_left_{k}")).alias(k) for k in keys], *others)
+
+
 def diff_rows(old: DataFrame, new: DataFrame, keys: list[str], keys_not_null: bool = False) -> DataFrame:
     """Delta from ``old`` to ``new``; keys must be unique on each side.
 
@@ -60,14 +71,7 @@ def diff_rows(old: DataFrame, new: DataFrame, keys: list[str], keys_not_null: bo
     names = value_columns(old, new, keys)
     left = old.select(*keys, row_struct(old, names, new).alias("old"))
     right = new.select(*keys, row_struct(new, names, old).alias("new"))
-    if keys_not_null:
-        return delta_of(left.join(right, keys, "full"), keys, names)
-    left = left.withColumnsRenamed({k: f"_old_{k}" for k in keys})
-    matches = [F.col(f"_old_{k}").eqNullSafe(F.col(k)) for k in keys]
-    joined = left.join(right, matches, "full").select(
-        *[F.coalesce(F.col(k), F.col(f"_old_{k}")).alias(k) for k in keys], "old", "new"
-    )
-    return delta_of(joined, keys, names)
+    return delta_of(full_join(left, right, keys, keys_not_null), keys, names)
 
 
 def filter_delta(delta: DataFrame, op: str) -> DataFrame:

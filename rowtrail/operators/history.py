@@ -7,6 +7,8 @@ columns, op and a ``new`` struct; a commit holds at most one delta row per key.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtrail.functions.text import short_hash
@@ -80,65 +82,70 @@ def _chain_places(links: DataFrame) -> DataFrame:
     return jump.select("commit_id", "chain", "pos")
 
 
-def index_commits(commits: DataFrame) -> DataFrame:
-    """(commit_id, commit_no, parent_ids, chain, pos): chain membership of every commit.
+class CommitIndex(NamedTuple):
+    """Two tables worth storing next to the commits.
+
+    ``places``: commit_id, commit_no, chain, pos. ``crossings``: parent links that leave a chain, as
+    chain and pos of the child and to_chain and to_pos of the parent.
+    """
+
+    places: DataFrame
+    crossings: DataFrame
+
+
+def index_commits(commits: DataFrame) -> CommitIndex:
+    """Chain membership of every commit and the links between chains, both as written tables.
 
-    Build it once per commit table, store it, and pass it to the functions below.
+    Build it once per commit table and pass it to the functions below.
     """
-    base = commits.select("commit_id", "commit_no", "parent_ids")
     first = F.try_element_at("parent_ids", F.lit(1))
-    links = cut(base.select("commit_id", first.alias("first")))
+    links = cut(commits.select("commit_id", first.alias("first")))
     sized = links.filter(F.col("first").isNotNull()).join(_line_sizes(links), "commit_id")
     heirs = sized.groupBy("first").agg(F.max_by("commit_id", F.struct("size", "commit_id")).alias("commit_id"))
     heirs = heirs.select("commit_id", F.col("first").alias("up"))
-    places = _chain_places(links.select("commit_id").join(heirs, "commit_id", "left"))
-    return cut(base.join(places, "commit_id"))
-
-
-def _crossings(index: DataFrame) -> DataFrame:
-    """Parent links that leave a chain: (chain, pos) of the child, chain and position of the parent."""
-    links = index.select("chain", "pos", F.explode("parent_ids").alias("commit_id"))
-    parents = index.select("commit_id", F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
-    return links.join(parents, "commit_id").filter(F.col("chain") != F.col("to_chain")).drop("commit_id")
+    chains = _chain_places(links.select("commit_id").join(heirs, "commit_id", "left"))
+    places = cut(commits.select("commit_id", "commit_no").join(chains, "commit_id"))
+    children = commits.select("commit_id", F.explode("parent_ids").alias("_parent"))
+    children = children.join(places.select("commit_id", "chain", "pos"), "commit_id").drop("commit_id")
+    parents = places.select(
+        F.col("commit_id").alias("_parent"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos")
+    )
+    crossings = children.join(parents, "_parent").filter(F.col("chain") != F.col("to_chain")).drop("_parent")
+    return CommitIndex(places, cut(crossings))
 
 
-def reach(index: DataFrame, refs: DataFrame) -> DataFrame:
+def reach(index: CommitIndex, refs: DataFrame) -> DataFrame:
     """(name, chain, top): for every ref, the chains it reaches and the highest position there."""
-    crossings = cut(_crossings(index))
-    start = refs.join(index, "commit_id").select("name", "chain", F.col("pos").alias("top"))
+    start = refs.join(index.places, "commit_id").select("name", "chain", F.col("pos").alias("top"))
     fresh = cut(start.withColumn("bottom", F.lit(-1).cast("bigint")))
-    state = fresh.select("name", "chain", "top")
+    found = fresh.select("name", "chain", "top")
     while not fresh.isEmpty():
         # Only the part of a chain that is new in this round is followed further.
         inside = (F.col("pos") <= F.col("top")) & (F.col("pos") > F.col("bottom"))
-        found = (
-            crossings.join(fresh, "chain").filter(inside)
+        met = (
+            index.crossings.join(fresh, "chain").filter(inside)
             .groupBy("name", F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("top"))
         )
-        before = state.withColumnRenamed("top", "bottom")
-        better = found.join(before, ["name", "chain"], "left").withColumn(
-            "bottom", F.coalesce("bottom", F.lit(-1))
-        )
+        before = found.groupBy("name", "chain").agg(F.max("top").alias("bottom"))
+        better = met.join(before, ["name", "chain"], "left").withColumn("bottom", F.coalesce("bottom", F.lit(-1)))
         fresh = cut(better.filter(F.col("top") > F.col("bottom")))
-        merged = state.union(fresh.select("name", "chain", "top"))
-        state = cut(merged.groupBy("name", "chain").agg(F.max("top").alias("top")))
-    return state
+        found = found.union(fresh.select("name", "chain", "top"))
+    return found.groupBy("name", "chain").agg(F.max("top").alias("top"))
 
 
-def reachable(index: DataFrame, refs: DataFrame) -> DataFrame:
+def reachable(index: CommitIndex, refs: DataFrame) -> DataFrame:
     """(name, commit_id, commit_no) of all commits each ref reaches, itself included."""
     tops = reach(index, refs)
-    rows = index.select("commit_id", "commit_no", "chain", "pos")
-    joined = join_small(rows, tops, ["chain"], salts=32, salt_by=["commit_id"])
+    joined = join_small(index.places, tops, ["chain"], salts=32, salt_by=["commit_id"])
     return joined.filter(F.col("pos") <= F.col("top")).select("name", "commit_id", "commit_no")
 
 
-def ancestors(index: DataFrame, refs: DataFrame, ref: str) -> DataFrame:
+def ancestors(index: CommitIndex, refs: DataFrame, ref: str) -> DataFrame:
     """(commit_id, commit_no) of the history of ``ref``."""
     return reachable(index, refs.filter(F.col("name") == ref)).drop("name")
 
 
-def log(index: DataFrame, commits: DataFrame, refs: DataFrame, ref: str, n: int | None = None) -> DataFrame:
+def log(index: CommitIndex, commits: DataFrame, refs: DataFrame, ref: str, n: int | None = None) -> DataFrame:
     """Commits of the history of ``ref``, newest first, at most ``n``."""
     rows = commits.join(ancestors(index, refs, ref).select("commit_id"), "commit_id", "left_semi")
     rows = rows.orderBy(F.desc("ts"), "commit_id")
@@ -167,18 +174,18 @@ def _last_states(deltas: DataFrame, keys: list[str], flags: dict[str, Column]) -
 
 
 def snapshot_as_of(
-    base: DataFrame, deltas: DataFrame, index: DataFrame, refs: DataFrame, ref: str, keys: list[str]
+    base: DataFrame, deltas: DataFrame, index: CommitIndex, refs: DataFrame, ref: str, keys: list[str]
 ) -> DataFrame:
     """``base`` with the changes of the history of ``ref`` applied, deleted rows removed."""
-    past = ancestors(index, refs, ref).select("commit_id")
+    past = cut(ancestors(index, refs, ref).select("commit_id"))
     applied = join_small(deltas, past, ["commit_id"], "left_semi", salts=16, salt_by=keys)
-    last = _last_states(applied, keys, {"state": F.lit(True)})
+    last = cut(_last_states(applied, keys, {"state": F.lit(True)}))
     upserts = last.filter(F.col("state.op") != "D").select(*keys, "state.new.*")
     return replace_rows(base, last, upserts, keys)
 
 
 def diff_refs(
-    base: DataFrame, deltas: DataFrame, index: DataFrame, refs: DataFrame, ref_a: str, ref_b: str, keys: list[str]
+    base: DataFrame, deltas: DataFrame, index: CommitIndex, refs: DataFrame, ref_a: str, ref_b: str, keys: list[str]
 ) -> DataFrame:
     """Delta from the snapshot at ``ref_a`` to the one at ``ref_b``.
 
@@ -186,13 +193,15 @@ def diff_refs(
     those keys alone: work follows the changes, not the table.
     """
     both = reachable(index, refs.filter(F.col("name").isin(ref_a, ref_b)))
-    sides = both.groupBy("commit_id").agg(
-        F.bool_or(F.col("name") == ref_a).alias("in_a"), F.bool_or(F.col("name") == ref_b).alias("in_b")
+    sides = cut(
+        both.groupBy("commit_id").agg(
+            F.bool_or(F.col("name") == ref_a).alias("in_a"), F.bool_or(F.col("name") == ref_b).alias("in_b")
+        )
     )
     # A commit in both histories still decides the state of a key it touched last on either side.
     touched = join_small(deltas, sides, ["commit_id"], salts=16, salt_by=keys)
     states = _last_states(touched, keys, {"a": F.col("in_a"), "b": F.col("in_b")})
-    states = states.filter(~F.col("a").eqNullSafe(F.col("b")))
+    states = cut(states.filter(~F.col("a").eqNullSafe(F.col("b"))))
     names = [f.name for f in deltas.schema["new"].dataType.fields]
     rows = base.select(*keys, F.struct(*names).alias("_base"))
     originals = join_small(rows, states.select(*keys), keys, "left_semi")
@@ -205,7 +214,7 @@ def diff_refs(
     return delta_of(joined.select(*keys, row("a").alias("old"), row("b").alias("new")), keys, names)
 
 
-def merge_base(index: DataFrame, refs: DataFrame, ref_a: str, ref_b: str) -> DataFrame:
+def merge_base(index: CommitIndex, refs: DataFrame, ref_a: str, ref_b: str) -> DataFrame:
     """The common ancestor of two refs with the highest commit number."""
     both = reachable(index, refs.filter(F.col("name").isin(ref_a, ref_b)))
     common = both.groupBy("commit_id", "commit_no").agg(F.count_distinct("name").alias("n"))
@@ -257,7 +266,7 @@ def commit_batch(
     return spark.read.parquet(f"{path}/deltas").filter(F.col("commit_no") == number)
 
 
-def branches(index: DataFrame, refs: DataFrame, current: str) -> DataFrame:
+def branches(index: CommitIndex, refs: DataFrame, current: str) -> DataFrame:
     """(name, target, is_current, merged): short target and whether ``current`` contains it."""
     past = ancestors(index, refs, current).select("commit_id", F.lit(True).alias("_in"))
     joined = refs.join(past, "commit_id", "left")

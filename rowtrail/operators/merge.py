@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowtrail.functions.text import pk_key
-from rowtrail.operators.diff import op_of
+from rowtrail.operators.changes import replace_rows
+from rowtrail.operators.diff import diff_rows, full_join, op_of
+from rowtrail.plans import cut
 
 # Resolution strategies, the first one is the default.
 STRATEGIES = ["ours", "theirs", "ancestor", "delete", "workingcopy"]
@@ -54,48 +56,42 @@ def merge_deltas(ours: DataFrame, theirs: DataFrame, keys: list[str], seq: str |
     )
 
 
-def _three_sides(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the three tables side by side, one exchange for all of them.
+def merge_rows(
+    base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str], keys_not_null: bool = False
+) -> DataFrame:
+    """Row-level three-way merge of whole tables: the keys at least one side changed.
+
+    ``status`` is ``ours``, ``theirs``, ``identical`` or ``conflict``. ``merged`` is the accepted
+    row, NULL for a deletion or a conflict; ``op`` relates it to the base row and is NULL for a
+    conflict.
 
-    The tagged union is partitioned by key once, and the aggregate runs in that partitioning.
+    Both sides are diffed against the base first, so each table is exchanged once (the exchange of
+    the base serves both diffs) and only changed rows meet in the last join.
     """
     names = [c for c in base.columns if c not in keys]
-    sides = ("base", "ours", "theirs")
-    tagged = None
-    for side, df in zip(sides, (base, ours, theirs)):
-        part = df.select(*keys, F.lit(side).alias("_side"), F.struct(*names).alias("_row"))
-        tagged = part if tagged is None else tagged.union(part)
-    picks = [F.first(F.when(F.col("_side") == s, F.col("_row")), ignorenulls=True).alias(s) for s in sides]
-    return tagged.repartition(*keys).groupBy(*keys).agg(*picks)
+    ours, theirs = ours.select(*keys, *names), theirs.select(*keys, *names)
 
+    def changes(side: DataFrame, name: str) -> DataFrame:
+        delta = diff_rows(base, side, keys, keys_not_null)
+        return delta.select(*keys, F.struct("old", "new").alias(name))
 
-def merge_table(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
-    """Row-level three-way merge of whole tables, one row per key of any side.
-
-    ``status`` is ``unchanged``, ``ours``, ``theirs``, ``identical`` or ``conflict``. ``merged`` is
-    the accepted row, NULL for a deletion or a conflict; ``op`` relates it to the base row.
-    """
-    rows = _three_sides(base, ours, theirs, keys)
-    b, o, t = F.col("base"), F.col("ours"), F.col("theirs")
-    same_o, same_t, same = o.eqNullSafe(b), t.eqNullSafe(b), o.eqNullSafe(t)
-    status = (
-        F.when(same_o & same_t, "unchanged")
-        .when(same_t, "ours")
-        .when(same_o, "theirs")
-        .when(same, "identical")
-        .otherwise("conflict")
+    joined = full_join(changes(ours, "o"), changes(theirs, "t"), keys, keys_not_null)
+    o, t = F.col("o"), F.col("t")
+    old = F.when(o.isNotNull(), o["old"]).otherwise(t["old"])
+    # A side without a change has the base row.
+    rows = joined.select(
+        *keys,
+        F.when(t.isNull(), "ours").when(o.isNull(), "theirs").when(o["new"].eqNullSafe(t["new"]), "identical")
+        .otherwise("conflict").alias("status"),
+        old.alias("base"),
+        F.when(o.isNotNull(), o["new"]).otherwise(old).alias("ours"),
+        F.when(t.isNotNull(), t["new"]).otherwise(old).alias("theirs"),
     )
-    rows = rows.withColumn("status", status)
-    merged = F.when(F.col("status") == "theirs", t).when(F.col("status") != "conflict", o)
-    changed = F.col("status").isin("ours", "theirs", "identical")
+    status = F.col("status")
+    merged = F.when(status == "theirs", F.col("theirs")).when(status != "conflict", F.col("ours"))
     rows = rows.withColumn("merged", merged)
-    return rows.select(*keys, "status", F.when(changed, op_of(b, F.col("merged"))).alias("op"),
-                       "base", "ours", "theirs", "merged")
-
-
-def merge_rows(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys of :func:`merge_table` that at least one side changed."""
-    return merge_table(base, ours, theirs, keys).filter(F.col("status") != "unchanged")
+    op = F.when(status != "conflict", op_of(F.col("base"), F.col("merged")))
+    return rows.select(*keys, "status", op.alias("op"), "base", "ours", "theirs", "merged")
 
 
 def merge_columns(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,14 +184,15 @@ class UnresolvedConflicts(ValueError):
     """A merge was finished while conflicts remained."""
 
 
-def finish_merge(merged: DataFrame, resolutions: DataFrame, keys: list[str]) -> DataFrame:
-    """The merged table out of :func:`merge_table` rows and conflict resolutions.
+def finish_merge(base: DataFrame, merged: DataFrame, resolutions: DataFrame, keys: list[str]) -> DataFrame:
+    """The merged table out of the base, the :func:`merge_rows` result and conflict resolutions.
 
-    Raises :class:`UnresolvedConflicts` while a conflict has no resolution.
+    Raises :class:`UnresolvedConflicts` while a conflict has no resolution. The changed rows are
+    written once; the base is only scanned when they prove small enough to broadcast.
     """
-    conflicts = list_conflicts(merged)
-    if not conflicts.join(resolutions, keys, "left_anti").isEmpty():
+    merged, resolutions = cut(merged), cut(resolutions)
+    if not list_conflicts(merged).join(resolutions, keys, "left_anti").isEmpty():
         raise UnresolvedConflicts("conflicts remain")
     accepted = merged.filter(F.col("merged").isNotNull()).select(*keys, "merged.*")
     chosen = resolutions.filter(F.col("op") != "D").select(*keys, "resolved.*")
-    return accepted.unionByName(chosen)
+    return replace_rows(base, merged, accepted.unionByName(chosen), keys)

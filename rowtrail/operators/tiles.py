@@ -7,7 +7,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowtrail.functions.address import tile_shard_path
 
@@ -170,7 +170,14 @@ def _integer_tags(data: bytes) -> dict[int, list[int]]:
     return tags
 
 
-TAGS = "samples_per_pixel int, bits_per_sample array<int>, sample_format array<int>, photometric int"
+TAGS = T.StructType(
+    [
+        T.StructField("samples_per_pixel", T.IntegerType()),
+        T.StructField("bits_per_sample", T.ArrayType(T.IntegerType())),
+        T.StructField("sample_format", T.ArrayType(T.IntegerType())),
+        T.StructField("photometric", T.IntegerType()),
+    ]
+)
 
 
 @F.pandas_udf(TAGS)
@@ -184,8 +191,7 @@ def tiff_tags(content: pd.Series) -> pd.DataFrame:
             tags = {}
         first = lambda tag: tags[tag][0] if tags.get(tag) else None
         rows.append((first(_SAMPLES), tags.get(_BITS), tags.get(_FORMAT), first(_PHOTOMETRIC)))
-    names = ["samples_per_pixel", "bits_per_sample", "sample_format", "photometric"]
-    return pd.DataFrame(rows, columns=names, dtype=object)
+    return pd.DataFrame(rows, columns=TAGS.names, dtype=object)
 
 
 def tiff_tile_tags(tiles: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtrail.operators.evolve import Field, decode_features, pk_columns, spark_type
 
@@ -68,7 +68,16 @@ def _text(value) -> str | None:
     return repr(value) if isinstance(value, float) else str(value)
 
 
-@F.pandas_udf("legend_hash string, values array<string>, pk array<string>")
+DECODED = T.StructType(
+    [
+        T.StructField("legend_hash", T.StringType()),
+        T.StructField("values", T.ArrayType(T.StringType())),
+        T.StructField("pk", T.ArrayType(T.StringType())),
+    ]
+)
+
+
+@F.pandas_udf(DECODED)
 def decode_file(name: pd.Series, content: pd.Series) -> pd.DataFrame:
     """Legend hash, values and key texts; all NULL when the file does not decode, the key alone when its name does not."""
     rows = []
@@ -83,7 +92,7 @@ def decode_file(name: pd.Series, content: pd.Series) -> pd.DataFrame:
         except (ValueError, IndexError, TypeError, struct.error):
             pk = None
         rows.append((legend, [_text(v) for v in values], pk))
-    return pd.DataFrame(rows, columns=["legend_hash", "values", "pk"], dtype=object)
+    return pd.DataFrame(rows, columns=DECODED.names, dtype=object)
 
 
 def scan_feature_files(spark: SparkSession, path: str, legends: DataFrame, fields: list[Field]) -> DataFrame:

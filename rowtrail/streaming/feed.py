@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rowtrail.operators.changes import known_changes, net_changes, replace_rows, status_columns
+from rowtrail.plans import cut
 
 
 def stream_status(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -59,7 +60,7 @@ def read_applied(base: DataFrame, target: str, key: str) -> DataFrame:
     """``base`` with all applied batches: the last change of a key wins."""
     changes = base.sparkSession.read.parquet(target)
     last = changes.groupBy(key).agg(F.max_by(F.struct("op", "new"), "seq").alias("_last"))
-    last = last.select(key, "_last.op", "_last.new")
+    last = cut(last.select(key, "_last.op", "_last.new"))
     upserts = last.filter(F.col("op") != "D").select(key, "new.*")
     return replace_rows(base, last, upserts, [key])
 
