@@ -77,10 +77,10 @@ def main() -> None:
     }
     # The claim that can be checked: a diff of stored snapshots costs what changed, not what is there.
     folder = scratch(spark, "bench")
-    A.write_snapshot(orders, KEY, f"{folder}/base", buckets=64)
+    A.write_snapshot(orders, KEY, f"{folder}/base")
     for per_mille in (1, 10, 100):
         name = f"edit{per_mille}"
-        A.write_snapshot(edited(orders, per_mille), KEY, f"{folder}/{name}", buckets=64)
+        A.write_snapshot(edited(orders, per_mille), KEY, f"{folder}/{name}")
         queries[f"h9_diff_snapshots_{per_mille / 10:g}pct"] = lambda n=name: consume(
             A.diff_snapshots(spark, f"{folder}/base", f"{folder}/{n}", KEY)
         )

@@ -36,7 +36,7 @@ def h9(spark, sf):
 def h9_stored(spark, sf):
     folder = scratch(spark, "snapshots")
     for name in ("orders", "ours"):
-        A.write_snapshot(given(spark, sf, name), KEY, f"{folder}/{name}", buckets=64)
+        A.write_snapshot(given(spark, sf, name), KEY, f"{folder}/{name}")
     return flat(A.diff_snapshots(spark, f"{folder}/orders", f"{folder}/ours", KEY), KEY)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtrail.functions.address import digest_chunks, feature_directory, row_digest
 from rowtrail.operators.diff import diff_rows
-from rowtrail.plans import join_small
+from rowtrail.plans import cut, join_small
 
 CHUNKS = ["x0", "x1", "x2", "x3"]
 
@@ -72,67 +72,73 @@ def blob_dedup(digests: DataFrame) -> DataFrame:
     )
 
 
-# Stored snapshots. Rows are clustered by a hash bucket of their leaf directory, one Parquet
-# partition per bucket, and the digests of directories and buckets lie next to them. A diff reads
-# the digests first and then only the buckets that hold a changed directory.
+# ---------------------------------------------------------------------------------------------
+# Stored snapshots. Rows lie in the order of their directories, with small Parquet pages, and the
+# digests of the leaf directories lie next to them. A diff compares the digests, which are some
+# sixty times fewer than the rows, and then reads only the pages that hold a changed directory.
+# ---------------------------------------------------------------------------------------------
 
-BUCKETS = 256
+PAGE_ROWS = 4096
+# Changed directories up to this many are listed on the driver, and up to this many names go into
+# the scan's filter.
+MAX_LISTED_DIRS = 100_000
+MAX_SCAN_NAMES = 1000
 
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("dir"), F.lit(buckets)).cast("int")
+def _ancestor(depth: int):
+    return F.substring_index("dir", "/", depth)
 
 
-def write_snapshot(df: DataFrame, keys: list[str], path: str, buckets: int = BUCKETS, **layout) -> None:
-    """Store ``df`` under ``path``: ``rows`` by bucket and ``dirs`` with leaf digests.
+def write_snapshot(df: DataFrame, keys: list[str], path: str, levels: int = 4, **layout) -> None:
+    """Store ``df`` under ``path``: ``rows`` ordered by directory and ``dirs`` with leaf digests.
 
-    Keys must not be NULL. ``buckets`` grows with the table: aim at a few files of 128 MB each.
+    Keys must not be NULL. Directories above the leaves are stored as ``dir_1`` … for pruning. The
+    rows are cut into files by directory and key, so a directory too large for one task is split.
     """
-    rows = with_address(df, keys, **layout).withColumn("bucket", _bucket(buckets))
-    # Rebalancing splits a bucket that is too large for one task and merges small ones.
-    clustered = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "dir", *keys)
-    clustered.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
+    rows = with_address(df, keys, levels=levels, **layout)
+    rows = rows.withColumns({f"dir_{i}": _ancestor(i) for i in range(1, levels)})
+    ordered = rows.repartitionByRange("dir", *keys).sortWithinPartitions("dir", *keys)
+    pages = {"parquet.page.row.count.limit": str(PAGE_ROWS)}
+    ordered.write.mode("overwrite").options(**pages).parquet(f"{path}/rows")
     stored = df.sparkSession.read.parquet(f"{path}/rows")
     xors = [F.bit_xor(c).alias(x) for c, x in zip(digest_chunks(F.col("digest")), CHUNKS)]
-    leaves = stored.groupBy("bucket", "dir").agg(F.count(F.lit(1)).alias("n"), *xors)
+    leaves = stored.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), *xors)
     digest = F.sha2(F.concat_ws(":", "n", *CHUNKS), 256)
-    leaves = leaves.select("bucket", "dir", digest.alias("digest"))
-    leaves.sortWithinPartitions("bucket", "dir").write.mode("overwrite").parquet(f"{path}/dirs")
+    leaves.select("dir", digest.alias("digest")).write.mode("overwrite").parquet(f"{path}/dirs")
 
 
-# Changed directories up to this many are handed to the scan as a list.
-MAX_LISTED_DIRS = 100_000
+def _scan_filter(dirs: list[str], levels: int):
+    """Filter on the deepest directory level whose changed names are few enough, and that level."""
+    for depth in range(levels, 0, -1):
+        names = {"/".join(d.split("/")[:depth]) for d in dirs}
+        if len(names) <= MAX_SCAN_NAMES:
+            return F.col("dir" if depth == levels else f"dir_{depth}").isin(sorted(names)), depth
+    return F.lit(True), 0
 
 
 def diff_snapshots(
     spark: SparkSession, path_a: str, path_b: str, keys: list[str], names: list[str] | None = None
 ) -> DataFrame:
-    """Delta between two stored snapshots with the same bucket count, reading changed buckets only.
+    """Delta between two stored snapshots of the same layout, reading what changed.
 
-    The driver learns the changed directories while they stay within ``MAX_LISTED_DIRS``, and beyond
-    that only the numbers of the changed buckets, never more than the bucket count. The scan prunes
-    partitions by them before any row is read.
+    While the changed directories stay within ``MAX_LISTED_DIRS``, the scans are filtered by the
+    directories themselves or by the lowest level of directories above them that is short enough.
+    Beyond that a join restricts both sides to the changed directories.
     """
     dirs_a = spark.read.parquet(f"{path_a}/dirs")
     dirs_b = spark.read.schema(dirs_a.schema).parquet(f"{path_b}/dirs").withColumnRenamed("digest", "digest_b")
-    changed = dirs_a.join(dirs_b, ["bucket", "dir"], "full").filter(
-        ~F.col("digest").eqNullSafe(F.col("digest_b"))
-    ).select("bucket", "dir")
-    listed = changed.limit(MAX_LISTED_DIRS + 1).collect()
-    if len(listed) <= MAX_LISTED_DIRS:
-        buckets = sorted({r["bucket"] for r in listed})
-        leaves = F.broadcast(spark.createDataFrame(listed, changed.schema).select("dir"))
-    else:
-        buckets = [r[0] for r in changed.select("bucket").distinct().collect()]
-        leaves = None
+    changed = dirs_a.join(dirs_b, "dir", "full").filter(~F.col("digest").eqNullSafe(F.col("digest_b"))).select("dir")
     schema = spark.read.parquet(f"{path_b}/rows").schema
-    keep = names or [c for c in schema.names if c not in ("dir", "digest", "bucket")]
-    sides = []
-    for path in (path_a, path_b):
-        rows = spark.read.schema(schema).parquet(f"{path}/rows").filter(F.col("bucket").isin(buckets))
-        if leaves is not None:
-            rows = rows.join(leaves, "dir", "left_semi")
-        else:
-            rows = join_small(rows, changed.select("dir"), ["dir"], "left_semi", salts=16, salt_by=keys)
-        sides.append(rows.select(*keep))
-    return diff_rows(*sides, keys, keys_not_null=True)
+    uppers = [c for c in schema.names if c.startswith("dir_")]
+    keep = names or [c for c in schema.names if c not in ("dir", "digest", *uppers)]
+    sides = [spark.read.schema(schema).parquet(f"{path}/rows") for path in (path_a, path_b)]
+    listed = [r[0] for r in changed.limit(MAX_LISTED_DIRS + 1).collect()]
+    if len(listed) > MAX_LISTED_DIRS:
+        return diff_rows_pruned(*[side.drop(*uppers) for side in sides], keys, cut(changed), True)
+    levels = len(uppers) + 1
+    condition, depth = _scan_filter(listed, levels)
+    sides = [side.filter(condition) for side in sides]
+    if depth < levels:
+        leaves = F.broadcast(spark.createDataFrame([(d,) for d in listed], "dir string"))
+        sides = [side.join(leaves, "dir", "left_semi") for side in sides]
+    return diff_rows(*[side.select(*keep) for side in sides], keys, keys_not_null=True)

@@ -207,17 +207,18 @@ def test_pruned_diff_equals_diff(spark, versions):
     assert rows_of(A.diff_rows_pruned(a, b, ["id"], leaves)) == rows_of(D.diff_rows(base, ours, ["id"]))
 
 
-@pytest.mark.parametrize("limit", [100_000, 1])
-def test_stored_diff_reads_changed_buckets_only(spark, tmp_path, monkeypatch, limit):
-    monkeypatch.setattr(A, "MAX_LISTED_DIRS", limit)
+@pytest.mark.parametrize("listed, named, column", [(100_000, 1000, "dir"), (100_000, 2, "dir_3"), (1, 1000, None)])
+def test_stored_diff_reads_changed_directories_only(spark, tmp_path, monkeypatch, listed, named, column):
+    monkeypatch.setattr(A, "MAX_LISTED_DIRS", listed)
+    monkeypatch.setattr(A, "MAX_SCAN_NAMES", named)
     base = spark.range(20_000).selectExpr("id", "CAST(id % 7 AS string) AS a", "id * 0.5D AS b")
-    edited = base.withColumn("a", F.when(F.col("id").between(640, 700), "new").otherwise(F.col("a")))
+    edited = base.withColumn("a", F.when(F.col("id").between(640, 900), "new").otherwise(F.col("a")))
     for name, df in (("x", base), ("y", edited)):
-        A.write_snapshot(df, ["id"], f"{tmp_path}/{name}", buckets=32)
+        A.write_snapshot(df, ["id"], f"{tmp_path}/{name}")
     delta = A.diff_snapshots(spark, f"{tmp_path}/x", f"{tmp_path}/y", ["id"])
-    assert delta.count() == 61 and rows_of(delta) == rows_of(D.diff_rows(base, edited, ["id"]))
+    assert delta.count() == 261 and rows_of(delta) == rows_of(D.diff_rows(base, edited, ["id"]))
     plan = delta._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan
+    assert column is None or plan.count(f"PushedFilters: [In({column}, ") + plan.count(f"EqualTo({column},") >= 2
     assert A.diff_snapshots(spark, f"{tmp_path}/x", f"{tmp_path}/x", ["id"]).isEmpty()
 
 
