@@ -17,6 +17,16 @@ def with_address(df: DataFrame, keys: list[str], **layout) -> DataFrame:
     return df.withColumns({"dir": feature_directory(df, keys, **layout), "digest": row_digest(df, names)})
 
 
+def _xors() -> list:
+    return [F.bit_xor(x).alias(x) for x in CHUNKS]
+
+
+def leaf_sums(addressed: DataFrame) -> DataFrame:
+    """(dir, n, x0 … x3): rows per leaf directory and the XOR of their digests."""
+    rows = addressed.select("dir", *[c.alias(x) for c, x in zip(digest_chunks(F.col("digest")), CHUNKS)])
+    return rows.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), *_xors())
+
+
 def dir_digests(addressed: DataFrame) -> DataFrame:
     """(level, dir, n, digest) of every directory from the leaves up to the root (level 0, '').
 
@@ -24,16 +34,13 @@ def dir_digests(addressed: DataFrame) -> DataFrame:
     contain their keys. Both combine before the shuffle and need no list of rows, so neither a hot
     directory nor the root gathers data in one task.
     """
-    rows = addressed.select("dir", *[c.alias(x) for c, x in zip(digest_chunks(F.col("digest")), CHUNKS)])
-    xors = [F.bit_xor(x).alias(x) for x in CHUNKS]
-    leaves = rows.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), *xors)
     parts = F.split("dir", "/")
     levels = F.transform(
         F.sequence(F.lit(0), F.size(parts)),
         lambda i: F.struct(i.alias("level"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("dir")),
     )
-    spread = leaves.withColumn("_level", F.explode(levels)).select("_level.*", "n", *CHUNKS)
-    total = spread.groupBy("level", "dir").agg(F.sum("n").alias("n"), *xors)
+    spread = leaf_sums(addressed).withColumn("_level", F.explode(levels)).select("_level.*", "n", *CHUNKS)
+    total = spread.groupBy("level", "dir").agg(F.sum("n").alias("n"), *_xors())
     return total.select("level", "dir", "n", F.sha2(F.concat_ws(":", "n", *CHUNKS), 256).alias("digest"))
 
 
@@ -95,14 +102,14 @@ def write_snapshot(df: DataFrame, keys: list[str], path: str, levels: int = 4, *
     Keys must not be NULL. Directories above the leaves are stored as ``dir_1`` … for pruning. The
     rows are cut into files by directory and key, so a directory too large for one task is split.
     """
-    rows = with_address(df, keys, levels=levels, **layout)
+    rows = df.withColumn("dir", feature_directory(df, keys, levels=levels, **layout))
     rows = rows.withColumns({f"dir_{i}": _ancestor(i) for i in range(1, levels)})
     ordered = rows.repartitionByRange("dir", *keys).sortWithinPartitions("dir", *keys)
     pages = {"parquet.page.row.count.limit": str(PAGE_ROWS)}
     ordered.write.mode("overwrite").options(**pages).parquet(f"{path}/rows")
-    stored = df.sparkSession.read.parquet(f"{path}/rows")
-    xors = [F.bit_xor(c).alias(x) for c, x in zip(digest_chunks(F.col("digest")), CHUNKS)]
-    leaves = stored.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), *xors)
+    stored = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+    names = keys + sorted(c for c in df.columns if c not in keys)
+    leaves = leaf_sums(stored.select("dir", row_digest(stored, names).alias("digest")))
     digest = F.sha2(F.concat_ws(":", "n", *CHUNKS), 256)
     leaves.select("dir", digest.alias("digest")).write.mode("overwrite").parquet(f"{path}/dirs")
 
@@ -130,7 +137,7 @@ def diff_snapshots(
     changed = dirs_a.join(dirs_b, "dir", "full").filter(~F.col("digest").eqNullSafe(F.col("digest_b"))).select("dir")
     schema = spark.read.parquet(f"{path_b}/rows").schema
     uppers = [c for c in schema.names if c.startswith("dir_")]
-    keep = names or [c for c in schema.names if c not in ("dir", "digest", *uppers)]
+    keep = names or [c for c in schema.names if c not in ("dir", *uppers)]
     sides = [spark.read.schema(schema).parquet(f"{path}/rows") for path in (path_a, path_b)]
     listed = [r[0] for r in changed.limit(MAX_LISTED_DIRS + 1).collect()]
     if len(listed) > MAX_LISTED_DIRS:
