@@ -58,13 +58,23 @@ def replace_rows(base: DataFrame, net: DataFrame, upserts: DataFrame, keys: list
     return kept.unionByName(upserts, allowMissingColumns=True).select(*base.columns)
 
 
+def with_current(net: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """``net`` with the values of ``current``, NULL where it has no such row.
+
+    ``current`` is first restricted to the keys of ``net``; while those are proven small it is only
+    scanned.
+    """
+    found = join_small(current, net.select(*keys), keys, "left_semi")
+    return net.join(found, keys, "left")
+
+
 def apply_net(base: DataFrame, net: DataFrame, current: DataFrame, key: str) -> DataFrame:
     """Replay of net changes (key column and ``op``) with values read from ``current``.
 
     The net changes are used several times, so they are written once.
     """
     net = cut(net)
-    upserts = net.filter(F.col("op") != "D").select(key).join(current, key, "left")
+    upserts = with_current(net.filter(F.col("op") != "D").select(key), current, [key])
     return replace_rows(base, net, upserts, [key])
 
 
@@ -105,7 +115,7 @@ def selective_sync(
     net = net_changes(chosen)
     net = cut(net.select("table_name", F.col("pk").cast(base.schema[key].dataType).alias(key), "op"))
     keys = ["table_name", key]
-    upserts = net.filter(F.col("op") != "D").select(*keys).join(current, keys, "left")
+    upserts = with_current(net.filter(F.col("op") != "D").select(*keys), current, keys)
     return replace_rows(base, net, upserts, keys), pending
 
 

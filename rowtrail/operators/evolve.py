@@ -102,7 +102,10 @@ def value_columns(fields: list[Field]) -> list[str]:
 
 
 def key_layout(catalogue: DataFrame) -> DataFrame:
-    """(dataset, pk_columns, value_columns) out of a column catalogue: arrays in their orders."""
+    """(dataset, pk_columns, value_columns) out of a column catalogue: arrays in their orders.
+
+    A group holds the columns of one dataset, as many as a table can have.
+    """
     key, spot = F.col("primary_key_index"), F.col("position")
 
     def names(when: Column, order: Column) -> Column:

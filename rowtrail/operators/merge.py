@@ -150,7 +150,7 @@ def resolve(
     The ancestor is the merge base's row.
     """
     if strategy not in STRATEGIES:
-        raise ValueError(f"unknown resolution strategy: {strategy}. Use: {', '.join(STRATEGIES)}")
+        raise ValueError(f"no strategy {strategy!r}; known are {', '.join(STRATEGIES)}")
     for name, value in (only or {}).items():
         conflicts = conflicts.filter(F.col(name).eqNullSafe(F.lit(value)))
     if strategy == "workingcopy":

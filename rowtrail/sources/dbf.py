@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import sys
 from dataclasses import dataclass
@@ -59,10 +60,19 @@ def _value(raw: bytes, kind: str):
     return text or None
 
 
+def files_of(path: str) -> list[str]:
+    """The file itself, or the dBASE files of a folder by name."""
+    if not os.path.isdir(path):
+        return [path]
+    return [os.path.join(path, n) for n in sorted(os.listdir(path)) if n.lower().endswith(".dbf")]
+
+
 @dataclass
 class RecordRange(InputPartition):
+    path: str
     first: int
     last: int
+    before: int
 
 
 class DbfReader(DataSourceReader):
@@ -70,16 +80,20 @@ class DbfReader(DataSourceReader):
         self.path, self.schema, self.slices = path, schema, slices
 
     def partitions(self):
-        n = read_layout(self.path).records
-        step = max(1, -(-n // self.slices))
-        return [RecordRange(i, min(i + step, n)) for i in range(0, n, step)] or [RecordRange(0, 0)]
+        sizes = [(f, read_layout(f).records) for f in files_of(self.path)]
+        step = max(1, -(-sum(n for _, n in sizes) // self.slices))
+        out, before = [], 0
+        for path, n in sizes:
+            out += [RecordRange(path, i, min(i + step, n), before) for i in range(0, n, step)]
+            before += n
+        return out or [RecordRange(sizes[0][0], 0, 0, 0)]
 
     def read(self, partition: RecordRange):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        layout = read_layout(self.path)
+        layout = read_layout(partition.path)
         arrow = to_arrow_schema(self.schema)
-        with open(self.path, "rb") as f:
+        with open(partition.path, "rb") as f:
             f.seek(layout.header_size + partition.first * layout.record_size)
             for start in range(partition.first, partition.last, ROWS_PER_BATCH):
                 rows = []
@@ -87,7 +101,7 @@ class DbfReader(DataSourceReader):
                     record = f.read(layout.record_size)
                     if record[:1] == b"*":
                         continue
-                    row, at = [number + 1], 1
+                    row, at = [partition.before + number + 1], 1
                     for _, kind, length in layout.fields:
                         row.append(_value(record[at:at + length], kind))
                         at += length
@@ -104,7 +118,7 @@ class DbfSource(DataSource):
 
     def schema(self):
         schema = T.StructType().add(T.StructField("fid", T.LongType(), True, {"primary_key_index": 0, "size": 64}))
-        for name, kind, length in read_layout(self.options["path"]).fields:
+        for name, kind, length in read_layout(files_of(self.options["path"])[0]).fields:
             meta = {"dbf_type": TYPE_NAMES.get(kind, "Character"), "length": length}
             schema.add(T.StructField(name, SPARK_TYPES.get(kind, T.StringType()), True, meta))
         return schema
@@ -116,7 +130,7 @@ class DbfSource(DataSource):
 def read_dbf(spark: SparkSession, path: str, slices: int = 16) -> DataFrame:
     """Attribute rows with ``fid``, the record number from one; deleted records are left out.
 
-    Records have a fixed width, so each task seeks to its own range.
+    The files of a folder have one layout and count on from file to file. Records have a fixed width, so each task seeks to its own range.
     """
     spark.dataSource.register(DbfSource)
     return spark.read.format("rowtrail_dbf").options(path=path, slices=slices).load()

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rowtrail.operators.changes import known_changes, net_changes, replace_rows, status_columns
+from rowtrail.operators.changes import (
+    known_changes,
+    net_changes,
+    replace_rows,
+    status_columns,
+    with_current,
+)
 from rowtrail.plans import cut
 
 
@@ -44,10 +50,10 @@ def stream_apply(log: DataFrame, current, key: str, target: str, checkpoint: str
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = current()
         net = net_changes(batch)
-        net = net.select(F.col("pk").cast(rows.schema[key].dataType).alias(key), "op", "seq")
+        net = cut(net.select(F.col("pk").cast(rows.schema[key].dataType).alias(key), "op", "seq"))
         values = [c for c in rows.columns if c != key]
         new = F.when(F.col("op") != "D", F.struct(*values)).alias("new")
-        found = net.join(rows, key, "left").select(key, "op", "seq", new)
+        found = with_current(net, rows, [key]).select(key, "op", "seq", new)
         found.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (

@@ -83,6 +83,11 @@ def test_read_dbf_counts_records(spark, tmp_path):
         assert [(r.fid, r.NAME, r.N) for r in rows] == [(i + 1, f"n{i}", float(i)) for i in range(10) if i != 4]
 
 
+    (tmp_path / "y.dbf").write_bytes(path.read_bytes())
+    assert [r.fid for r in read_dbf(spark, str(tmp_path), 4).orderBy("fid").collect()] == [
+        i for i in range(1, 21) if i not in (5, 15)]
+
+
 def test_scan_feature_files_with_two_keys(spark, tmp_path):
     import base64
     fields = [Field("0" * 36, "b", "text", 1), Field("1" * 36, "a", "integer", 0), Field("2" * 36, "v", "text")]
