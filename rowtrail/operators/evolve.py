@@ -167,18 +167,21 @@ def decode_features(encoded: DataFrame, legends: DataFrame, fields: list[Field],
             F.transform(ids, lambda i, n: F.when(i == f.id, n + 1))
         )
 
-    spots = [positions(f).alias(f"_at{n}") for n, f in enumerate(stored)]
-    slots = legends.select("legend_hash", *spots)
+    slots = []
+    for n, f in enumerate(stored):
+        at = positions(f)
+        slots.append(F.try_element_at(at, F.lit(-1)).alias(f"_last{n}"))
+        slots.append(F.when(F.size(at) > 1, at).alias(f"_all{n}"))
+    slots = legends.select("legend_hash", *slots)
     # One legend may hold most rows; past the broadcast bound the join is salted.
     rows = join_small(encoded, slots, ["legend_hash"], salts=32, salt_by=keep)
     values = F.col("values")
     columns = []
     for n, f in enumerate(stored):
-        at = F.col(f"_at{n}")
-        last = F.try_element_at(at, F.lit(-1))
-        older = F.array_max(F.filter(at, lambda p: p <= F.size(values)))
-        spot = F.when(last <= F.size(values), last).otherwise(older)
-        text = F.when(spot.isNotNull(), F.try_element_at(values, spot))
+        last = F.col(f"_last{n}")
+        earlier = F.array_max(F.filter(f"_all{n}", lambda p: p <= F.size(values)))
+        spot = F.when(last <= F.size(values), last).otherwise(earlier)
+        text = F.get(values, spot - 1)
         kind = spark_type(f)
         value = F.unhex(text) if isinstance(kind, T.BinaryType) else text.try_cast(kind)
         columns.append(value.alias(f.name))
