@@ -198,7 +198,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "x1_read_geopackage": oracle("SELECT *, hex(c_name) AS geom FROM {customer}"),
+    "x1_read_geopackage": oracle("SELECT * REPLACE (c_nationkey::BIGINT AS c_nationkey), hex(c_name) AS geom FROM {customer}"),
     "x2_read_dbf": oracle(
         "SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 9 <> 0 THEN c_custkey % 2 = 1 END"
         " AS active, CASE WHEN c_custkey % 10 <> 0 THEN DATE '2024-01-01' + (c_custkey % 28)::INT END AS since,"
@@ -222,7 +222,7 @@ ORACLES = {
     ),
     "x11_scan_feature_files": oracle(
         "SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 11 <> 0 THEN s_acctbal END AS s_acctbal,"
-        " NULL AS s_comment FROM {supplier} WHERE s_suppkey % 13 <> 0"
+        " NULL::VARCHAR AS s_comment FROM {supplier} WHERE s_suppkey % 13 <> 0"
     ),
     "x12_parquet": oracle("SELECT * FROM {theirs}"),
     "x13_sync_table": oracle(

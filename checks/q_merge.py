@@ -196,7 +196,8 @@ def _resolved(src: str) -> str:
     )
 
 
-_NULLS = ", ".join(f"NULL AS resolved_{n}" for n in ORDER_VALUES)
+_TYPES = ["BIGINT", "VARCHAR", "DOUBLE", "TIMESTAMP", "VARCHAR"]
+_NULLS = ", ".join(f"NULL::{t} AS resolved_{n}" for n, t in zip(ORDER_VALUES, _TYPES))
 
 ORACLES = {
     "m1_merge_deltas": oracle(
