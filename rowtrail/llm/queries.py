@@ -4,20 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowtrail.llm import lines, secrets
+import public_tokenizers
+
+from rowtrail.llm import bpe, lines, secrets, tokenfile
 from rowtrail.llm.common import table
 
+WORD_BPE_IDS = 49_408
+
 
 def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf, "documents")))
 
 
+def op2_token_file(spark: SparkSession, sf: str) -> DataFrame:
+    read = tokenfile.round_trip(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), WORD_BPE_IDS)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = bpe.decode(bpe.encode(table(spark, sf, "documents"), file, public_tokenizers.PATTERN), file)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op7_byte_bpe, op9_line_dedup)}
 
 ORACLES = {
     "op9_line_dedup": """
