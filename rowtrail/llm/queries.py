@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from rowtrail.llm import bpe, lines, secrets, tokenfile
+from rowtrail.llm import bpe, lines, near_dups, secrets, tokenfile
 from rowtrail.llm.common import table
 
 WORD_BPE_IDS = 49_408
@@ -21,6 +21,10 @@ def op2_token_file(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_near_dups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     found = bpe.decode(bpe.encode(table(spark, sf, "documents"), file, public_tokenizers.PATTERN), file)
@@ -37,7 +41,7 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op7_byte_bpe, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op4_near_dups, op7_byte_bpe, op9_line_dedup)}
 
 ORACLES = {
     "op9_line_dedup": """
