@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from rowtrail.llm import bpe, lines, near_dups, secrets, tokenfile
+from rowtrail.llm import ann, bpe, lines, near_dups, secrets, tokenfile, toxicity
 from rowtrail.llm.common import table
 
 WORD_BPE_IDS = 49_408
@@ -25,6 +25,18 @@ def op4_near_dups(spark: SparkSession, sf: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.nearest(table(spark, sf, "embeddings"))
+
+
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.train(docs, labels.filter(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     found = bpe.decode(bpe.encode(table(spark, sf, "documents"), file, public_tokenizers.PATTERN), file)
@@ -41,7 +53,7 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op4_near_dups, op7_byte_bpe, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op4_near_dups, op5_nearest, op6_toxicity, op7_byte_bpe, op9_line_dedup)}
 
 ORACLES = {
     "op9_line_dedup": """
