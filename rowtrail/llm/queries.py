@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from rowtrail.llm import ann, bpe, lines, near_dups, secrets, tokenfile, toxicity
-from rowtrail.llm.common import table
+from rowtrail.llm import ann, bpe, decontam, langid, lines, near_dups, rollups, secrets, tokenfile, toxicity
+from rowtrail.llm.common import table, written
 
 WORD_BPE_IDS = 49_408
 
@@ -21,6 +21,12 @@ def op2_token_file(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_language(spark: SparkSession, sf: str) -> DataFrame:
+    model = langid.train(table(spark, sf, "documents"), "lang")
+    pages = langid.page_evidence(table(spark, sf, "pages"))
+    return langid.identify(pages, model).withColumnRenamed("id", "page_id")
+
+
 def op4_near_dups(spark: SparkSession, sf: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf, "documents"))
 
@@ -48,12 +54,39 @@ def op7_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op8_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of all documents: estimates are loaded, then revised; repeated texts are deleted again."""
+    counted = written(rollups.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    estimate = counted.withColumn("n_tokens", F.ceil(F.col("n_chars") / 4))
+    words = counted.withColumn("n_tokens", F.col("n_words"))
+    first = counted.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    again = counted.join(first, "doc_id", "left_anti")
+    roll = rollups.TokenRollup(spark)
+    roll.commit("load", rollups.change_rows(words, "words", "insert").unionByName(rollups.change_rows(estimate, "word_bpe_49k", "insert")))
+    roll.commit("recount", rollups.change_rows(counted, "word_bpe_49k", "revise"))
+    gone = rollups.change_rows(again, "words", "delete").unionByName(rollups.change_rows(again, "word_bpe_49k", "delete"))
+    roll.commit("repeats", gone)
+    roll.compact()
+    roll.commit("repeats", gone)  # a repeated batch changes nothing
+    return roll.totals()
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_token_file, op4_near_dups, op5_nearest, op6_toxicity, op7_byte_bpe, op9_line_dedup)}
+def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_token_file, op3_language, op4_near_dups, op5_nearest, op6_toxicity, op7_byte_bpe, op8_token_rollup,
+        op9_line_dedup, op10_decontamination,
+    )
+}
 
 ORACLES = {
     "op9_line_dedup": """

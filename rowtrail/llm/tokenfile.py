@@ -84,6 +84,12 @@ class WordIds(dict):
 _CACHES: dict[tuple[str, str], WordIds] = {}  # of this worker process
 
 
+def word_ids(file: str, width: str) -> WordIds:
+    if (file, width) not in _CACHES:
+        _CACHES[file, width] = WordIds(file, width)
+    return _CACHES[file, width]
+
+
 def encode(df: DataFrame, file: str, vocabulary: int, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, n_tokens): the ids of each row's text as one binary, ``end_id`` appended.
 
@@ -94,9 +100,7 @@ def encode(df: DataFrame, file: str, vocabulary: int, end_id: int | None, id_col
     end = b"" if end_id is None else np.array([end_id], width).tobytes()
 
     def run(batch: pa.RecordBatch) -> dict:
-        if (file, width) not in _CACHES:
-            _CACHES[file, width] = WordIds(file, width)
-        get = _CACHES[file, width].__getitem__
+        get = word_ids(file, width).__getitem__
         ids = [b"".join(map(get, t.split())) + end for t in batch.column("text").cast(pa.binary()).to_pylist()]
         size = np.dtype(width).itemsize
         return {"id": batch.column("id"), "ids": ids, "n_tokens": [len(x) // size for x in ids]}
