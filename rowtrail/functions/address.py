@@ -107,10 +107,9 @@ def _packed(col: Column, dtype: T.DataType) -> Column:
 
 def packed_key(df: DataFrame, keys: list[str]) -> Column:
     """Binary MessagePack array of the key values (integers, text, booleans, NULL)."""
-    if len(keys) > 15:
-        raise ValueError("at most 15 key columns")
     parts = [_packed(F.col(k), df.schema[k].dataType) for k in keys]
-    return F.unhex(F.concat(F.lit(f"9{len(keys):X}"), *parts))
+    head = f"9{len(keys):X}" if len(keys) < 16 else f"DC{len(keys):04X}"
+    return F.unhex(F.concat(F.lit(head), *parts))
 
 
 def _urlsafe(data: Column) -> Column:

@@ -15,6 +15,9 @@ _NUMBER = r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))"
 # First coordinate of a WKT text: from after the first "(" up to the next "," or ")".
 _FIRST_COORD = rf"^[^(]*\(\s*({_NUMBER})\s+({_NUMBER})(?:\s[^,)]*)?[,)]"
 
+# Unicode white space.
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
+
 # Bytes of an envelope of type 0 to 4, after the eight header bytes.
 ENVELOPE_BYTES = [0, 32, 48, 48, 64]
 
@@ -41,7 +44,7 @@ def first_coord(wkt: Column) -> Column:
 
 def parse_bbox(text: Column) -> Column:
     """Array of four doubles, or NULL unless exactly four of the comma-separated parts parse."""
-    numbers = F.array_compact(F.transform(F.split(text, ","), lambda p: number(F.trim(p))))
+    numbers = F.array_compact(F.transform(F.split(text, ","), lambda p: number(F.btrim(p, F.lit(WHITE_SPACE)))))
     return F.when(F.size(numbers) == 4, numbers)
 
 
@@ -87,14 +90,28 @@ def gpkg_header(data: Column) -> Column:
 
 @F.pandas_udf(T.BinaryType())
 def pack_envelope(values: pd.Series) -> pd.Series:
-    """Little-endian bytes of an array of doubles."""
-    return values.map(lambda v: None if v is None else np.asarray(v, dtype="<f8").tobytes())
+    """Little-endian bytes of an array of doubles; one conversion per batch."""
+    there = values.notna()
+    rows = values[there].tolist()
+    data = np.concatenate([*rows, np.zeros(0)]).astype("<f8").tobytes()
+    ends = np.cumsum([8 * len(v) for v in rows], dtype=np.int64)
+    out = pd.Series([None] * len(values), index=values.index, dtype=object)
+    out[there] = [data[e - 8 * len(v):e] for e, v in zip(ends.tolist(), rows)]
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def unpack_envelope(data: pd.Series) -> pd.Series:
-    """Array of doubles out of little-endian bytes."""
-    return data.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f8"))
+def unpack_envelope(data: pd.Series, little: pd.Series) -> pd.Series:
+    """Array of doubles out of bytes in the byte order of each row; one conversion per batch."""
+    there = data.notna()
+    rows, sizes = data[there].tolist(), data[there].map(len).to_numpy(dtype=np.int64) // 8
+    joined = b"".join(rows)
+    first = np.repeat(little[there].to_numpy(dtype=bool), sizes)
+    values = np.where(first, np.frombuffer(joined, "<f8"), np.frombuffer(joined, ">f8"))
+    out = pd.Series([None] * len(data), index=data.index, dtype=object)
+    for i, part in zip(np.flatnonzero(there.to_numpy()), np.split(values, np.cumsum(sizes)[:-1]) if rows else []):
+        out.iat[i] = part
+    return out
 
 
 def gpkg_wrap(wkb: Column, envelope: list[Column] | None = None, kind: int | None = None) -> Column:
@@ -113,11 +130,12 @@ def gpkg_wrap(wkb: Column, envelope: list[Column] | None = None, kind: int | Non
 
 
 def read_envelope(data: Column) -> Column:
-    """Array of the envelope's doubles, NULL without a valid envelope."""
+    """Array of the envelope's doubles, NULL without a valid envelope; flag bit 0 tells the byte order."""
     head = gpkg_header(data)
     length = F.coalesce(F.get(F.array(*map(F.lit, ENVELOPE_BYTES)), head.envelope_type), F.lit(0))
     body = F.when((head.status == "ok") & (length > 0), F.substring(data, F.lit(9), length))
-    return unpack_envelope(body)
+    little = F.conv(F.hex(F.substring(data, 4, 1)), 16, 10).cast("int").bitwiseAND(1) == 1
+    return unpack_envelope(body, F.coalesce(little, F.lit(True)))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtrail.functions.address import row_digest
-from rowtrail.operators.diff import diff_rows, prefix_filter
+from rowtrail.operators.diff import aligned, diff_rows, prefix_filter, value_columns
 from rowtrail.plans import cut, join_small
 
 OPS = ["D", "I", "U"]
@@ -36,26 +36,34 @@ def status(change_log: DataFrame) -> DataFrame:
 
 
 def net_changes(change_log: DataFrame) -> DataFrame:
-    """Last change per (table_name, pk) by ``seq``.
+    """Last change per (table_name, pk) by ``seq``, which is unique within the log.
 
-    The sequence number and the kind share one integer, so the aggregate is a plain maximum: it
-    combines before the shuffle, and a hot key costs one row per task.
+    Both values of the aggregate are numbers, so it hashes and combines before the shuffle, and a hot
+    key costs one row per task.
     """
-    code = F.array_position(F.array(*map(F.lit, OPS)), F.col("change_type")) - 1
-    packed = F.shiftleft(F.col("seq").cast("bigint"), 2).bitwiseOR(code.cast("bigint"))
-    last = known_changes(change_log).groupBy("table_name", "pk").agg(F.max(packed).alias("_last"))
-    op = F.element_at(F.array(*map(F.lit, OPS)), F.col("_last").bitwiseAND(3).cast("int") + 1)
-    return last.select("table_name", "pk", op.alias("op"), F.shiftright("_last", 2).alias("seq"))
+    code = F.array_position(F.array(*map(F.lit, OPS)), F.col("change_type")).cast("int")
+    last = known_changes(change_log).withColumns({"_code": code, "seq": F.col("seq").cast("bigint")})
+    last = last.groupBy("table_name", "pk").agg(F.max_by("_code", "seq").alias("_code"), F.max("seq").alias("seq"))
+    op = F.element_at(F.array(*map(F.lit, OPS)), F.col("_code"))
+    return last.select("table_name", "pk", op.alias("op"), "seq")
+
+
+def one_table(change_log: DataFrame, table: str | None) -> DataFrame:
+    """The rows of ``table``; without a name, all rows as those of one table, so a key counts once."""
+    if table is not None:
+        return change_log.filter(F.col("table_name") == table)
+    return change_log.withColumn("table_name", F.lit(""))
 
 
 def replace_rows(base: DataFrame, net: DataFrame, upserts: DataFrame, keys: list[str]) -> DataFrame:
     """``base`` without the keys of ``net``, plus ``upserts``; keys are not NULL.
 
+    Columns that only one side has are NULL in the other's rows; those of ``base`` come first.
     A net change set proven small is broadcast, so ``base`` is only scanned. Callers write ``net``
     first, because measuring it reads it once more.
     """
     kept = join_small(base, net.select(*keys), keys, "left_anti")
-    return kept.unionByName(upserts, allowMissingColumns=True).select(*base.columns)
+    return kept.unionByName(upserts, allowMissingColumns=True)
 
 
 def with_current(net: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,12 +91,11 @@ def apply_changes(
 ) -> DataFrame:
     """``base`` after replaying the log: I and U upsert the row of ``current``, D removes.
 
-    Removing a missing row does nothing; columns ``current`` lacks become NULL. The log's text keys
-    are cast to the type of ``key``.
+    Removing a missing row does nothing; columns ``current`` lacks become NULL, new ones are added.
+    The log's text keys are cast to the type of ``key``. Name the ``table`` where the log holds
+    several whose keys overlap; without it all rows belong to one table.
     """
-    if table is not None:
-        change_log = change_log.filter(F.col("table_name") == table)
-    net = net_changes(change_log)
+    net = net_changes(one_table(change_log, table))
     net = net.select(F.col("pk").cast(base.schema[key].dataType).alias(key), "op")
     return apply_net(base, net, current, key)
 
@@ -125,8 +132,12 @@ def diff_working(base: DataFrame, current: DataFrame, keys: list[str]) -> DataFr
 
 
 def fingerprint_changes(prev: DataFrame, cur: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys and ``op`` of changed rows, found by comparing row digests; no values are shuffled."""
-    names = sorted(c for c in cur.columns if c not in keys)
+    """Keys and ``op`` of changed rows, found by comparing row digests; no values are shuffled.
+
+    As in a row diff, a column that one side lacks is NULL there.
+    """
+    names = sorted(value_columns(prev, cur, keys))
+    prev, cur = aligned(prev, keys, names, cur), aligned(cur, keys, names, prev)
     a = prev.select(*keys, row_digest(prev, names).alias("digest"))
     b = cur.select(*keys, row_digest(cur, names).alias("digest"))
     return diff_rows(a, b, keys).select(*keys, "op")
@@ -135,8 +146,9 @@ def fingerprint_changes(prev: DataFrame, cur: DataFrame, keys: list[str]) -> Dat
 def upsert_by_key(df: DataFrame, new: DataFrame, keys: list[str], mode: str = "replace") -> DataFrame:
     """Insert ``new`` rows; an existing key is replaced, or kept with ``mode="ignore"``."""
     if mode == "replace":
+        new = cut(new)  # measured, joined and appended
         return replace_rows(df, new, new, keys)
     if mode != "ignore":
         raise ValueError("mode is 'replace' or 'ignore'")
     added = new.join(df.select(*keys), keys, "left_anti")
-    return df.unionByName(added, allowMissingColumns=True).select(*df.columns)
+    return df.unionByName(added, allowMissingColumns=True)

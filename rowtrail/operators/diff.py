@@ -6,7 +6,9 @@ A delta has the key columns plus ``op`` (I, U or D), ``old`` and ``new`` structs
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowtrail.functions.address import any_of
 from rowtrail.functions.text import format_value
@@ -20,12 +22,37 @@ def value_columns(old: DataFrame, new: DataFrame, keys: list[str]) -> list[str]:
     return names + [c for c in old.columns if c not in keys and c not in names]
 
 
-def row_struct(df: DataFrame, names: list[str], like: DataFrame) -> Column:
-    """Struct of ``names``; a column ``df`` lacks reads as NULL of the type in ``like``."""
-    fields = [
-        F.col(c) if c in df.columns else F.lit(None).cast(like.schema[c].dataType).alias(c) for c in names
-    ]
-    return F.struct(*fields)
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """Type that both versions of a retyped column are compared in.
+
+    Whole numbers as bigint, other numbers as double, dates and timestamps as timestamp, and anything
+    else as text.
+    """
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType):
+        return T.LongType()
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return T.DoubleType()
+    if isinstance(a, T.DatetimeType) and isinstance(b, T.DatetimeType):
+        return T.TimestampType()
+    return T.StringType()
+
+
+def aligned(df: DataFrame, keys: list[str], names: list[str], *others: DataFrame) -> DataFrame:
+    """``keys`` and ``names`` of ``df`` in the types it shares with ``others``; what it lacks is NULL."""
+    columns = []
+    for c in names:
+        types = [x.schema[c].dataType for x in (df, *others) if c in x.columns]
+        value = F.col(c) if c in df.columns else F.lit(None)
+        columns.append(value.cast(reduce(common_type, types)).alias(c) if c not in df.columns or len(set(types)) > 1 else value)
+    return df.select(*keys, *columns)
+
+
+def row_struct(df: DataFrame, names: list[str]) -> Column:
+    return F.struct(*[F.col(c) for c in names])
 
 
 def op_of(old: Column, new: Column) -> Column:
@@ -65,12 +92,15 @@ def full_join(left: DataFrame, right: DataFrame, keys: list[str], keys_not_null:
 def diff_rows(old: DataFrame, new: DataFrame, keys: list[str], keys_not_null: bool = False) -> DataFrame:
     """Delta from ``old`` to ``new``; keys must be unique on each side.
 
+    A column that one side lacks is NULL there, and one whose type changed is compared in the common
+    type of :func:`common_type`.
     One exchange per side. Keys compare NULL-safe; ``keys_not_null=True`` uses plain equality,
     which also lets tables bucketed or partitioned by key join without an exchange.
     """
     names = value_columns(old, new, keys)
-    left = old.select(*keys, row_struct(old, names, new).alias("old"))
-    right = new.select(*keys, row_struct(new, names, old).alias("new"))
+    old, new = aligned(old, keys, names, new), aligned(new, keys, names, old)
+    left = old.select(*keys, row_struct(old, names).alias("old"))
+    right = new.select(*keys, row_struct(new, names).alias("new"))
     return delta_of(full_join(left, right, keys, keys_not_null), keys, names)
 
 

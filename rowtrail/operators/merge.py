@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowtrail.functions.text import pk_key
 from rowtrail.operators.changes import replace_rows
-from rowtrail.operators.diff import diff_rows, full_join, op_of
+from rowtrail.operators.diff import aligned, diff_rows, full_join, op_of
 from rowtrail.plans import cut
 
 # Resolution strategies, the first one is the default.
@@ -68,8 +68,13 @@ def merge_rows(
     Both sides are diffed against the base first, so each table is exchanged once (the exchange of
     the base serves both diffs) and only changed rows meet in the last join.
     """
+    # Columns of all three versions, in common types; what a version lacks is NULL there.
     names = [c for c in base.columns if c not in keys]
-    ours, theirs = ours.select(*keys, *names), theirs.select(*keys, *names)
+    names += [c for c in dict.fromkeys([*ours.columns, *theirs.columns]) if c not in keys and c not in names]
+    base, ours, theirs = (
+        aligned(x, keys, names, *others)
+        for x, *others in ((base, ours, theirs), (ours, base, theirs), (theirs, base, ours))
+    )
 
     def changes(side: DataFrame, name: str) -> DataFrame:
         delta = diff_rows(base, side, keys, keys_not_null)
@@ -100,7 +105,7 @@ def merge_columns(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: lis
     ``resolution`` is FastForward, IdenticalChanges, ColumnMerge or Conflict.
     """
     rows = merge_rows(base, ours, theirs, keys)
-    names = [c for c in base.columns if c not in keys]
+    names = rows.schema["base"].dataType.names
     b, o, t = F.col("base"), F.col("ours"), F.col("theirs")
     fields, clashes = [], []
     for c in names:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only in local mode when nothing is configured; on a cluster an
-    unset folder is an error.
+    A temporary folder stands in only in local mode when nothing is configured; on a cluster, also
+    one of several processes on one machine, an unset folder is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="rowtrail-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)

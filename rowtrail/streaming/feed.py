@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rowtrail.operators.changes import (
     known_changes,
     net_changes,
+    one_table,
     replace_rows,
     status_columns,
     with_current,
@@ -39,17 +40,20 @@ def read_status(spark: SparkSession, target: str) -> DataFrame:
     return versions.filter(F.col("version") == newest).drop("version")
 
 
-def stream_apply(log: DataFrame, current, key: str, target: str, checkpoint: str) -> StreamingQuery:
+def stream_apply(
+    log: DataFrame, current, key: str, target: str, checkpoint: str, table: str | None = None
+) -> StreamingQuery:
     """Append each batch's net changes with their values to the Parquet table ``target``.
 
     ``current`` is a function that returns the current rows. A batch overwrites only its own folder,
-    so replaying it after a failure leaves the same data. Work follows the size of the batch, not of
-    the table; :func:`read_applied` merges on read and :func:`compact` folds the batches into a base.
+    so replaying it after a failure leaves the same data. Each batch scans the current rows once and
+    writes only what it changed; :func:`read_applied` merges on read and :func:`compact` folds the
+    batches into a base. Name the ``table`` where the log holds several.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = current()
-        net = net_changes(batch)
+        net = net_changes(one_table(batch, table))
         net = cut(net.select(F.col("pk").cast(rows.schema[key].dataType).alias(key), "op", "seq"))
         values = [c for c in rows.columns if c != key]
         new = F.when(F.col("op") != "D", F.struct(*values)).alias("new")
@@ -65,8 +69,9 @@ def stream_apply(log: DataFrame, current, key: str, target: str, checkpoint: str
 def read_applied(base: DataFrame, target: str, key: str) -> DataFrame:
     """``base`` with all applied batches: the last change of a key wins."""
     changes = base.sparkSession.read.parquet(target)
-    last = changes.groupBy(key).agg(F.max_by(F.struct("op", "new"), "seq").alias("_last"))
-    last = cut(last.select(key, "_last.op", "_last.new"))
+    # The newest change of a key by number first: a hash aggregate that carries no rows.
+    newest = changes.groupBy(key).agg(F.max("seq").alias("seq"))
+    last = cut(changes.join(newest, [key, "seq"]).select(key, "op", "new").dropDuplicates([key]))
     upserts = last.filter(F.col("op") != "D").select(key, "new.*")
     return replace_rows(base, last, upserts, [key])
 
