@@ -84,8 +84,7 @@ def main() -> None:
         queries[f"h9_diff_snapshots_{per_mille / 10:g}pct"] = lambda n=name: consume(
             A.diff_snapshots(spark, f"{folder}/base", f"{folder}/{n}", KEY)
         )
-        plain = spark.read.parquet(f"{folder}/{name}/rows").select(*orders.columns)
-        base = spark.read.parquet(f"{folder}/base/rows").select(*orders.columns)
+        plain, base = A.read_snapshot(spark, f"{folder}/{name}"), A.read_snapshot(spark, f"{folder}/base")
         queries[f"d1_same_data_{per_mille / 10:g}pct"] = lambda a=base, b=plain: consume(diff_rows(a, b, KEY, True))
 
     only = sys.argv[1:]

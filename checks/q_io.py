@@ -93,9 +93,9 @@ def x3(spark, sf):
 
 def x6(spark, sf):
     path = scratch(spark, "csv")
-    rows = given(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows = given(spark, sf, "documents")
     exports.export_csv(rows, path)
-    return spark.read.option("header", True).schema(rows.schema).csv(path)
+    return exports.read_csv(spark, path, rows.schema)
 
 
 def x7(spark, sf):
@@ -205,7 +205,7 @@ ORACLES = {
         " c_nationkey AS nation FROM {customer} WHERE c_custkey % 50 <> 7"
     ),
     "x3_assign_rowid": oracle(f"SELECT row_number() OVER (ORDER BY {', '.join(LINE)}) AS _rowid, * FROM {{lineitem}}"),
-    "x6_export_csv": oracle("SELECT doc_id, lang, source, n_chars FROM {documents}"),
+    "x6_export_csv": oracle("SELECT doc_id, text, lang, source, n_chars FROM {documents}"),
     "x6_csv_display": oracle(
         "SELECT doc_id::VARCHAR AS doc_id, "
         + ", ".join(f"{duck.formatted(c, k)} AS {c}" for c, k in (

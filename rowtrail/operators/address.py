@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowtrail.functions.address import digest_chunks, feature_directory, row_digest
@@ -12,7 +14,12 @@ CHUNKS = ["x0", "x1", "x2", "x3"]
 
 
 def with_address(df: DataFrame, keys: list[str], **layout) -> DataFrame:
-    """Adds ``dir`` (leaf directory) and ``digest`` (of key and values) to every row."""
+    """Adds ``dir`` (leaf directory) and ``digest`` (of key and values) to every row.
+
+    A table with columns of these names is refused, as they would be overwritten.
+    """
+    if clash := {"dir", "digest"} & set(df.columns):
+        raise ValueError(f"rename {', '.join(sorted(clash))} first")
     names = keys + sorted(c for c in df.columns if c not in keys)
     return df.withColumns({"dir": feature_directory(df, keys, **layout), "digest": row_digest(df, names)})
 
@@ -53,8 +60,10 @@ def changed_dirs(digests_a: DataFrame, digests_b: DataFrame) -> DataFrame:
     return joined.select("level", "dir", status.alias("status"))
 
 
-def changed_leaves(digests_a: DataFrame, digests_b: DataFrame, levels: int = 4) -> DataFrame:
-    """Leaf directories that differ."""
+def changed_leaves(digests_a: DataFrame, digests_b: DataFrame, levels: int | None = None) -> DataFrame:
+    """Leaf directories that differ. Without ``levels`` the deepest level present is looked up."""
+    if levels is None:
+        levels = digests_a.unionByName(digests_b).agg(F.max("level")).first()[0] or 0
     leaf = F.col("level") == levels
     return changed_dirs(digests_a.filter(leaf), digests_b.filter(leaf)).select("dir")
 
@@ -62,12 +71,16 @@ def changed_leaves(digests_a: DataFrame, digests_b: DataFrame, levels: int = 4)
 def diff_rows_pruned(
     old: DataFrame, new: DataFrame, keys: list[str], leaves: DataFrame, keys_not_null: bool = False
 ) -> DataFrame:
-    """:func:`diff_rows` of addressed tables, restricted to rows in changed leaf directories."""
-    names = [c for c in new.columns if c not in ("dir", "digest")]
-    sides = [
-        join_small(df, leaves, ["dir"], "left_semi", salts=16, salt_by=keys).select(*names) for df in (old, new)
-    ]
-    return diff_rows(*sides, keys, keys_not_null)
+    """:func:`diff_rows` of addressed tables, restricted to rows in changed leaf directories.
+
+    Digests do not cover names, so tables of different columns or types are compared as a whole. The
+    leaves are used once per side: hand in a written table.
+    """
+    types = [{f.name: f.dataType for f in df.schema if f.name not in ("dir", "digest")} for df in (old, new)]
+    sides = [old, new]
+    if types[0] == types[1]:
+        sides = [join_small(df, leaves, ["dir"], "left_semi") for df in sides]
+    return diff_rows(*[side.drop("dir", "digest") for side in sides], keys, keys_not_null)
 
 
 def blob_dedup(digests: DataFrame) -> DataFrame:
@@ -92,60 +105,86 @@ MAX_LISTED_DIRS = 100_000
 MAX_SCAN_NAMES = 1000
 
 
-def _ancestor(depth: int):
-    return F.substring_index("dir", "/", depth)
+MANIFEST_COLUMNS = "folder string, keys array<string>, columns array<string>, dir string, levels int"
+
+
+def _ancestor(name: str, depth: int):
+    return F.substring_index(name, "/", depth)
 
 
 def write_snapshot(df: DataFrame, keys: list[str], path: str, levels: int = 4, **layout) -> None:
     """Store ``df`` under ``path``: ``rows`` ordered by directory and ``dirs`` with leaf digests.
 
-    Keys must not be NULL. Directories above the leaves are stored as ``dir_1`` … for pruning. The
-    rows are cut into files by directory and key, so a directory too large for one task is split.
+    Keys must not be NULL. The directory and those above it are stored under a name that no column of
+    ``df`` starts with. Rows and digests go to a new folder, which the manifest, written last, makes
+    the current one. The rows are cut into files by directory and key, so a directory too large for
+    one task is split. The digests are taken from the rows as they are written once.
     """
-    rows = df.withColumn("dir", feature_directory(df, keys, levels=levels, **layout))
-    rows = rows.withColumns({f"dir_{i}": _ancestor(i) for i in range(1, levels)})
-    ordered = rows.repartitionByRange("dir", *keys).sortWithinPartitions("dir", *keys)
+    spark, folder, at = df.sparkSession, uuid.uuid4().hex, "_dir"
+    while any(c.startswith(at) for c in df.columns):
+        at = f"_{at}"
+    rows = df.withColumn(at, feature_directory(df, keys, levels=levels, **layout))
+    rows = rows.withColumns({f"{at}_{i}": _ancestor(at, i) for i in range(1, levels)})
+    ordered = rows.repartitionByRange(at, *keys).sortWithinPartitions(at, *keys)
     pages = {"parquet.page.row.count.limit": str(PAGE_ROWS)}
-    ordered.write.mode("overwrite").options(**pages).parquet(f"{path}/rows")
-    stored = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+    ordered.write.options(**pages).parquet(f"{path}/{folder}/rows")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/{folder}/rows")
     names = keys + sorted(c for c in df.columns if c not in keys)
-    leaves = leaf_sums(stored.select("dir", row_digest(stored, names).alias("digest")))
+    leaves = leaf_sums(stored.select(F.col(at).alias("dir"), row_digest(stored, names).alias("digest")))
     digest = F.sha2(F.concat_ws(":", "n", *CHUNKS), 256)
-    leaves.select("dir", digest.alias("digest")).write.mode("overwrite").parquet(f"{path}/dirs")
+    leaves.select("dir", digest.alias("digest")).write.parquet(f"{path}/{folder}/dirs")
+    manifest = spark.createDataFrame([(folder, keys, df.columns, at, levels)], MANIFEST_COLUMNS)
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str):
+    return spark.read.schema(MANIFEST_COLUMNS).json(f"{path}/manifest").first()
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a stored snapshot, as they were handed in."""
+    m = _manifest(spark, path)
+    return spark.read.parquet(f"{path}/{m['folder']}/rows").select(*m["columns"])
 
 
-def _scan_filter(dirs: list[str], levels: int):
+def _scan_filter(dirs: list[str], levels: int, at: str):
     """Filter on the deepest directory level whose changed names are few enough, and that level."""
     for depth in range(levels, 0, -1):
         names = {"/".join(d.split("/")[:depth]) for d in dirs}
         if len(names) <= MAX_SCAN_NAMES:
-            return F.col("dir" if depth == levels else f"dir_{depth}").isin(sorted(names)), depth
+            return F.col(at if depth == levels else f"{at}_{depth}").isin(sorted(names)), depth
     return F.lit(True), 0
 
 
 def diff_snapshots(
     spark: SparkSession, path_a: str, path_b: str, keys: list[str], names: list[str] | None = None
 ) -> DataFrame:
-    """Delta between two stored snapshots of the same layout, reading what changed.
+    """Delta between two stored snapshots, reading what changed; equal to :func:`diff_rows` of them.
 
     While the changed directories stay within ``MAX_LISTED_DIRS``, the scans are filtered by the
     directories themselves or by the lowest level of directories above them that is short enough.
-    Beyond that a join restricts both sides to the changed directories.
+    Beyond that a join restricts both sides to the changed directories. Snapshots whose columns, types
+    or layouts differ are compared as a whole, because their digests say nothing.
     """
-    dirs_a = spark.read.parquet(f"{path_a}/dirs")
-    dirs_b = spark.read.schema(dirs_a.schema).parquet(f"{path_b}/dirs").withColumnRenamed("digest", "digest_b")
+    a, b = _manifest(spark, path_a), _manifest(spark, path_b)
+    sides = [spark.read.parquet(f"{path}/{m['folder']}/rows") for path, m in ((path_a, a), (path_b, b))]
+    keep = [[c for c in m["columns"] if names is None or c in names or c in keys] for m in (a, b)]
+    types = [{c: side.schema[c].dataType for c in m["columns"]} for side, m in zip(sides, (a, b))]
+    if types[0] != types[1] or any(a[k] != b[k] for k in ("keys", "dir", "levels")):
+        return diff_rows(*[side.select(*k) for side, k in zip(sides, keep)], keys, keys_not_null=True)
+    dirs_a = spark.read.parquet(f"{path_a}/{a['folder']}/dirs")
+    dirs_b = spark.read.parquet(f"{path_b}/{b['folder']}/dirs").withColumnRenamed("digest", "digest_b")
     changed = dirs_a.join(dirs_b, "dir", "full").filter(~F.col("digest").eqNullSafe(F.col("digest_b"))).select("dir")
-    schema = spark.read.parquet(f"{path_b}/rows").schema
-    uppers = [c for c in schema.names if c.startswith("dir_")]
-    keep = names or [c for c in schema.names if c not in ("dir", *uppers)]
-    sides = [spark.read.schema(schema).parquet(f"{path}/rows") for path in (path_a, path_b)]
+    at, levels = b["dir"], b["levels"]
+    changed = changed.withColumnRenamed("dir", at)
     listed = [r[0] for r in changed.limit(MAX_LISTED_DIRS + 1).collect()]
     if len(listed) > MAX_LISTED_DIRS:
-        return diff_rows_pruned(*[side.drop(*uppers) for side in sides], keys, cut(changed), True)
-    levels = len(uppers) + 1
-    condition, depth = _scan_filter(listed, levels)
-    sides = [side.filter(condition) for side in sides]
-    if depth < levels:
-        leaves = F.broadcast(spark.createDataFrame([(d,) for d in listed], "dir string"))
-        sides = [side.join(leaves, "dir", "left_semi") for side in sides]
-    return diff_rows(*[side.select(*keep) for side in sides], keys, keys_not_null=True)
+        leaves = cut(changed)
+        sides = [join_small(side, leaves, [at], "left_semi") for side in sides]
+    else:
+        condition, depth = _scan_filter(listed, levels, at)
+        sides = [side.filter(condition) for side in sides]
+        if depth < levels:
+            leaves = F.broadcast(spark.createDataFrame([(d,) for d in listed], f"{at} string"))
+            sides = [side.join(leaves, at, "left_semi") for side in sides]
+    return diff_rows(*[side.select(*k) for side, k in zip(sides, keep)], keys, keys_not_null=True)

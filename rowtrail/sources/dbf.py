@@ -57,7 +57,7 @@ def _value(raw: bytes, kind: str):
             return date(int(text[:4]), int(text[4:6]), int(text[6:8]))
         except ValueError:
             return None
-    return text or None
+    return text or None if kind == "C" else None
 
 
 def files_of(path: str) -> list[str]:
@@ -93,6 +93,10 @@ class DbfReader(DataSourceReader):
 
         layout = read_layout(partition.path)
         arrow = to_arrow_schema(self.schema)
+        fields = {name: SPARK_TYPES.get(kind, T.StringType()) for name, kind, _ in layout.fields}
+        wanted = {f.name: f.dataType for f in self.schema if f.name != "fid"}
+        if fields != wanted:
+            raise ValueError(f"{partition.path} has the fields {fields}, the first file {wanted}")
         with open(partition.path, "rb") as f:
             f.seek(layout.header_size + partition.first * layout.record_size)
             for start in range(partition.first, partition.last, ROWS_PER_BATCH):
@@ -101,11 +105,11 @@ class DbfReader(DataSourceReader):
                     record = f.read(layout.record_size)
                     if record[:1] == b"*":
                         continue
-                    row, at = [partition.before + number + 1], 1
-                    for _, kind, length in layout.fields:
-                        row.append(_value(record[at:at + length], kind))
+                    values, at = {"fid": partition.before + number + 1}, 1
+                    for name, kind, length in layout.fields:
+                        values[name] = _value(record[at:at + length], kind)
                         at += length
-                    rows.append(row)
+                    rows.append([values[name] for name in arrow.names])
                 columns = list(zip(*rows)) if rows else [[] for _ in arrow]
                 arrays = [pa.array(c, type=t.type) for c, t in zip(columns, arrow)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
@@ -130,7 +134,9 @@ class DbfSource(DataSource):
 def read_dbf(spark: SparkSession, path: str, slices: int = 16) -> DataFrame:
     """Attribute rows with ``fid``, the record number from one; deleted records are left out.
 
-    The files of a folder have one layout and count on from file to file. Records have a fixed width, so each task seeks to its own range.
+    The files of a folder have the same fields, in any order, and count on from file to file; others
+    are an error. Fields of types that hold neither text, numbers, dates nor truth values are NULL.
+    Records have a fixed width, so each task seeks to its own range.
     """
     spark.dataSource.register(DbfSource)
     return spark.read.format("rowtrail_dbf").options(path=path, slices=slices).load()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtrail.functions.text import format_value
 from rowtrail.operators.evolve import SQL_TYPES, Field
@@ -40,9 +40,37 @@ def csv_columns(df: DataFrame, mode: str = "plain") -> DataFrame:
     ])
 
 
+# How CSV files tell NULL from text: NULL is this mark, and text that starts with a backslash has one more.
+NULL_MARK = "\\N"
+CSV_OPTIONS = {
+    "header": "true", "escape": '"', "nullValue": NULL_MARK, "emptyValue": "", "multiLine": "true",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "lineSep": "\n", "quoteAll": "true",
+}
+
+
+def _texts(df: DataFrame, change) -> DataFrame:
+    return df.select(*[
+        change(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema
+    ])
+
+
 def export_csv(df: DataFrame, path: str, mode: str = "plain") -> None:
-    """Write CSV files with a header."""
-    csv_columns(df, mode).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Write CSV files with a header; :func:`read_csv` gives the same rows back."""
+    rows = csv_columns(df, mode)
+    rows = _texts(rows, lambda c: F.when(c.startswith("\\"), F.concat(F.lit("\\"), c)).otherwise(c))
+    rows.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows that :func:`export_csv` wrote, in the types of ``schema``."""
+    plain = T.StructType([
+        T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.BinaryType) else f.dataType) for f in schema
+    ])
+    rows = spark.read.schema(plain).options(**CSV_OPTIONS).csv(path)
+    rows = _texts(rows, lambda c: F.when(c.startswith("\\"), F.substring(c, F.lit(2), F.length(c))).otherwise(c))
+    return rows.select(*[
+        F.unhex(f.name).alias(f.name) if isinstance(f.dataType, T.BinaryType) else F.col(f.name) for f in schema
+    ])
 
 
 def to_geojson(df: DataFrame, geometry: str | None = None) -> DataFrame:
