@@ -172,6 +172,14 @@ ORACLES = {
     "v1_ancestors": oracle(
         f"{_MAIN} SELECT c.commit_id, c.commit_no FROM a JOIN {{commits}} c ON c.commit_id = a.commit_id"
     ),
+    # The commits follow from their numbers: 10 d has the d main commits below it and five commits of
+    # each branch merged up to it; 10 d + 5 and 10 d + 9 add the five or four commits of their branch.
+    "v1_reachable_all_refs": oracle(
+        "WITH r AS (SELECT concat('topic/', event_id::VARCHAR) AS name, event_id AS e FROM {events} WHERE event_id % 10"
+        " IN (5, 9) UNION ALL SELECT 'main', max(event_id) FROM {events} WHERE event_id % 10 = 0)"
+        " SELECT name, e // 10 + 1 + 5 * (e // 10 - e // 70) + CASE e % 10 WHEN 5 THEN 5 WHEN 9 THEN 4 ELSE 0 END"
+        " AS commits, 0::BIGINT AS first, e AS last FROM r"
+    ),
     "v2_log": oracle(_LOG),
     "v2_log_top": oracle(_LOG + " LIMIT 25"),
     "v4_show": oracle(

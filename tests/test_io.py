@@ -19,35 +19,45 @@ from rowtrail.operators.tiles import read_files
 
 
 @pytest.fixture
-def cities(tmp_path):
-    path = str(tmp_path / "cities.gpkg")
+def harbour(tmp_path):
+    """A package of another program: one feature table with odd values, one attribute table, one of tiles."""
+    path = str(tmp_path / "harbour.gpkg")
     with sqlite3.connect(path) as db:
         db.executescript("""
             CREATE TABLE gpkg_contents (table_name TEXT, data_type TEXT, identifier TEXT);
             CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER);
-            CREATE TABLE cities (fid INTEGER PRIMARY KEY, name TEXT NOT NULL, population INTEGER, geom BLOB, area REAL, odd INTEGER);
-            CREATE TABLE notes (code TEXT PRIMARY KEY, flag BOOLEAN) WITHOUT ROWID;
-            INSERT INTO gpkg_contents VALUES ('cities', 'features', 'c'), ('notes', 'attributes', 'n'), ('t', 'tiles', 't');
-            INSERT INTO gpkg_geometry_columns VALUES ('cities', 'geom', 'POINT', 4326);
-            INSERT INTO cities VALUES (1, 'Tokyo', 13960000, NULL, 1.5, 1), (2, 'Delhi', 11034555, x'4750', 2, 'text'),
-                                      (900, 'Shanghai', 24870895, NULL, NULL, 2.5);
-            INSERT INTO notes VALUES ('a', 1), ('b', 0);
+            CREATE TABLE berths (id INTEGER PRIMARY KEY, label TEXT, boats INTEGER, shape BLOB, depth REAL, mixed INTEGER);
+            CREATE TABLE keepers (code TEXT PRIMARY KEY, present BOOLEAN) WITHOUT ROWID;
+            INSERT INTO gpkg_contents VALUES ('keepers', 'attributes', 'k'), ('berths', 'features', 'b'), ('chart', 'tiles', 'c');
+            INSERT INTO gpkg_geometry_columns VALUES ('berths', 'shape', 'POLYGON', 25832);
+            INSERT INTO berths VALUES (4, 'north', 12, NULL, 3.5, 7), (5, 'south', 0, x'4750', 6, 'seven');
+            INSERT INTO berths VALUES (40000, NULL, 31, NULL, NULL, 7.5);
+            INSERT INTO keepers VALUES ('m', 0), ('o', 1);
         """)
     return path
 
 
-def test_read_geopackage(spark, cities):
-    assert list_tables(cities) == ["cities", "notes"]
-    df = read_geopackage(spark, cities, "cities", slices=4)
-    assert df.schema.simpleString() == "struct<fid:bigint,name:string,population:bigint,geom:binary,area:float,odd:bigint>"
-    assert df.schema["fid"].metadata["primary_key_index"] == 0
-    assert df.schema["geom"].metadata["geometry_crs"] == "EPSG:4326"
-    rows = [tuple(r) for r in df.orderBy("fid").collect()]
-    assert rows == [(1, "Tokyo", 13960000, None, 1.5, 1), (2, "Delhi", 11034555, b"GP", 2.0, None),
-                    (900, "Shanghai", 24870895, None, None, None)]
-    assert [tuple(r) for r in read_all(spark, cities)["notes"].orderBy("code").collect()] == [("a", True), ("b", False)]
+def test_read_geopackage(spark, harbour):
+    assert list_tables(harbour) == ["berths", "keepers"]
+    df = read_geopackage(spark, harbour, "berths", slices=4)
+    assert df.schema.simpleString() == "struct<id:bigint,label:string,boats:bigint,shape:binary,depth:float,mixed:bigint>"
+    assert df.schema["id"].metadata["primary_key_index"] == 0
+    assert df.schema["shape"].metadata["geometry_crs"] == "EPSG:25832"
+    rows = [tuple(r) for r in df.orderBy("id").collect()]
+    assert rows == [(4, "north", 12, None, 3.5, 7), (5, "south", 0, b"GP", 6.0, None), (40000, None, 31, None, None, None)]
+    assert [tuple(r) for r in read_all(spark, harbour)["keepers"].orderBy("code").collect()] == [("m", False), ("o", True)]
     with pytest.raises(Exception, match="no table"):
-        read_geopackage(spark, cities, "missing").count()
+        read_geopackage(spark, harbour, "missing").count()
+
+
+def test_append_updates_equal_keys(spark, tmp_path):
+    path = str(tmp_path / "upsert")
+    make = lambda rows: spark.createDataFrame(rows, "id long, name string, seq int")
+    export_geopackage(make([(1, "a", 1), (1, "b", 3), (1, "c", 2), (2, "x", 1)]), path, "t", ["id"], seq="seq")
+    export_geopackage(make([(2, "y", 1), (3, "z", 1)]), path, "t", ["id"], seq="seq", mode="append")
+    assert sorted(map(tuple, read_geopackage(spark, path, "t").collect())) == [(1, "b"), (2, "y"), (3, "z")]
+    with sqlite3.connect(shards(path)[0]) as db:
+        assert {r[0] for r in db.execute("SELECT srs_id FROM gpkg_spatial_ref_sys")} == {-1, 0, 4326}
 
 
 def test_export_geopackage(spark, tmp_path):
@@ -102,8 +112,8 @@ def test_scan_feature_files_with_two_keys(spark, tmp_path):
 def test_csv_and_geojson(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "hi"', b"\x01", "POINT(1 2)"), (2, None, None, None)], "id long, t string, b binary, g string")
     exports.export_csv(df, f"{tmp_path}/csv")
-    back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/csv").orderBy("id").collect()
-    assert [tuple(r) for r in back] == [("1", 'say "hi"', "01", "POINT(1 2)"), ("2", None, None, None)]
+    back = exports.read_csv(spark, f"{tmp_path}/csv", df.schema).orderBy("id").collect()
+    assert [tuple(r) for r in back] == [(1, 'say "hi"', b"\x01", "POINT(1 2)"), (2, None, None, None)]
     shown = exports.csv_columns(df, "display").orderBy("id").collect()
     assert tuple(shown[0]) == ("1", '"say "hi""', "<1 bytes>", '"POINT(1 2)"') and shown[1].t == "NULL"
     features = [json.loads(r.feature) for r in exports.to_geojson(df.orderBy("id"), "g").collect()]

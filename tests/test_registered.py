@@ -9,8 +9,6 @@ from checks.compare import compare, duck_tables
 OWN = {name for module in entry._optional() for name in module.QUERIES}
 QUERIES = {name: run for name, run in entry.queries().items() if name not in OWN}
 ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name not in OWN}
-# The only query without SQL: a walk for every ref. test_history compares it by brute force.
-NO_SQL = {"v1_reachable_all_refs"}
 
 
 @pytest.fixture(scope="module")
@@ -19,8 +17,7 @@ def db(sf):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(ORACLES) == NO_SQL
-    assert not set(ORACLES) - set(QUERIES)
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
