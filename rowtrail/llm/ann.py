@@ -121,11 +121,12 @@ def nearest(
         n_blocks, n_groups = max(1, math.ceil(dims[dim] / block)), max(1, math.ceil(n_asked / QUERIES))
         # Blocks and query groups are dealt by hash; every pair of them is one cogroup of bounded size.
         deal = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n))
+        counted = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
         index = places.filter(F.col("dim") == dim).select(
-            deal("v", n_blocks).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).cast("long").alias("g"), "ids", "v"
+            deal("v", n_blocks).alias("b"), F.explode(counted(n_groups)).alias("g"), "ids", "v"
         )
         ask = queries.filter(F.col("dim") == dim).select(
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long").alias("b"), deal("id", n_groups).alias("g"), "id", "v"
+            F.explode(counted(n_blocks)).alias("b"), deal("id", n_groups).alias("g"), "id", "v"
         )
         found = ask.groupBy("b", "g").cogroup(index.groupBy("b", "g")).applyInArrow(_searcher(dim, k, lines, share, growth, reach, seed, schema), schema)
         out = found if out is None else out.unionByName(found)
