@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from checks import duck
 from checks.inputs import ORDER_VALUES, given, oracle
-from checks.q_diff import ORACLES as DIFF_ORACLES, flat
+from checks.q_diff import ORACLES as DIFF_ORACLES, evolved, flat
 from rowtrail.functions import address as P
 from rowtrail.operators import address as A
-from rowtrail.plans import scratch
+from rowtrail.plans import cut, scratch
 
 KEY = ["o_orderkey"]
 DIGEST_COLUMNS = ["o_orderkey", *sorted(ORDER_VALUES)]
@@ -29,7 +29,7 @@ def digests(spark, sf, name):
 
 def h9(spark, sf):
     old, new = (A.with_address(given(spark, sf, n), KEY) for n in ("orders", "ours"))
-    leaves = A.changed_leaves(A.dir_digests(old), A.dir_digests(new))
+    leaves = cut(A.changed_leaves(A.dir_digests(old), A.dir_digests(new), levels=4))
     return flat(A.diff_rows_pruned(old, new, KEY, leaves), KEY)
 
 
@@ -40,6 +40,13 @@ def h9_stored(spark, sf):
     return flat(A.diff_snapshots(spark, f"{folder}/orders", f"{folder}/ours", KEY), KEY)
 
 
+def h9_evolved(spark, sf):
+    folder = scratch(spark, "snapshots")
+    A.write_snapshot(given(spark, sf, "orders"), KEY, f"{folder}/old")
+    A.write_snapshot(evolved(spark, sf), KEY, f"{folder}/new")
+    return flat(A.diff_snapshots(spark, f"{folder}/old", f"{folder}/new", KEY), KEY)
+
+
 def h10(spark, sf):
     parts = []
     for name in ("orders", "ours", "theirs"):
@@ -88,6 +95,7 @@ QUERIES = {
     "h8_changed_dirs": lambda s, sf: A.changed_dirs(digests(s, sf, "orders"), digests(s, sf, "ours")),
     "h9_diff_rows_pruned": h9,
     "h9_diff_snapshots": h9_stored,
+    "h9_diff_snapshots_evolved": h9_evolved,
     "h10_blob_dedup": h10,
     "h11_legend_hash": lambda s, sf: _legends(s, sf).select("p_partkey", P.legend_hash(F.col("column_ids")).alias("hash")),
     "h12_tile_shard_path_point_cloud": lambda s, sf: h12(s, sf, P.POINT_CLOUD_EXTENSIONS),
@@ -164,6 +172,7 @@ ORACLES = {
     ),
     "h9_diff_rows_pruned": DIFF_ORACLES["d1_diff_rows"],
     "h9_diff_snapshots": DIFF_ORACLES["d1_diff_rows"],
+    "h9_diff_snapshots_evolved": DIFF_ORACLES["d1_diff_rows_evolved"],
     "h10_blob_dedup": oracle(
         "SELECT count(*) AS total_rows, count(DISTINCT digest) AS distinct_blobs, count(*) - count(DISTINCT digest)"
         f" AS shared_rows FROM ({_VERSIONS})"

@@ -25,6 +25,15 @@ def c4(spark, sf):
     return C.apply_changes(given(spark, sf, "customer"), log(spark, sf), given(spark, sf, "current"), KEY)
 
 
+def _mixed_log(spark, sf) -> DataFrame:
+    """The log with each key in several tables."""
+    return log(spark, sf).withColumn("table_name", F.concat(F.lit("t"), (F.col("seq") % 3).cast("string")))
+
+
+def c4_one_table(spark, sf):
+    return C.apply_changes(given(spark, sf, "customer"), _mixed_log(spark, sf), given(spark, sf, "current"), KEY, "t1")
+
+
 def _tagged(df: DataFrame, key: str = KEY) -> DataFrame:
     return df.withColumn("table_name", F.concat(F.lit("t"), (F.col(key) % 3).cast("string")))
 
@@ -73,6 +82,7 @@ QUERIES = {
     "c2_status": lambda s, sf: C.status(log(s, sf)),
     "c3_net_changes": lambda s, sf: C.net_changes(log(s, sf)),
     "c4_apply_changes": c4,
+    "c4_apply_changes_one_table": c4_one_table,
     "c5_clear_changes": lambda s, sf: C.clear_changes(log(s, sf), "t1"),
     "c6_selective_sync": lambda s, sf: _sync(s, sf)[0],
     "c6_selective_sync_pending": lambda s, sf: _sync(s, sf)[1],
@@ -112,6 +122,9 @@ ORACLES = {
     "c2_status": oracle(_STATUS),
     "c3_net_changes": oracle(_NET),
     "c4_apply_changes": oracle(_applied()),
+    "c4_apply_changes_one_table": oracle(
+        _applied().replace("FROM {change_log} GROUP BY", "FROM {change_log} WHERE seq % 3 = 1 GROUP BY")
+    ),
     "c5_clear_changes": oracle("SELECT * FROM {change_log} WHERE table_name <> 't1'"),
     "c6_selective_sync": oracle(_applied("table_name IN ('t1', 't2')", True)),
     "c6_selective_sync_pending": oracle("SELECT * FROM {change_log} WHERE table_name NOT IN ('t1', 't2')"),

@@ -44,6 +44,17 @@ def d1_composite(spark, sf):
     return flat(D.diff_rows(old, edited, keys), keys)
 
 
+def evolved(spark, sf) -> DataFrame:
+    """A version with a column dropped, one retyped and one added."""
+    rows = given(spark, sf, "ours").drop("o_orderstatus")
+    note = F.when(F.col("o_orderkey") % 10 == 0, F.concat(F.col("o_orderpriority"), F.lit("!")))
+    return rows.withColumns({"o_custkey": F.col("o_custkey").cast("string"), "o_note": note})
+
+
+def d1_evolved(spark, sf):
+    return flat(D.diff_rows(given(spark, sf, "orders"), evolved(spark, sf), KEY), KEY)
+
+
 def _datasets(spark, sf):
     status = F.coalesce(F.col("old.o_orderpriority"), F.col("new.o_orderpriority"))
     return orders_delta(spark, sf).withColumn("dataset", status)
@@ -76,6 +87,7 @@ QUERIES = {
     "d1_diff_rows": d1,
     "d1_diff_rows_nulls": d1_nulls,
     "d1_diff_rows_composite_key": d1_composite,
+    "d1_diff_rows_evolved": d1_evolved,
     "d2_filter_delta": lambda s, sf: flat(D.filter_delta(orders_delta(s, sf), "U"), KEY),
     "d3_diff_summary": lambda s, sf: D.diff_summary(orders_delta(s, sf)),
     "d4_diff_stat_by_dataset": lambda s, sf: D.diff_stat_by_dataset(_datasets(s, sf)),
@@ -87,6 +99,17 @@ QUERIES = {
 }
 
 _DELTA = duck.delta("{orders}", "{ours}", KEY, ORDER_VALUES)
+# Both versions with the columns and types that they are compared in.
+_EVOLVED = ["o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority", "o_note", "o_orderstatus"]
+_OLDER = (
+    "(SELECT o_orderkey, o_custkey::VARCHAR AS o_custkey, o_totalprice, o_orderdate, o_orderpriority,"
+    " NULL::VARCHAR AS o_note, o_orderstatus FROM {orders})"
+)
+_NEWER = (
+    "(SELECT o_orderkey, o_custkey::VARCHAR AS o_custkey, o_totalprice, o_orderdate, o_orderpriority,"
+    " CASE WHEN o_orderkey % 10 = 0 THEN o_orderpriority || '!' END AS o_note, NULL::VARCHAR AS o_orderstatus FROM {ours})"
+)
+EVOLVED_DELTA = duck.delta(_OLDER, _NEWER, KEY, _EVOLVED)
 _COUNT = "count(*) FILTER (op = '{}') AS {}"
 
 
@@ -126,6 +149,7 @@ ORACLES = {
         " AS l_quantity) FROM {keyed_lineitem} WHERE (l_orderkey + l_linenumber) % 9 <> 0) "
         + duck.delta("{keyed_lineitem}", "edited", ["l_orderkey", "l_linenumber"], _LINE_VALUES)
     ),
+    "d1_diff_rows_evolved": oracle(EVOLVED_DELTA),
     "d2_filter_delta": oracle(f"SELECT * FROM ({_DELTA}) WHERE op = 'U'"),
     "d3_diff_summary": oracle(
         f"SELECT {_COUNT.format('I', 'inserts')}, {_COUNT.format('U', 'updates')}, {_COUNT.format('D', 'deletes')}"
