@@ -288,23 +288,24 @@ def tree_listing(paths: DataFrame, prefix: str = "", recursive: bool = False) ->
     return paths.select(F.substring_index(below, "/", 1).alias("path")).distinct()
 
 
-def row_history(deltas: DataFrame, keys: list[str], chunk: int = 1024) -> DataFrame:
+def row_history(deltas: DataFrame, keys: list[str]) -> DataFrame:
     """Successive versions of every row: (keys, commit_no, op, old, new) with the version before.
 
-    A key's history is cut into runs of ``chunk`` commit numbers, so a window never holds more than
-    ``chunk`` rows of one key; the last version of each run is handed to the run after it.
+    Rows are cut into ranges of (keys, commit_no) of about equal size, whatever the numbers are, so a
+    window never holds more of one key than a range does; the last version of a key in each range is
+    handed to the next.
     """
-    rows = deltas.select(*keys, "commit_no", "op", "new").withColumn(
-        "_run", F.floor(F.col("commit_no") / chunk)
-    )
-    run = Window.partitionBy(*keys, "_run")
-    within = run.orderBy("commit_no")
-    rows = rows.withColumns(
-        {"_prev": F.lag("new").over(within), "_first": F.row_number().over(within) == 1}
-    )
-    tails = rows.groupBy(*keys, "_run").agg(F.max_by(F.struct("new"), "commit_no").alias("_tail"))
-    handed = F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_run"))
-    tails = tails.select(*keys, "_run", handed.alias("_handed"))
+    ranges = deltas.select(*keys, "commit_no", "op", "new").repartitionByRange(*keys, "commit_no")
+    rows = cut(ranges.withColumn("_run", F.spark_partition_id()))
+    within = Window.partitionBy(*keys, "_run").orderBy("commit_no")
+    rows = rows.withColumns({
+        "_prev": F.lag("new").over(within),
+        "_first": F.row_number().over(within) == 1,
+        "_last": F.lead("commit_no").over(within).isNull(),
+    })
+    # One row per key and range.
+    handed = F.lag(F.struct("new")).over(Window.partitionBy(*keys).orderBy("_run"))
+    tails = rows.filter("_last").select(*keys, "_run", handed.alias("_handed"))
     # Key columns compare NULL-safe, as in the diff.
     right = tails.withColumnsRenamed({c: f"_r_{c}" for c in [*keys, "_run"]})
     same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in [*keys, "_run"]]

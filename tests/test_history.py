@@ -83,7 +83,7 @@ def test_unknown_ref_has_no_history(spark, sf):
 def test_row_history_across_runs(spark):
     rows = [("hot", n, "U", (n,)) for n in range(0, 3000, 3)] + [("a", 5, "I", (5,)), ("a", 2999, "D", None), (None, 7, "I", (7,))]
     deltas = spark.createDataFrame(rows, "k string, commit_no long, op string, new struct<v:long>")
-    got = {(r.k, r.commit_no): r.old and r.old.v for r in H.row_history(deltas, ["k"], chunk=64).collect()}
+    got = {(r.k, r.commit_no): r.old and r.old.v for r in H.row_history(deltas, ["k"]).collect()}
     want = {("hot", n): n - 3 if n else None for n in range(0, 3000, 3)}
     assert got == want | {("a", 5): None, ("a", 2999): 5, (None, 7): None}
 
@@ -108,3 +108,10 @@ def test_diff_refs_equals_diff_of_snapshots(spark, sf):
     got = H.diff_refs(given(spark, sf, "customer"), Q.customer_deltas(spark, sf), Q.index(spark, sf), Q.refs(spark, sf),
                       Q.TOPIC, "main", Q.CUSTOMER)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_row_history_of_one_hot_key_with_sparse_numbers(spark):
+    """A key of all rows and numbers far apart still spread over several ranges."""
+    deltas = spark.range(4000).selectExpr("1L AS k", "id * 1000000007 AS commit_no", "'U' AS op", "named_struct('v', id) AS new")
+    rows = H.row_history(deltas, ["k"])
+    assert sorted((r.new.v, r.old.v if r.old else None) for r in rows.collect()) == [(i, i - 1 if i else None) for i in range(4000)]
