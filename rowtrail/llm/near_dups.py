@@ -7,8 +7,9 @@ finished once no later rank can lower any slot, after two or three ranks for tex
 
 Documents of equal sets form one class. Bands of the signatures put classes into buckets, where each
 is first compared with the bucket's smallest one; links are confirmed on the full sets and grouped by
-union-find. Pairs that this leaves open, those of one bucket but different groups, are compared in
-turn, so no link between candidates is lost and no bucket is expanded into all its pairs.
+union-find. Members of buckets that still hold different groups are then joined by the rare ends of
+their sets, which finds every link between groups, so no link between candidates is lost and no
+bucket is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from rowtrail.llm.common import batches, mix64, texts, with_fields, written
 
 WORDS = 5
 BANDS, ROWS = 44, 5  # at a similarity of 0.75 a pair shares a bucket with probability 1 - 7e-6
 SLOTS = BANDS * ROWS
-SMALL = 32
+SIZE_STEP = 1.1
 PERCENT = 75
 SLICE = 1 << 16
 CACHE = 400_000
@@ -209,18 +210,27 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of buckets that hold several groups still, with the bucket's ``size``."""
-    rooted = written(_rooted(members, roots), "rooted")
-    mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return rooted.join(mixed.filter("lo != hi").select("key", "size"), "key")
-
+def _prefix_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different groups among ``nodes`` (cid, root) that the order of their shingles leaves possible.
 
-def _cross(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different groups whose sizes allow a link."""
-    other = members.select("key", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    pairs = members.join(other, "key").filter("cid < b AND root != rb")
-    return pairs.filter(F.least("n", "nb") * 100 >= F.greatest("n", "nb") * PERCENT).select(F.col("cid").alias("a"), "b")
+    Shingles are ordered from rare to frequent. If the first common one of two sets of n >= m shingles
+    has p and q before it, they share at most min(n - p, m - q); a link needs 7 of them for every
+    3 (n + m). So only the first seventh of the smaller set is indexed and little more of the larger
+    one looks it up, by size class. Passages that many share come last and are hardly ever met.
+    """
+    own = sets.join(nodes, "cid").withColumn("own", F.xxhash64("set"))
+    each = own.select("cid", "root", "n", "own", F.explode("set").alias("g"))
+    each = each.join(each.groupBy("g").agg(F.count(F.lit(1)).alias("f")), "g")
+    place = F.row_number().over(Window.partitionBy("cid", "own").orderBy("f", "g")) - 1
+    early = written(each.withColumn("p", place).filter("4 * p <= n AND f > 1").drop("f", "own"), "prefix")
+    step = float(np.log(SIZE_STEP))
+    class_of = lambda size: F.floor(F.log(size) / F.lit(step)).cast("int")
+    index = early.filter("7 * p <= n").select("g", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("m"), F.col("p").alias("q"), class_of(F.col("n")).alias("class"))
+    # One class more at the lower end, against rounding; the exact condition follows.
+    ask = early.withColumn("class", F.explode(F.sequence(class_of(F.col("n") * 0.75) - 1, class_of(F.col("n")))))
+    ask = ask.filter(7 * (F.col("n") - F.col("p")) >= 3 * (F.col("n") + F.pow(F.lit(SIZE_STEP), F.col("class")) - 1))
+    pairs = ask.join(index, ["g", "class"]).filter("m <= n AND cid != b AND root != rb AND 7 * least(n - p, m - q) >= 3 * (n + m)")
+    return pairs.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
 
 
 def _star(buckets: DataFrame) -> DataFrame:
@@ -247,23 +257,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = written(confirm(asked, sets), "links")
     roots = components(links)
 
-    # What the first round leaves open: small buckets by their pairs, large ones cut by a second band.
-    left = written(_open(members, roots), "open")
-    small = left.filter(F.col("size") <= SMALL)
-    large = left.filter(F.col("size") > SMALL)
-    finer = large.select("key", "cid", "n").join(heads.select("cid", "bands"), "cid").select("cid", "n", "key", F.explode("bands").alias("band"))
-    finer = finer.filter("band != key").select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "cid", "n").distinct()
-    finer = written(_buckets(finer), "buckets")
-    asked_more = written(_cross(small).unionByName(_star(finer)).distinct().join(asked, ["a", "b"], "left_anti"), "pairs")
-    more = written(confirm(asked_more, sets), "links")
-    links = links.unionByName(more)
-    roots = components(links)
-    # The rest: any pair of a fine bucket whose groups still differ.
-    asked = asked.unionByName(asked_more)
-    last = written(_cross(_open(finer, roots)).distinct().join(asked, ["a", "b"], "left_anti"), "pairs")
-    final = written(confirm(last, sets), "links")
-    if final.take(1):
-        roots = components(links.unionByName(final))
+    # What the first round leaves open: members of buckets that hold several groups.
+    rooted = written(_rooted(members, roots), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    nodes = written(rooted.join(mixed, "key", "left_semi").select("cid", "root").distinct(), "open")
+    more = written(confirm(written(_prefix_pairs(sets, nodes).join(asked, ["a", "b"], "left_anti"), "pairs"), sets), "links")
+    if more.take(1):
+        roots = components(links.unionByName(more))
 
     shared = classes.filter("copies > 1").select("k1", "k2", "cid")
     out = sketched.select("id", "n", "k1", "k2").join(shared, ["k1", "k2"], "left")
