@@ -89,6 +89,16 @@ def tags(spark, sf):
     return rows
 
 
+def raster_info(spark, sf):
+    """Image files of 23 datasets, read from their bytes."""
+    name = F.lpad(F.col("p_partkey").cast("string"), 12, "0")
+    keyed = T.tiff_tile_tags(tiff_bytes(spark, sf)).withColumns(
+        {"dataset": F.concat(F.lit("r"), (F.col("p_partkey") % 23).cast("string")), "name": name}
+    )
+    out = T.raster_dataset_info(T.tiff_band_schema(keyed, ["dataset", "name"]))
+    return out.withColumn("schema", F.array_join("schema", "; "))
+
+
 def tiff_bytes(spark, sf):
     """TIFF files with those tags; a missing tag carries a private number instead."""
     p = F.col("p_partkey")
@@ -174,12 +184,14 @@ QUERIES = {
         C.attachments_set(given(s, sf, "owners"), given(s, sf, "uploads"))
     ),
     "l7_attachments_show": lambda s, sf: short(C.attachments_show(attached(s, sf))),
+    "l7_metadata_show": lambda s, sf: short(C.metadata_show(attached(s, sf))),
     "l8_tile_inventory": lambda s, sf: T.tile_inventory(tiles(s, sf), POINT_CLOUD_EXTENSIONS),
     "l8_count_tiles": lambda s, sf: T.count_tiles(tiles(s, sf)),
     "l9_las_tile_headers": headers,
     "l10_las_schema": lambda s, sf: T.las_schema(tiles(s, sf), ["doc_id"]),
     "l11_tiff_band_schema": lambda s, sf: T.tiff_band_schema(tags(s, sf), ["p_partkey"]),
     "l11_tiff_band_schema_bytes": l11_bytes,
+    "l12_raster_info": raster_info,
     "l12_tile_dataset_info": lambda s, sf: T.tile_dataset_info(headers(s, sf)),
     "s1_format_value": lambda s, sf: s1(s, sf, S.format_value),
     "s2_format_pk": s2,
@@ -288,6 +300,11 @@ ORACLES = {
         " SELECT dataset, kind, name, md5(content) AS content FROM (SELECT *, row_number() OVER (PARTITION BY dataset"
         " ORDER BY kind = 'file', name = 'license.xml') AS rn FROM k WHERE name <> 'metadata.xml') WHERE rn = 1"
     ),
+    "l7_metadata_show": oracle(
+        f"WITH {_SET}, k AS (SELECT dataset, kind, name, max(content) AS content FROM a WHERE accepted GROUP BY 1, 2, 3)"
+        " SELECT dataset, kind, md5(content) AS content FROM (SELECT *, row_number() OVER (PARTITION BY dataset"
+        " ORDER BY kind = 'file') AS rn FROM k WHERE name = 'metadata.xml') WHERE rn = 1"
+    ),
     "l8_tile_inventory": oracle(
         "SELECT dataset, substr(sha256(b), 1, 2) || '/' || b AS path, length FROM (SELECT dataset, length, CASE WHEN name"
         " LIKE '%.copc.laz' THEN left(name, -9) WHEN name LIKE '%.laz' OR name LIKE '%.las' THEN left(name, -4) ELSE name"
@@ -302,6 +319,12 @@ ORACLES = {
     ),
     "l11_tiff_band_schema": oracle(_BANDS),
     "l11_tiff_band_schema_bytes": oracle(_BANDS),
+    "l12_raster_info": oracle(
+        f"WITH t AS (SELECT p_partkey, string_agg(data_type || '(' || size || ')' || coalesce(' [' || interpretation || ']',"
+        f" ''), '; ' ORDER BY band) AS schema FROM ({_BANDS}) GROUP BY 1),"
+        " n AS (SELECT concat('r', (p_partkey % 23)::VARCHAR) AS dataset, lpad(p_partkey::VARCHAR, 12, '0') AS name, schema FROM t)"
+        " SELECT dataset, arg_min(schema, name) AS schema, count(*) AS tiles, min(schema) <> max(schema) AS mixed FROM n GROUP BY 1"
+    ),
     "l12_tile_dataset_info": oracle(
         f"WITH {_HEADERS}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY name) AS rn FROM h)"
         " SELECT dataset, max(compression) FILTER (rn = 1) AS compression, max(las_version) FILTER (rn = 1) AS"

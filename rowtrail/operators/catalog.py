@@ -128,6 +128,13 @@ def attachments_set(datasets: DataFrame, uploads: DataFrame) -> DataFrame:
     return joined.select("dataset", "kind", name.alias("name"), "content", F.coalesce(accepted, F.lit(False)).alias("accepted"))
 
 
+def metadata_show(attachments: DataFrame) -> DataFrame:
+    """(dataset, kind, content): the metadata document of every dataset, of its table before its file."""
+    rows = attachments.filter(F.col("name") == "metadata.xml")
+    best = F.min_by(F.struct("kind", "content"), F.struct((F.col("kind") != "table").alias("rank"), "content"))
+    return rows.groupBy("dataset").agg(best.alias("_best")).select("dataset", "_best.*")
+
+
 def attachments_show(attachments: DataFrame) -> DataFrame:
     """The licence to show per dataset: table before file, plain before XML.
 

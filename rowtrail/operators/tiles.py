@@ -119,6 +119,22 @@ def tile_dataset_info(headers: DataFrame) -> DataFrame:
     ).select("dataset", "_h.*", "tiles", "mixed")
 
 
+def raster_dataset_info(bands: DataFrame) -> DataFrame:
+    """Per dataset the bands of its first tile by name, its tile count and whether tiles differ.
+
+    ``bands`` is the result of :func:`tiff_band_schema` with the columns dataset and name; ``schema``
+    lists ``data_type(size)`` with the interpretation in brackets, one text per band.
+    """
+    kind = F.concat(F.col("data_type"), F.lit("("), F.col("size").cast("string"), F.lit(")"))
+    text = F.when(F.col("interpretation").isNull(), kind).otherwise(F.concat(kind, F.lit(" ["), F.col("interpretation"), F.lit("]")))
+    # A tile has few bands.
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("band", text.alias("text")))), lambda b: b["text"])
+    tiles = bands.groupBy("dataset", "name").agg(listed.alias("schema"))
+    return tiles.groupBy("dataset").agg(
+        F.min_by("schema", "name").alias("schema"), F.count(F.lit(1)).alias("tiles"), (F.min("schema") != F.max("schema")).alias("mixed")
+    )
+
+
 def tiff_band_schema(tags: DataFrame, keep: list[str]) -> DataFrame:
     """(keep…, band, data_type, size, unsigned, interpretation) of every band, numbered from one.
 
