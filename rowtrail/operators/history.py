@@ -19,10 +19,12 @@ from rowtrail.plans import cut, join_small
 # ---------------------------------------------------------------------------------------------
 # Reachability. Walking parents level by level costs one job per generation, and Spark's recursive
 # CTE does the same (and has no UNION to drop paths met twice). Instead commits are indexed once
-# into chains: a chain follows first parents, so what a ref reaches inside a chain is always its
-# lower end, and the search moves by whole chains. A commit's chain continues with the child that
-# has most descendants, so a line of first parents changes chains at most log2(commits) times.
-# All steps double their reach: indexing takes about 2 log2(longest line) rounds.
+# into chains: a chain follows parent links, so what a ref reaches inside a chain is always its
+# lower end, and the search moves by whole chains. Of several parents a commit follows the one whose
+# line of first parents is longest, so merges that list a fresh branch first stay on the main line.
+# A commit's chain continues with the child that has most descendants, so a line of followed parents
+# changes chains at most log2(commits) times. All steps double their reach: indexing takes about
+# 3 log2(longest line) rounds.
 # ---------------------------------------------------------------------------------------------
 
 
@@ -35,8 +37,36 @@ def _key_or_own(link: str):
 STEPS = 2
 
 
+def _depths(links: DataFrame) -> DataFrame:
+    """(commit_id, depth): how many commits lie below each one by first parents."""
+
+    def double(jump: DataFrame) -> DataFrame:
+        target = jump.select(F.col("commit_id").alias("_key"), F.col("up").alias("_next"), F.col("depth").alias("_more"))
+        moved = jump.withColumn("_key", _key_or_own("up")).join(target, "_key", "left")
+        return moved.select("commit_id", F.col("_next").alias("up"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"))
+
+    start = F.when(F.col("first").isNull(), 0).otherwise(1).cast("bigint")
+    jump = links.select("commit_id", F.col("first").alias("up"), start.alias("depth"))
+    while not jump.filter(F.col("up").isNotNull()).isEmpty():
+        for _ in range(STEPS):
+            jump = double(jump)
+        jump = cut(jump)
+    return jump.select("commit_id", "depth")
+
+
+def _followed(commits: DataFrame) -> DataFrame:
+    """(commit_id, first): the parent that each commit's chain goes on with."""
+    first = F.try_element_at("parent_ids", F.lit(1))
+    depths = _depths(cut(commits.select("commit_id", first.alias("first"))))
+    known = commits.select("commit_id", "commit_no").join(depths, "commit_id").withColumnRenamed("commit_id", "_parent")
+    asked = commits.select("commit_id", F.explode("parent_ids").alias("_parent")).join(known, "_parent")
+    best = asked.groupBy("commit_id").agg(F.max(F.struct("depth", "commit_no", "_parent")).alias("_best"))
+    chosen = best.select("commit_id", F.col("_best._parent").alias("first"))
+    return cut(commits.select("commit_id").join(chosen, "commit_id", "left"))
+
+
 def _line_sizes(links: DataFrame) -> DataFrame:
-    """(commit_id, size): how many commits descend from each one by first parents, itself included."""
+    """(commit_id, size): how many commits descend from each one by followed parents, itself included."""
 
     def double(jump: DataFrame) -> DataFrame:
         below = jump.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("commit_id"))
@@ -98,8 +128,7 @@ def index_commits(commits: DataFrame) -> CommitIndex:
 
     Build it once per commit table and pass it to the functions below.
     """
-    first = F.try_element_at("parent_ids", F.lit(1))
-    links = cut(commits.select("commit_id", first.alias("first")))
+    links = _followed(commits)
     sized = links.filter(F.col("first").isNotNull()).join(_line_sizes(links), "commit_id")
     heirs = sized.groupBy("first").agg(F.max_by("commit_id", F.struct("size", "commit_id")).alias("commit_id"))
     heirs = heirs.select("commit_id", F.col("first").alias("up"))

@@ -115,3 +115,18 @@ def test_row_history_of_one_hot_key_with_sparse_numbers(spark):
     deltas = spark.range(4000).selectExpr("1L AS k", "id * 1000000007 AS commit_no", "'U' AS op", "named_struct('v', id) AS new")
     rows = H.row_history(deltas, ["k"])
     assert sorted((r.new.v, r.old.v if r.old else None) for r in rows.collect()) == [(i, i - 1 if i else None) for i in range(4000)]
+
+
+def test_merges_that_list_a_fresh_branch_first(spark, monkeypatch):
+    """Three hundred merges with an orphan commit as first parent are searched in a few rounds."""
+    parents = {0: []}
+    for k in range(1, 301):
+        parents[2 * k - 1] = []
+        parents[2 * k] = [2 * k - 1, 2 * k - 2]
+    index = H.index_commits(commits_frame(spark, parents))
+    rounds, cut = [], H.cut
+    monkeypatch.setattr(H, "cut", lambda df: rounds.append(1) or cut(df))
+    refs = spark.createDataFrame([("main", "c600"), ("half", "c300")], "name string, commit_id string")
+    got = {(r.name, r.commit_no) for r in H.reachable(index, refs).collect()}
+    assert got == {(name, p) for name, start in (("main", 600), ("half", 300)) for p in walk(parents, start)}
+    assert len(rounds) <= 5
