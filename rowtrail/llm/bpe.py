@@ -9,16 +9,20 @@ back by position. Decoding joins the ids with the table of token bytes.
 from __future__ import annotations
 
 import base64
+import json
+import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rowtrail.llm.common import texts, with_fields
+from rowtrail.llm.common import texts
 
-CHUNK_DOCS = 8000
+CHUNK_DOCS = 4000
 MAX_CUTS = 1024
-FLUSH = 400_000
+FLUSH = 500_000
+CODEC = pa.Codec("zstd", compression_level=3)
 # White space other than blank and line feed, and the mark that cuts are made at.
 OTHER_SPACE = ["\0", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 
@@ -48,18 +52,18 @@ def split_words(text: str) -> list[str]:
 
 
 def _plan_chunks(rows: DataFrame):
-    """Ids to cut at, at most ``MAX_CUTS``, and the number of chunks between two cuts."""
+    """Ids to cut at, at most ``MAX_CUTS``, the number of chunks between two cuts, and of all."""
     n = rows.count()
     chunks = max(1, -(-n // CHUNK_DOCS))
     cuts = min(chunks, MAX_CUTS)
     sub = -(-chunks // cuts)
     at = rows.select(F.percentile_approx("id", [k / cuts for k in range(1, cuts)], 10_000)).first()[0] if cuts > 1 else []
-    return sorted(set(at or [])), sub
+    return sorted(set(at or [])), sub, chunks
 
 
-def with_chunks(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``chunk``: neighbouring ids share one. Null ids are in the first."""
-    cuts, sub = _plan_chunks(rows)
+def with_chunks(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with ``chunk``, and the number of chunks: neighbouring ids share one, null ids the first."""
+    cuts, sub, chunks = _plan_chunks(rows)
     # A binary search over the cuts, as nested comparisons.
 
     def search(lo: int, hi: int):
@@ -71,81 +75,143 @@ def with_chunks(rows: DataFrame) -> DataFrame:
     part = search(0, len(cuts)).cast("long")
     if sub > 1:
         part = part * F.lit(sub) + F.pmod(F.xxhash64("id"), F.lit(sub))
-    return rows.withColumn("chunk", part)
+    return rows.withColumn("chunk", part), chunks
 
 
-def distinct_words(rows: DataFrame) -> DataFrame:
-    """(chunk, word): the words of each chunk, once per task that meets it."""
+def _squeezed(value) -> bytes:
+    raw = json.dumps(value, ensure_ascii=False).encode() if not isinstance(value, bytes) else value
+    return len(raw).to_bytes(8, "little") + CODEC.compress(raw, asbytes=True)
+
+
+def _raw(packed: bytes) -> bytes:
+    return CODEC.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+
+
+def _groups(batch: pa.RecordBatch, key: str):
+    """(key, rows of it) for each key of a batch."""
+    keys = batch.column(key).to_numpy()
+    order = np.argsort(keys, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1) if len(order) else []:
+        yield int(keys[part[0]]), pa.array(part)
+
+
+def by_bucket(words: set[str], buckets: int) -> dict[int, list[str]]:
+    """The words of each bucket in order; a word's bucket is a hash of it."""
+    parts: dict[int, list[str]] = {}
+    for word in sorted(words):
+        parts.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
+    return parts
+
+
+def distinct_words(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, chunk, words): the words of each chunk, once per task that meets it.
+
+    The words of one chunk and bucket travel as one compressed list.
+    """
 
     def run(it):
         seen: dict[int, set[str]] = {}
 
         def flush():
-            for chunk, words in seen.items():
-                got = pa.array(words, pa.large_string()).cast(pa.large_binary()).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), chunk)), got], ["chunk", "word"])
-            seen.clear()
+            while seen:
+                chunk, own = seen.popitem()
+                parts = by_bucket(own, buckets)
+                columns = [pa.array(list(parts), pa.int64()), pa.array([chunk] * len(parts), pa.int64()), pa.array(map(_squeezed, parts.values()), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "words"])
 
         for batch in it:
-            for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen.setdefault(chunk, set()).update(split_words(text))
-                if len(seen[chunk]) > FLUSH:
-                    yield from flush()
+            for chunk, part in _groups(batch, "chunk"):
+                own = seen.setdefault(chunk, set())
+                for text in batch.column("text").take(part).to_pylist():
+                    own.update(split_words(text))
+            if sum(map(len, seen.values())) > FLUSH:
+                yield from flush()
         yield from flush()
 
-    return rows.select("chunk", "text").mapInArrow(run, "chunk long, word binary")
+    return rows.select("chunk", "text").mapInArrow(run, "bucket long, chunk long, words binary")
 
 
 def encode_words(words: DataFrame, file: str, pattern: str) -> DataFrame:
-    """(chunk, word, ids): all rows of a word meet in one task, which encodes it once."""
+    """(chunk, bucket, ids): for each chunk and bucket the ids of its words, in the order of the words.
+
+    The rows of a bucket follow each other in one task, so each word is encoded once.
+    """
 
     def run(it):
         import tiktoken
 
-        known: dict[bytes, bytes] = {}
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=load_ranks(file), special_tokens={}).encode_ordinary
-        for batch in it:
-            out = []
-            for word in batch.column("word").to_pylist():
-                if (ids := known.get(word)) is None:
-                    ids = known[word] = np.array(encode(word.decode("utf-8", "surrogatepass")), "<u4").tobytes()
-                    if len(known) > FLUSH:
-                        known.clear()  # words come sorted: later rows of this batch may encode one again
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("word"), pa.array(out, pa.binary())], ["chunk", "word", "ids"])
-
-    # A word has at most one row per chunk and task, however often it occurs.
-    return words.repartition("word").mapInArrow(run, "chunk long, word binary, ids binary")
+        ranks = load_ranks(file)
+        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        width = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
+        known: dict[str, list[int]] = {}
+        rows = (row for batch in it for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        last = None
+        for (bucket, chunk), own in groupby(rows, key=lambda r: r[:2]):
+            if bucket != last:
+                last = bucket
+                known.clear()
+            ids = []
+            for word in sorted({w for _, _, packed in own for w in json.loads(_raw(packed))}):
+                if (found := known.get(word)) is None:
+                    found = known[word] = encode(word)
+                ids.append(found)
+            sizes = np.array([len(x) for x in ids], "<u4").tobytes()
+            flat = np.array([i for x in ids for i in x], width).tobytes()
+            packed = _squeezed(len(ids).to_bytes(8, "little") + sizes + flat)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int64()), pa.array([packed], pa.binary())], ["chunk", "bucket", "ids"])
+
+    # A bucket has at most one row per chunk and task, however often its words occur.
+    return words.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, "chunk long, bucket long, ids binary")
+
+
+def _ids_of(words: list[str], packed: bytes) -> dict[str, bytes]:
+    """The ids of each word, as little-endian integers of four bytes."""
+    raw = _raw(packed)
+    n = int.from_bytes(raw[:8], "little")
+    sizes = np.frombuffer(raw, "<u4", n, 8).astype(np.int64)
+    rest, total = raw[8 + 4 * n :], int(sizes.sum())
+    flat = np.frombuffer(rest, "<u2" if len(rest) == 2 * total else "<u4").astype("<u4").tobytes()
+    ends = 4 * np.cumsum(sizes)
+    return dict(zip(words, [flat[a:b] for a, b in zip((ends - 4 * sizes).tolist(), ends.tolist(), strict=True)], strict=True))
 
 
 def encode(df: DataFrame, file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): the token ids of every row's whole text, in reading order.
 
     A null or empty text has no ids. Ids may be null or repeat; every row comes back once. Words are
-    shuffled once per chunk and task, texts once, compressed. A missing word would be an error.
+    shuffled once per chunk and task, texts once, both compressed. A missing word would be an error.
     """
-    rows = with_chunks(texts(df, id_col, text_col))
-    ids = encode_words(distinct_words(rows), file, pattern)
-    schema = with_fields(rows, ids=T.ArrayType(T.IntegerType()))
-    packed_schema = T.StructType([rows.schema["id"], T.StructField("chunk", T.LongType()), T.StructField("size", T.LongType()), T.StructField("packed", T.BinaryType())])
+    rows, chunks = with_chunks(texts(df, id_col, text_col))
+    kind = rows.schema["id"].dataType
+    buckets = min(4096, max(64, 4 * chunks))
+    ids = encode_words(distinct_words(rows, buckets), file, pattern)
+    schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    packed_schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("texts", T.BinaryType())])
 
     def squeeze(it):
         for batch in it:
-            raw = batch.column("text").cast(pa.binary()).to_pylist()
-            packed = [pa.compress(x, "zstd", asbytes=True) for x in raw]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("chunk"), pa.array([len(x) for x in raw], pa.int64()), pa.array(packed, pa.binary())], ["id", "chunk", "size", "packed"]
-            )
-
-    def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-        known = dict(zip((w.decode("utf-8", "surrogatepass") for w in words.column("word").to_pylist()), words.column("ids").to_pylist(), strict=True))
-        found = []
-        for size, packed in zip(docs.column("size").to_pylist(), docs.column("packed").to_pylist(), strict=True):
-            text = pa.decompress(packed, size, "zstd", asbytes=True).decode("utf-8", "surrogatepass") if size else ""
-            found.append(b"".join(map(known.__getitem__, split_words(text))))
-        offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-        values = pa.array(np.frombuffer(b"".join(found), "<i4"))
-        return pa.table([docs.column("id").combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "ids"])
+            for chunk, part in _groups(batch, "chunk"):
+                own = batch.column("id").take(part)
+                packed = _squeezed(batch.column("text").take(part).to_pylist())
+                doc_ids = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), doc_ids, pa.array([packed], pa.binary())], ["chunk", "doc_ids", "texts"])
+
+    def assemble(docs: pa.Table, ids: pa.Table) -> pa.Table:
+        blocks = list(zip(docs.column("doc_ids").combine_chunks(), docs.column("texts").to_pylist(), strict=True))
+        own: set[str] = set()
+        for _, packed in blocks:
+            for text in json.loads(_raw(packed)):
+                own.update(split_words(text))
+        parts, known = by_bucket(own, buckets), {}
+        for bucket, packed in zip(ids.column("bucket").to_pylist(), ids.column("ids").to_pylist(), strict=True):
+            known.update(_ids_of(parts.pop(bucket), packed))
+        get, out = known.__getitem__, []
+        for doc_ids, packed in blocks:
+            found = [b"".join(map(get, split_words(text))) for text in json.loads(_raw(packed))]
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
+            out.append(pa.table([doc_ids.values, lists], names=["id", "ids"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], docs.schema.field("doc_ids").type.value_type), pa.array([], pa.list_(pa.int32()))], names=["id", "ids"])
 
     docs = rows.mapInArrow(squeeze, packed_schema)
     return docs.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(assemble, schema).withColumnRenamed("id", id_col)
@@ -162,7 +228,7 @@ def decode(df: DataFrame, file: str, ids_col: str = "ids") -> DataFrame:
         by_rank = {rank: token for token, rank in load_ranks(file).items()}
         for batch in it:
             column = batch.column(ids_col)
-            decoded = [b"".join(map(by_rank.__getitem__, x.values.to_pylist())) if x.is_valid else b"" for x in column]
+            decoded = [b"".join(map(by_rank.__getitem__, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
     return df.mapInArrow(run, schema)
