@@ -22,7 +22,7 @@ SHORTEST, LONGEST = 3, 5
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_"
 CACHE = 400_000
 RARE = 3  # words of fewer documents would be learnt by heart
-STEPS, RATE, DAMPING, SCALE, DECAY = 50, 0.1, 3.0, 40.0, 0.003
+STEPS, RATE, DAMPING, SCALE = 50, 0.1, 3.0, 40.0
 
 
 @dataclass
@@ -87,65 +87,71 @@ def fit(documents: list[str], labels: np.ndarray, prior: float, seed: int = 1) -
             cells.append((np.array([w for w, _ in own]), np.array([n for _, n in own], np.float32)))
     labels = np.asarray(labels)[kept].astype(np.int64)
     if not len(labels) or labels.min() == labels.max():
-        return Model(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 2), np.float32), np.array([0.0, _logit(prior)]))
+        return fit_nothing(prior)
     sizes = np.array([len(c[0]) for c in cells])
     doc, word = np.repeat(np.arange(len(cells)), sizes), np.concatenate([c[0] for c in cells])
     share = np.concatenate([c[1] for c in cells]) * np.float32(SCALE)
     first = np.cumsum(sizes) - sizes
     bucket, begin = grams(list(number))
     per_word = np.diff(np.append(begin, len(bucket)))
-    each = per_word.astype(np.float32)[:, None]
+    each = per_word.astype(np.float32)
     used, bucket = np.unique(bucket, return_inverse=True)
     by_word = np.argsort(word, kind="stable")
     word_first = np.searchsorted(word[by_word], np.arange(len(number)))
     by_bucket = np.argsort(bucket, kind="stable")
     bucket_first = np.searchsorted(bucket[by_bucket], np.arange(len(used)))
-    gram_word = np.repeat(np.arange(len(number)), per_word)
+    bucket_word = np.repeat(np.arange(len(number)), per_word)[by_bucket]
+    word_doc, word_share = doc[by_word], share[by_word]
 
     watched = np.arange(len(labels)) % 5 == 0
     rate = np.bincount(labels, minlength=2) / len(labels)
     weight = np.where(labels == 1, prior / rate[1], (1 - prior) / rate[0])
     inner = (np.where(watched, 0, weight) / weight[~watched].sum()).astype(np.float32)
-    state = [x.astype(np.float32) for x in (rng.normal(0, 0.05, (len(used), DIM)), rng.normal(0, 0.5, (DIM, 2)), np.array([0.0, _logit(prior)]))]
+    state = [x.astype(np.float32) for x in (rng.normal(0, 0.05, (DIM, len(used))), rng.normal(0, 0.5, (DIM, 2)), np.array([0.0, _logit(prior)]))]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in state]
     best, best_loss = None, np.inf
     for step in range(1, STEPS + 1):
         e, w, b = state
-        vectors = np.add.reduceat(e[bucket], begin) / each
-        means = np.add.reduceat(vectors[word] * share[:, None], first)
+        # One dimension at a time: sums over long plain arrays.
+        means = np.stack([np.add.reduceat((np.add.reduceat(x[bucket], begin) / each)[word] * share, first) for x in e], axis=1)
+        centre = means.mean(0)  # what all texts share is the bias's part
+        means -= centre
         logits = means @ w + b
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(1, keepdims=True)
         loss = -np.log(np.maximum(p[np.arange(len(labels)), labels], 1e-12)) * weight
         if (now := loss[watched].mean()) < best_loss:
-            best, best_loss = [x.copy() for x in state], now
+            best, best_loss = [e.copy(), w.copy(), b - centre @ w], now
         d = p.copy()
         d[np.arange(len(labels)), labels] -= 1
         d *= inner[:, None]
-        d_means = d @ w.T
-        d_word = np.add.reduceat((d_means[doc] * share[:, None])[by_word], word_first) / each
-        d_e = np.add.reduceat(d_word[gram_word][by_bucket], bucket_first)
+        d_e = np.stack([np.add.reduceat((np.add.reduceat(x[word_doc] * word_share, word_first) / each)[bucket_word], bucket_first) for x in w @ (d - d.mean(0)).T])
         for x, grad, (m, v) in zip(state, (d_e, means.T @ d, d.sum(0)), moments, strict=True):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad * grad - v)
-            x *= 1 - DECAY
             # Entries of small gradients, those of rare n-grams, take small steps.
             x -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + DAMPING * np.sqrt((grad * grad).mean()) + 1e-12)
     e = np.zeros((BUCKETS, DIM), np.float32)
-    e[used] = best[0]
+    e[used] = best[0].T
     return Model(e, best[1].astype(np.float32), best[2])
 
 
+def fit_nothing(prior: float) -> Model:
+    """The model whose every score is ``prior``."""
+    return Model(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, 2), np.float32), np.array([0.0, _logit(prior)]))
+
+
 def _logit(p: float) -> float:
     p = min(max(p, 1e-6), 1 - 1e-6)
     return float(np.log(p / (1 - p)))
 
 
 def train(
-    df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000
+    df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 2000
 ) -> Model:
-    """Fit on the labelled rows of ``df``: at most ``per_class`` rows of each label, by hash of the id.
+    """Fit on the labelled rows of ``df``: at most ``per_class`` rows of label 1 and twice
+    as many of label 0, by hash of the id.
 
     An id with several labels has the highest; null labels and ids teach nothing, and rows that repeat
     an id count once. Training runs in one task, whose input this bound limits. Without rows of both
@@ -157,9 +163,9 @@ def train(
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     chosen = None
     for y in (0, 1):
-        own = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        own = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class if y else 2 * per_class)
         chosen = own if chosen is None else chosen.unionByName(own)
-    # At most twice ``per_class`` ids.
+    # At most three times ``per_class`` ids.
     sample = texts(df, id_col, text_col).join(F.broadcast(chosen), "id").select("id", "y", "text")
 
     def run(it):
@@ -173,6 +179,8 @@ def train(
         yield pa.RecordBatch.from_arrays(parts, ["e", "w", "b"])
 
     row = sample.coalesce(1).mapInArrow(run, "e binary, w binary, b binary").first()
+    if row is None:  # no partition at all
+        return fit_nothing(prior)
     got = lambda x, *shape: np.frombuffer(x, "<f4").reshape(shape)
     return Model(got(row["e"], BUCKETS, DIM), got(row["w"], DIM, 2), got(row["b"], 2))
 
