@@ -207,7 +207,7 @@ def test_pruned_diff_equals_diff(spark, versions):
     assert rows_of(A.diff_rows_pruned(a, b, ["id"], leaves)) == rows_of(D.diff_rows(base, ours, ["id"]))
 
 
-@pytest.mark.parametrize("listed, named, column", [(100_000, 1000, "dir"), (100_000, 2, "dir_3"), (1, 1000, None)])
+@pytest.mark.parametrize("listed, named, column", [(100_000, 1000, "_dir"), (100_000, 2, "_dir_3"), (1, 1000, None)])
 def test_stored_diff_reads_changed_directories_only(spark, tmp_path, monkeypatch, listed, named, column):
     monkeypatch.setattr(A, "MAX_LISTED_DIRS", listed)
     monkeypatch.setattr(A, "MAX_SCAN_NAMES", named)

@@ -46,7 +46,7 @@ def test_merge_exchanges_the_base_once(spark, sf):
 def test_net_changes_combine_before_the_shuffle(spark, sf):
     text = plan(C.net_changes(given(spark, sf, "change_log")))
     assert exchanges(text) == 1 and "SortAggregate" not in text
-    assert text.index("functions=[max(") < text.index("Exchange hashpartitioning") < text.index("partial_max(")
+    assert text.index("functions=[max_by(") < text.index("Exchange hashpartitioning") < text.index("partial_max_by(")
 
 
 def test_small_log_leaves_the_base_unshuffled(spark, sf):
