@@ -14,32 +14,55 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rowtrail.llm.common import mix64, texts, with_fields
-from rowtrail.llm.near_dups import WordHashes
 
 GRAM = 3
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 1, -1, -1
 WORD = re.compile(r"[^\W_]+")
 FILTER_BITS = 18
+CACHE = 400_000
 
-_HASHES = WordHashes()  # of this worker process
+# Every ASCII character that is no letter or digit, as a blank.
+BLANKED = {c: " " for c in range(128) if not chr(c).isalnum()}
+
+
+class TextHashes(dict):
+    """64-bit hashes by word; forgets all when it grows beyond its bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+_HASHES = TextHashes()  # of this worker process
 
 
 def word_hashes(text: str) -> np.ndarray:
-    words = [w.encode("utf-8", "surrogatepass") for w in WORD.findall(text.lower())]
+    """Hashes of the words of ``text`` (runs of letters and digits, in lower case) in order."""
+    text = text.lower()
+    words = text.translate(BLANKED).split() if text.isascii() else WORD.findall(text)
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
-def gram_hashes(words: np.ndarray) -> np.ndarray:
-    """Hashes of all grams of ``GRAM`` words; of the whole sequence, if it has fewer."""
-    n, size = max(1, len(words) - GRAM + 1), min(GRAM, len(words))
+def _of_size(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words; each place in a run has a factor of its own."""
+    n = len(words) - size + 1
     total = np.full(n, size, np.uint64)
     for k in range(size):
-        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
-    return total if len(words) else total[:0]
+        total += words[k : k + n] * FACTORS[k]
+    return mix64(total)
+
+
+def gram_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of all grams of ``GRAM`` words; of the whole sequence, if it has fewer."""
+    return _of_size(words, min(GRAM, len(words))) if len(words) else words
 
 
 class Items:
@@ -73,14 +96,6 @@ class Items:
         return find
 
 
-def _of_size(words: np.ndarray, size: int) -> np.ndarray:
-    n = len(words) - size + 1
-    total = np.full(n, size, np.uint64)
-    for k in range(size):
-        total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
-    return total
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """(score, start, end) of the best local alignment in ``passage``; end exclusive, leftmost end on ties.
 
