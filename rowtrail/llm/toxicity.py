@@ -21,6 +21,7 @@ BUCKETS, DIM = 1 << 16, 4
 SHORTEST, LONGEST = 3, 5
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_"
 CACHE = 400_000
+SLICE = 200  # texts whose new words are learnt together
 RARE = 3  # words of fewer documents would be learnt by heart
 STEPS, RATE, DAMPING, SCALE = 50, 0.1, 3.0, 40.0
 
@@ -216,13 +217,16 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     def run(it):
         known = WordSums(slopes.value)
 
-        def one(text: str) -> float:
-            words = words_of(text)
-            known.learn(set(words))
-            at = offset + (sum(map(known.__getitem__, words)) / len(words) if words else 0.0)
-            return float(1 / (1 + np.exp(-np.clip(at, -500, 500))))
+        def scores(texts: list[str]) -> list[float]:
+            rows = [words_of(text) for text in texts]
+            known.learn(set().union(*rows))  # new words of many texts at once
+            at = np.array([offset + (sum(map(known.__getitem__, words)) / len(words) if words else 0.0) for words in rows])
+            return (1 / (1 + np.exp(-np.clip(at, -500, 500)))).tolist()
 
-        make = batches(lambda batch: {"id": batch.column("id"), "score": [one(t.as_py()) for t in batch.column("text")]}, schema)
-        yield from make(it)
+        def make(batch: pa.RecordBatch) -> dict:
+            text = batch.column("text")
+            return {"id": batch.column("id"), "score": [x for lo in range(0, len(text), SLICE) for x in scores(text[lo : lo + SLICE].to_pylist())]}
+
+        yield from batches(make, schema)(it)
 
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
