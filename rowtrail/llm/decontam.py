@@ -1,16 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
-
-The document frequency of every three-word gram of the benchmark is counted over the whole corpus. The
-rarer half of an item's grams are its seeds; a document that holds one is aligned around it with the
-item. The best local alignment, relative to the item's length, is the score: copies have 1, edited
-ones what their edits leave.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment of words.
+
+An alignment of m matched words and e errors has at most e + 1 runs of matches, so at least m - e - 1
+of the item's word pairs stand in the document: a score of s words takes s - 1 pairs. The document
+frequency of every pair of the benchmark is counted over the whole corpus, and the rarest pairs of an
+item, all but s - 2 of them, are its seeds: no alignment from the threshold on is without one. A
+document that holds a seed, and s - 1 of the item's pairs around it, is aligned with the item. The best
+local alignment, relative to the item's length, is the score: copies have 1, edited ones what their
+edits leave.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from rowtrail.llm.common import mix64, texts, with_fields
 
-GRAM = 3
+GRAM = 2
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 1, -1, -1
@@ -60,32 +62,41 @@ def _of_size(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(total)
 
 
-def gram_hashes(words: np.ndarray) -> np.ndarray:
-    """Hashes of all grams of ``GRAM`` words; of the whole sequence, if it has fewer."""
-    return _of_size(words, min(GRAM, len(words))) if len(words) else words
+def least_score(size: int, threshold: float) -> int:
+    """The least whole score from ``threshold`` on of an item of ``size`` words."""
+    return max(1, math.ceil(threshold * MATCH * size))
+
+
+def gram_size(size: int, threshold: float) -> int:
+    """Words a gram of an item has: a pair; all of a shorter item; one, if one word is enough of an item."""
+    return size if size <= GRAM else GRAM if least_score(size, threshold) > 1 else 1
 
 
 class Items:
     """Words and grams of one block of the benchmark; travels to every task."""
 
-    def __init__(self, rows: list[tuple[object, str]]):
+    def __init__(self, rows: list[tuple[object, str]], threshold: float):
         self.ids = [i for i, _ in rows]
         self.words = [word_hashes(t) for _, t in rows]
-        self.grams = [gram_hashes(w) for w in self.words]
-        self.sizes = sorted({len(w) for w in self.words if 0 < len(w) < GRAM})
-        self.known = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
-
-    def lookup(self, wanted: np.ndarray):
-        """A function that gives (position, index into ``wanted``) of a document's grams that are in it."""
+        sizes = [gram_size(len(w), threshold) for w in self.words]
+        grams = [_of_size(w, n) if n else w for w, n in zip(self.words, sizes, strict=True)]
+        # The least grams that an alignment from the threshold on keeps.
+        self.least = np.array([least_score(len(w), threshold) - 1 if len(w) > GRAM == n else 1 for w, n in zip(self.words, sizes, strict=True)], np.int64)
+        self.sizes = sorted({n for n in sizes if n})
+        self.known = np.unique(np.concatenate([*grams, np.zeros(0, np.uint64)]))
+        # Per item, the index in ``known`` of the gram at each of its positions.
+        self.grams = [np.searchsorted(self.known, g) for g in grams]
+
+    def lookup(self):
+        """A function that gives (position, index into ``known``) of a document's grams that are in it."""
+        wanted = self.known
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[wanted >> np.uint64(64 - FILTER_BITS)] = True
 
         def find(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            grams = [(gram_hashes(words), 0)] if len(words) >= GRAM else []
-            # Items shorter than a gram are looked up by their own size.
-            grams += [(_of_size(words, n), n) for n in self.sizes if len(words) >= n]
+            grams = [_of_size(words, n) for n in self.sizes if len(words) >= n]
             ats, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for g, _ in grams:
+            for g in grams:
                 at = np.flatnonzero(seen[g >> np.uint64(64 - FILTER_BITS)])
                 index = np.minimum(np.searchsorted(wanted, g[at]), max(0, len(wanted) - 1))
                 hit = wanted[index] == g[at] if len(wanted) else np.zeros(0, bool)
@@ -122,9 +133,11 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def _windows(at: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
-    """Merged stretches of the document where an item of ``size`` words can lie, from its seeds' shifts."""
-    slack = max(2, size // 3)
+def _windows(at: np.ndarray, size: int, slack: int, length: int) -> list[tuple[int, int]]:
+    """Merged stretches of the document where an item of ``size`` words can lie, from its seeds' shifts.
+
+    ``slack`` is the number of words that can be put in between.
+    """
     found: list[list[int]] = []
     for shift in np.unique(at).tolist():
         lo, hi = max(0, shift - slack), min(length, shift + size + slack)
@@ -140,7 +153,7 @@ def _count(rows: DataFrame, items: Items) -> np.ndarray:
     n = len(items.known)
 
     def run(it):
-        find, total = items.lookup(items.known), np.zeros(n, np.int64)
+        find, total = items.lookup(), np.zeros(n, np.int64)
         for batch in it:
             for text in batch.column("text"):
                 total[np.unique(find(word_hashes(text.as_py()))[1])] += 1
@@ -153,15 +166,33 @@ def _count(rows: DataFrame, items: Items) -> np.ndarray:
     return counts
 
 
-def _seeds(items: Items, counts: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
-    """Sorted seed hashes, and for each the (item, position) that it stands for."""
-    places = defaultdict(list)
-    for number, grams in enumerate(items.grams):
-        order = np.lexsort((np.arange(len(grams)), counts[np.searchsorted(items.known, grams)]))
-        for position in order[: math.ceil(len(grams) / 2)].tolist():
-            places[int(grams[position])].append((number, position))
-    seeds = np.array(sorted(places), np.uint64)
-    return seeds, {k: places[int(s)] for k, s in enumerate(seeds)}
+def _seeds(items: Items, counts: np.ndarray) -> list[np.ndarray]:
+    """Per item, the positions of its seeds: the rarest grams, as many as no kept alignment can be without.
+
+    Grams that no document holds match nothing and are left out.
+    """
+    found = []
+    for grams, least in zip(items.grams, items.least.tolist(), strict=True):
+        order = np.lexsort((np.arange(len(grams)), counts[grams]))[: max(0, len(grams) - least + 1)]
+        found.append(np.sort(order[counts[grams[order]] > 0]))
+    return found
+
+
+class Places:
+    """(item, position) of the grams at some positions of the items, by the gram's index."""
+
+    def __init__(self, items: Items, positions: list[np.ndarray]):
+        gram = np.concatenate([*(g[p] for g, p in zip(items.grams, positions, strict=True)), np.zeros(0, np.int64)])
+        item = np.repeat(np.arange(len(positions)), [len(p) for p in positions])
+        order = np.argsort(gram, kind="stable")
+        self.item, self.position = item[order], np.concatenate([*positions, np.zeros(0, np.int64)])[order].astype(np.int64)
+        self.first = np.searchsorted(gram[order], np.arange(len(items.known) + 1))
+
+    def of(self, at: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(at, item, position) of each place of each gram that was found at ``at``."""
+        n = self.first[grams + 1] - self.first[grams]
+        index = np.repeat(self.first[grams] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(at, n), self.item[index], self.position[index]
 
 
 def find_leaks(
@@ -170,8 +201,8 @@ def find_leaks(
 ) -> DataFrame:
     """(id, item, score, start, end): each row's best alignment with each item, from ``threshold`` on.
 
-    ``start`` and ``end`` count words of the document. Seeds have no upper frequency: the rarer half
-    of each item's grams are looked up wherever they occur. Null and empty texts, of documents and of
+    ``start`` and ``end`` count words of the document. Every alignment from ``threshold`` on is found,
+    whatever its edits; seeds have no upper frequency. Null and empty texts, of documents and of
     items, match nothing; an item of fewer than three words is looked up whole. Ids may be null or
     repeat; equal rows of the result are merged. The benchmark is read in blocks of about
     ``block_words`` words, each of which passes over the corpus twice without shuffling texts.
@@ -183,38 +214,47 @@ def find_leaks(
     n_blocks, out = max(1, math.ceil(words / block_words)), None
     for k in range(n_blocks):
         block = listed.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k).distinct()
-        items = Items([(r["id"], r["text"]) for r in block.collect()])  # a block of bounded size
-        seeds, places = _seeds(items, _count(rows, items))
-        found = rows.mapInArrow(_searcher(items, seeds, places, threshold, schema), schema).distinct()
+        items = Items([(r["id"], r["text"]) for r in block.collect()], threshold)  # a block of bounded size
+        places = Places(items, _seeds(items, _count(rows, items)))
+        found = rows.mapInArrow(_searcher(items, places, threshold, schema), schema).distinct()
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "start", "end")
 
 
-def _searcher(items: Items, seeds: np.ndarray, places: dict, threshold: float, schema: T.StructType):
-    def leaks(words: np.ndarray, find):
-        at, seed = find(words)
-        shifts = defaultdict(list)
-        for position, s in zip(at.tolist(), seed.tolist(), strict=True):
-            for number, offset in places[s]:
-                shifts[number].append(position - offset)
-        for number, own in shifts.items():
-            item = items.words[number]
-            best = (0, 0, 0)
-            for lo, hi in _windows(np.array(own), len(item), len(words)):
-                score, start, end = align(item, words[lo:hi])
-                if score > best[0]:
-                    best = (score, lo + start, lo + end)
+def _searcher(items: Items, places: Places, threshold: float, schema: T.StructType):
+    def leaks(words: np.ndarray, find, present: np.ndarray):
+        at, gram = find(words)
+        seeded, number, offset = places.of(at, gram)
+        if not len(seeded):
+            return
+        order = np.argsort(number, kind="stable")
+        shifts, number = (seeded - offset)[order], number[order]
+        present[gram] = True
+        kept = [(k, own) for k, own in zip(number[np.r_[True, np.diff(number) > 0]].tolist(), np.split(shifts, np.flatnonzero(np.diff(number)) + 1), strict=True) if np.count_nonzero(present[items.grams[k]]) >= items.least[k]]
+        present[gram] = False
+        for k, own in kept:
+            item, best = items.words[k], (0, 0, 0)
+            least = least_score(len(item), threshold)
+            for lo, hi in _windows(own, len(item), max(0, len(item) - least), len(words)):
+                near = gram[(at >= lo) & (at < hi)]
+                present[near] = True
+                enough = np.count_nonzero(present[items.grams[k]]) >= items.least[k]
+                present[near] = False
+                if enough:
+                    score, start, end = align(item, words[lo:hi])
+                    if score > best[0]:
+                        best = (score, lo + start, lo + end)
             if best[0] >= threshold * MATCH * len(item):
-                yield items.ids[number], best[0] / (MATCH * len(item)), best[1], best[2]
+                yield items.ids[k], best[0] / (MATCH * len(item)), best[1], best[2]
 
     def run(it):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, find = to_arrow_schema(schema), items.lookup(seeds)
+        arrow, find, present = to_arrow_schema(schema), items.lookup(), np.zeros(len(items.known), bool)
         for batch in it:
             owner, found = [], []
             for i, text in enumerate(batch.column("text")):
-                for leak in leaks(word_hashes(text.as_py()), find):
+                for leak in leaks(word_hashes(text.as_py()), find, present):
                     owner.append(i)
                     found.append(leak)
             columns = [batch.column("id").take(pa.array(owner, pa.int64())), *(pa.array([x[c] for x in found], arrow.field(c + 1).type) for c in range(4))]

@@ -327,6 +327,42 @@ def test_edited_copies_and_edges_of_decontamination(spark):
     assert decontam.find_leaks(df.limit(0), bench).count() == 0 and decontam.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_every_edit_rate_up_to_the_threshold_is_found(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items, docs, want = [], [], set()
+    for size in (3, 4, 5, 8, 15, 20, 39, 59):
+        for form in ("replaced", "inserted", "dropped"):
+            for edits in range(size // 2 + 1):
+                for copied in (False, True):
+                    item = [word() for _ in range(size)]
+                    at = {int((k + 1) * size / (edits + 1)) for k in range(edits)}  # evenly spaced
+                    if form == "replaced":
+                        own = [word() if k in at else w for k, w in enumerate(item)]
+                    elif form == "inserted":
+                        own = [x for k, w in enumerate(item) for x in ([word(), w] if k in at else [w])]
+                    else:
+                        own = [w for k, w in enumerate(item) if k not in at]
+                    items.append((len(items), " ".join(item)))
+                    for text in [own, item] if copied else [own]:
+                        text = [word() for _ in range(30)] + text + [word() for _ in range(30)]
+                        docs.append((len(docs), " ".join(text)))
+                        if (score := plain_align(item, text)) >= 0.5 * size:
+                            want.add((docs[-1][0], items[-1][0], score / size))
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_few_words_in_any_order_by_full_alignment(spark, threshold):
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    docs, items = [(k, text(rng.randint(0, 25))) for k in range(150)], [(k, text(rng.randint(3, 12))) for k in range(40)]
+    want = {(d, i, s / len(b.split())) for d, a in docs for i, b in items if (s := plain_align(b.split(), a.split())) >= threshold * len(b.split())}
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), threshold=threshold)
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in got.collect()} == want
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 
