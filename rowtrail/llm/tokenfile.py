@@ -58,13 +58,15 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
-        # Special tokens are found in the raw text, so a word that may hold one takes the long way.
-        if text.isascii() or max(text) < "ɐ" and "İ" not in text:
+        low = text.lower()
+        # Special tokens are found in the raw text, so a word that may hold one takes the long way. Some
+        # letters below U+0250 have a lower case beyond, which PIECES does not know.
+        if text.isascii() or max(text) < "ɐ" and max(low) < "ɐ" and "İ" not in text:
             plain = b"<|" not in word
         else:
             plain = False
         if plain:
-            found = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES.findall(text.lower())])
+            found = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES.findall(low)])
         else:
             found = np.array(self.all.encode(text, add_special_tokens=False).ids, self.width).tobytes()
         if len(self) >= CACHE:

@@ -152,6 +152,16 @@ def test_words_have_the_ids_of_the_whole_text():
         assert got == words.all.encode(text, add_special_tokens=False).ids, text
 
 
+def test_letters_whose_lower_case_lies_beyond_the_fast_path():
+    words = tokenfile.WordIds(WORD_FILE, "<u2")
+    far = [c for c in map(chr, range(0x250)) if max(c.lower()) >= "ɐ"]
+    assert len(far) == 24 and "Ə" in far  # the capitals of the finding, and U+0130
+    rng = random.Random(12)
+    for text in [x for c in map(chr, range(0x21, 0x250)) for x in (c, c + "li", "a" + c + "1", "É" + c + "'s")] + ["".join(rng.choice(far + PIECES) for _ in range(rng.randint(1, 9))) for _ in range(3000)]:
+        got = np.frombuffer(b"".join(map(words.__getitem__, text.encode().split())), "<u2").tolist()
+        assert got == words.all.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_file(spark, sf, edges, empty):
     tok = Tokenizer.from_file(WORD_FILE)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
