@@ -10,13 +10,14 @@ share is taken out of its host's sums before they judge it.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 from html import unescape
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rowtrail.llm.common import batches, named, written
 from rowtrail.llm.toxicity import STRIP
@@ -63,42 +64,35 @@ class WordGrams(dict):
         return found
 
 
-def train(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_language: int = 1500, most: int = 32) -> Model:
-    """N-gram counts by language from at most ``per_language`` labelled rows of each, by hash of the id.
+def train(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_language: int = 1500) -> Model:
+    """N-gram counts by language from at most ``per_language`` labelled rows of each, by hash of the row.
 
-    Rows without text or label teach nothing. Only the ``most`` frequent labels are languages.
+    Rows without text or label teach nothing, equal rows teach once. Every label that has text is a
+    language; the model takes 128 KB for each.
     """
-    known = df.select(named(id_col).alias("id"), F.lower(named(label_col)).alias("y")).dropna()
-    labels = [r["y"] for r in known.groupBy("y").count().orderBy(F.desc("count"), "y").limit(most).collect()]
-    chosen = None
-    for y in labels:
-        own = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_language)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    if chosen is None:
-        return Model([], np.zeros((BUCKETS, 0)), 0.0)
-    rows = df.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
-    # At most ``most * per_language`` ids.
-    sample = rows.join(F.broadcast(chosen.distinct()), "id")
+    rows = df.select(F.xxhash64(named(id_col), named(text_col)).alias("h"), F.lower(named(label_col)).alias("y"), named(text_col).alias("text"))
+    rows = rows.filter(F.col("y").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # Three times the rows wanted of a label pass by their hash, so its window is small however common it is.
+    sizes = rows.groupBy("y").agg(F.approx_count_distinct("h").alias("size"))
+    passed = rows.join(F.broadcast(sizes), "y").filter(F.col("h") / 2.0**64 + 0.5 <= 3.0 * per_language / F.col("size")).dropDuplicates(["y", "h"])
+    sample = passed.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy("h"))).filter(F.col("at") <= per_language)
 
     def run(it):
         sums, grams = {}, WordGrams()
         for batch in it:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 if words := words_of(text):
-                    own = sums.setdefault(y, np.zeros(BUCKETS, np.int64))
+                    own = sums.setdefault(y, np.zeros(BUCKETS, "<i8"))
                     own += np.bincount(np.concatenate([grams[w] for w in words]), minlength=BUCKETS)
-        for y, own in sums.items():
-            used = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([y] * len(used)), pa.array(used), pa.array(own[used])], ["y", "gram", "n"])
-
-    counts = np.zeros((BUCKETS, len(labels)))
-    place = {y: k for k, y in enumerate(labels)}
-    for r in sample.select("text", "y").mapInArrow(run, "y string, gram long, n long").groupBy("y", "gram").agg(F.sum("n").alias("n")).collect():
-        counts[r["gram"], place[r["y"]]] = r["n"]
-    seen = counts.sum(0) > 0
-    labels, counts = [y for y, s in zip(labels, seen, strict=True) if s], counts[:, seen]
-    if not labels:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([zlib.compress(x.tobytes()) for x in sums.values()], pa.binary())], ["y", "counts"])
+
+    found: dict[str, np.ndarray] = {}
+    for r in sample.select("text", "y").mapInArrow(run, "y string, counts binary").collect():
+        found[r["y"]] = found.get(r["y"], 0) + np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+    if not found:
         return Model([], np.zeros((BUCKETS, 0)), 0.0)
+    labels = sorted(found)
+    counts = np.stack([found[y] for y in labels], 1)
     logs = np.log((counts + 0.5) / (counts + 0.5).sum(0))
     # A text less likely than noise over all buckets is of none of the languages.
     return Model(labels, logs, float(np.log(1 / BUCKETS)))
@@ -169,9 +163,19 @@ def likelihoods(evidence: DataFrame, model: Model) -> DataFrame:
     return evidence.select(*rest, "text").mapInArrow(run, schema)
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, though ``use`` names it inside of a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda x, y: x + y)
+
+
 def _softmax(logs: Column) -> Column:
-    shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+    shifted = lambda x: _once(F.array_max(x), lambda top: F.transform(x, lambda y: F.exp(y - top)))
+    shared = lambda x: _once(_total(x), lambda total: F.transform(x, lambda y: y / total))
+    return _once(_once(logs, shifted), shared)
 
 
 def identify(evidence: DataFrame, model: Model) -> DataFrame:
@@ -199,7 +203,6 @@ def identify(evidence: DataFrame, model: Model) -> DataFrame:
     joined = rows
     for key in ("host", "domain", "declared", "suffix"):
         joined = joined.join(grouped(key, f"by_{key}"), key, "left")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     mine = F.when(F.col("known"), F.col("own")).otherwise(nothing)
     # All sums without the row's own share.
     for key in ("host", "domain", "declared", "suffix"):
@@ -207,7 +210,7 @@ def identify(evidence: DataFrame, model: Model) -> DataFrame:
         joined = joined.withColumn(f"by_{key}", F.when(F.col(key).isNull(), nothing).otherwise(left))
 
     def smoothed(sums: Column, prior: Column, weight: float) -> Column:
-        return F.zip_with(sums, prior, lambda s, p: (s + F.lit(weight) * p) / (total(sums) + F.lit(weight)))
+        return _once(sums, lambda own: _once(_total(own), lambda total: F.zip_with(own, prior, lambda s, p: (s + F.lit(weight) * p) / (total + F.lit(weight)))))
 
     joined = joined.withColumn("p_domain", smoothed(F.col("by_domain"), base, DOMAIN_WEIGHT))
     joined = joined.withColumn("p_host", smoothed(F.col("by_host"), F.col("p_domain"), HOST_WEIGHT))

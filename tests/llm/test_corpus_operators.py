@@ -213,6 +213,23 @@ def test_page_evidence(spark):
     assert langid.train(spark.createDataFrame([], "doc_id long, text string, lang string"), "lang").languages == []
 
 
+def test_every_label_with_text_is_a_language(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+    for k in range(45):
+        # Languages of letters of their own; the later ones have fewer rows, the last only one.
+        own = [chr(0x4E00 + 60 * k + i) for i in range(60)]
+        for _ in range(max(1, 44 - k)):
+            want[len(rows)] = f"l{k:02}"
+            rows.append((len(rows), " ".join("".join(rng.choice(own) for _ in range(3)) for _ in range(60)), f"L{k:02}"))
+    junk = [(None, t, "blank") for t in (None, "", "12 !") for _ in range(50)] + [(7_000, "one id for all " + str(i), "many") for i in range(60)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    model = langid.train(df, "lang", per_language=20)
+    assert model.languages == [*sorted(set(want.values())), "many"]
+    got = langid.identify(langid.row_evidence(df.filter("doc_id < 7000")), model).collect()
+    assert {r["id"]: r["lang"] for r in got} == want and not any(r["rejected"] for r in got)
+
+
 # --- rollups --------------------------------------------------------------------------------------
 
 
