@@ -29,7 +29,9 @@ BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "openssh_key", "rsa_key", "ec_key", "pkcs8_key", "encrypted_key")
 
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
+# The longest run over both alphabets, and those of the standard and of the URL-safe one inside it.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+OWN_BASE64 = (re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}"))
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{80,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 # Bytes of a signature by algorithm; None: any size a key can have.
@@ -146,9 +148,10 @@ def _in_run(run: str, at: int, found: list) -> None:
     if len(run) < 24:
         return
     found += [("jwt", at + m.start(), at + m.end()) for m in JWT.finditer(run) if signed_token(m.group())]
-    for m in BASE64.finditer(run):
-        if (data := unbase64(m.group())) and (kind := key_kind(data)):
-            found.append((kind, at + m.start(), at + m.end()))
+    for whole in BASE64.finditer(run):
+        for start, end in {whole.span(), *(m.span() for own in OWN_BASE64 for m in own.finditer(run, *whole.span()))}:
+            if (data := unbase64(run[start:end])) and (kind := key_kind(data)):
+                found.append((kind, at + start, at + end))
     for m in ANY_HEX.finditer(run):
         if len(m.group()) % 2 == 0 and (kind := key_kind(bytes.fromhex(m.group()))):
             found.append((kind, at + m.start(), at + m.end()))

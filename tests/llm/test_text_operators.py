@@ -74,6 +74,22 @@ def test_structures_are_confirmed(text, kind):
     assert (kind, 2, 2 + len(text)) in spans
 
 
+def test_keys_of_random_bytes_in_both_alphabets():
+    rng, mixed = random.Random(14), 0
+    for _ in range(300):
+        ec = tlv(48, tlv(2, b"\1") + tlv(4, rng.randbytes(32)))
+        rsa = tlv(48, b"".join(tlv(2, x) for x in (b"\0", b"\1" + rng.randbytes(64), b"\3", *[b"\5" + rng.randbytes(31) for _ in range(6)])))
+        pkcs8 = tlv(48, tlv(2, b"\0") + tlv(48, tlv(6, b"\x2a\x86\x48\xce\x3d\x02\x01") + tlv(5, b"")) + tlv(4, ec))
+        ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(rng.randbytes(51)) + field(rng.randbytes(144))
+        for data, kind in ((ec, "ec_key"), (rsa, "rsa_key"), (pkcs8, "pkcs8_key"), (ssh, "openssh_key")):
+            safe, plain = base64.urlsafe_b64encode(data).decode(), base64.b64encode(data).decode()
+            mixed += "-" not in safe[:40] and "_" not in safe[:40] and safe.rstrip("=") != plain.rstrip("=")
+            for text in (safe, safe.rstrip("="), plain, plain.rstrip("=")):
+                assert (kind, 2, 2 + len(text)) in secrets.find_spans(f"é {text} tail")
+            assert (kind, 5, 5 + len(plain)) in secrets.find_spans(f"key_-{plain}") and (kind, 4, 4 + len(safe)) in secrets.find_spans(f"key/{safe}")
+    assert mixed > 100
+
+
 def test_structures_that_do_not_parse_are_not_reported():
     cut = base64.b64encode(RSA[:-3]).decode()
     long = base64.b64encode(RSA + b"\0\0\0").decode()
