@@ -135,7 +135,9 @@ def signed_token(text: str) -> bool:
         header, payload = json.loads(parts[0]), json.loads(parts[1])
     except (ValueError, RecursionError):
         return False
-    if not isinstance(header, dict) or not isinstance(payload, dict) or header.get("alg") not in SIGNED:
+    if not isinstance(header, dict) or not isinstance(payload, dict):
+        return False
+    if not isinstance(header.get("alg"), str) or header["alg"] not in SIGNED:
         return False
     wanted = SIGNED[header["alg"]]
     return len(parts[2]) == wanted if wanted is not None else len(parts[2]) in (128, 256, 384, 512)

@@ -98,6 +98,12 @@ def test_structures_that_do_not_parse_are_not_reported():
         assert not [s for s in secrets.find_spans(text) if s[0] not in secrets.BASE_KINDS]
 
 
+@pytest.mark.parametrize("alg", [["HS256"], {"a": 1}, None, 1])
+def test_a_token_whose_algorithm_is_no_text_is_none(alg):
+    text = ".".join([part(json.dumps({"alg": alg, "typ": "JWT"}).encode()), part(b'{"sub":"1"}'), part(b"m" * 32)])
+    assert not secrets.find_spans(text) and ("jwt", len(text) + 1, len(text) + 1 + len(JWT)) in secrets.find_spans(f"{text} {JWT}")
+
+
 def plain_spans(text):
     """The base patterns, straight from their definition."""
     assign = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
