@@ -33,7 +33,15 @@ JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 OWN_BASE64 = (re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}"))
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{80,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+# Armour; its line ends may be spelled \\n and \\r, and header lines may precede the digits.
+_BREAK = r"(?:\s|\\[rn])"
+PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----{_BREAK}*((?:[A-Za-z][A-Za-z0-9-]*:[^\r\n\\]*{_BREAK}++)*)((?:[A-Za-z0-9+/=]|{_BREAK})++)-----END \1-----")
+BREAKS = re.compile(rf"{_BREAK}+")
+SEALED = re.compile(r"(?s)Proc-Type: *4,ENCRYPTED.*DEK-Info: *[A-Z0-9-]+,([0-9A-Fa-f]{16,32})(?![0-9A-Fa-f])")
+# Lines of base64 that follow each other, and the first digits that a key in DER or OpenSSH form has.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+SSH_START = "b3BlbnNzaC1rZXktdjE"
 # Bytes of a signature by algorithm; None: any size a key can have.
 SIGNED = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "none": 0}
 SIGNED |= {f"{a}{n}": None for a in ("RS", "PS") for n in (256, 384, 512)}
@@ -143,6 +151,47 @@ def signed_token(text: str) -> bool:
     return len(parts[2]) == wanted if wanted is not None else len(parts[2]) in (128, 256, 384, 512)
 
 
+def sealed(headers: str, body: str) -> bool:
+    """Whether the headers name a cipher and ``body`` decodes to whole blocks of it (as long as the salt)."""
+    m, data = SEALED.search(headers), unbase64(body)
+    return bool(m and data) and len(data) % (len(m[1]) // 2) == 0
+
+
+def _der_size(start: str) -> int | None:
+    """Bytes of the DER element whose first digits are ``start``, its own head included."""
+    head = unbase64(start[:8])
+    if not head or len(head) < 6 or head[0] != 48:
+        return None
+    n = head[1] & 127 if head[1] & 128 else 0
+    return 2 + head[1] if not head[1] & 128 else 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else None
+
+
+def _in_lines(text: str, found: list) -> None:
+    """Spans of keys wrapped over lines of equal width, of which the last may be shorter."""
+    for block in WRAPPED.finditer(text):
+        lines, at = [], block.start()
+        for piece in re.split(r"([ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*)", block.group()):
+            if LINE.fullmatch(piece):
+                lines.append((piece, at))
+            at += len(piece)
+        for i, (first, start) in enumerate(lines):
+            size = _der_size(first) if first.startswith("M") else None
+            if len(first) < 40 or size is None and not first.startswith(SSH_START):
+                continue
+            full = i + 1
+            while full < len(lines) and len(lines[full][0]) == len(first):
+                full += 1
+            ends = {full} | ({full + 1} if full < len(lines) and len(lines[full][0]) < len(first) else set())
+            if size is not None:
+                ends |= {i + -(-size * 4 // (3 * len(first))), i + -(-(size + 2) // 3 * 4 // len(first))}
+            for end in ends:
+                own = lines[i:end]
+                if len(own) < 2 or end > len(lines) or end > full + 1 or size is not None and not size * 4 <= 3 * (sum(len(x) for x, _ in own)) < size * 4 + 12:
+                    continue
+                if (data := unbase64("".join(x for x, _ in own))) and (kind := key_kind(data)):
+                    found.append((kind, start, own[-1][1] + len(own[-1][0])))
+
+
 def _in_run(run: str, at: int, found: list) -> None:
     """Spans inside one run without white space that starts at ``at``."""
     found += [("access", at + m.start(), at + m.end()) for m in ACCESS.finditer(run) if m.end() - m.start() >= 20]
@@ -172,10 +221,17 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             at = text.index(run, at)
             _in_run(run, at, found)
             at += len(run)
+    armoured = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if (data := unbase64("".join(m.group(2).split()))) and (kind := key_kind(data)):
+            body = BREAKS.sub("", m.group(3))
+            if (data := unbase64(body)) and (kind := "encrypted_key" if sealed(m.group(2), body) else key_kind(data)):
                 found.append((kind, m.start(), m.end()))
+                armoured.append(m.span())
+    wrapped: list[tuple[str, int, int]] = []
+    _in_lines(text, wrapped)
+    # The lines between armour are no second key.
+    found += [s for s in wrapped if not any(a <= s[1] and s[2] <= b for a, b in armoured)]
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

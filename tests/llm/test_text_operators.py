@@ -98,6 +98,27 @@ def test_structures_that_do_not_parse_are_not_reported():
         assert not [s for s in secrets.find_spans(text) if s[0] not in secrets.BASE_KINDS]
 
 
+def armoured(data, kind, end="\n", headers=""):
+    return f"-----BEGIN {kind}-----{end}{headers}" + base64.encodebytes(data).decode().replace("\n", end) + f"-----END {kind}-----"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        (armoured(PKCS8, "PRIVATE KEY", "\\n"), "pkcs8_key"),
+        (armoured(RSA, "RSA PRIVATE KEY", "\\r\\n"), "rsa_key"),
+        (armoured(RSA, "RSA PRIVATE KEY", headers="Comment: mine\n\n"), "rsa_key"),
+        (armoured(b"\x77" * 96, "RSA PRIVATE KEY", headers="Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n"), "encrypted_key"),
+        *((wrap(base64.b64encode(data).decode()), kind) for data, kind in ((RSA, "rsa_key"), (PKCS8, "pkcs8_key"), (OPENSSH, "openssh_key")) for wrap in (lambda x: "\n".join(x[i : i + 64] for i in range(0, len(x), 64)), lambda x: "\r\n  ".join(x[i : i + 76] for i in range(0, len(x), 76)), lambda x: "\\n".join(x[i : i + 40] for i in range(0, len(x), 40))) if len(wrap(base64.b64encode(data).decode())) > len(base64.b64encode(data))),
+    ],
+)
+def test_keys_over_several_lines(text, kind):
+    for before in ("é ", "é\n" + "A" * 64 + "\n"):
+        spans = [s for s in secrets.find_spans(f"{before}{text}\ntail of the text") if s[0] not in secrets.BASE_KINDS]
+        assert spans == [(kind, len(before), len(before) + len(text))]
+    assert not [s for s in secrets.find_spans(text[:60] + text[64:]) if s[0] == kind]
+
+
 @pytest.mark.parametrize("alg", [["HS256"], {"a": 1}, None, 1])
 def test_a_token_whose_algorithm_is_no_text_is_none(alg):
     text = ".".join([part(json.dumps({"alg": alg, "typ": "JWT"}).encode()), part(b'{"sub":"1"}'), part(b"m" * 32)])
