@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from rowtrail.llm.common import texts
 
 CHUNK_DOCS = 4000
+CHUNK_BYTES = 32 << 20
 MAX_CUTS = 1024
 FLUSH = 500_000
 CODEC = pa.Codec("zstd", compression_level=3)
@@ -52,18 +53,21 @@ def split_words(text: str) -> list[str]:
 
 
 def _plan_chunks(rows: DataFrame):
-    """Ids to cut at, at most ``MAX_CUTS``, the number of chunks between two cuts, and of all."""
+    """Ids to cut at, at most ``MAX_CUTS``."""
     n = rows.count()
     chunks = max(1, -(-n // CHUNK_DOCS))
     cuts = min(chunks, MAX_CUTS)
-    sub = -(-chunks // cuts)
     at = rows.select(F.percentile_approx("id", [k / cuts for k in range(1, cuts)], 10_000)).first()[0] if cuts > 1 else []
-    return sorted(set(at or [])), sub, chunks
+    return sorted(set(at or []))
 
 
 def with_chunks(rows: DataFrame) -> tuple[DataFrame, int]:
-    """``rows`` with ``chunk``, and the number of chunks: neighbouring ids share one, null ids the first."""
-    cuts, sub, chunks = _plan_chunks(rows)
+    """``rows`` with ``chunk``, and the number of chunks: neighbouring ids share one, null ids the first.
+
+    A range with too many rows or bytes, as of null or repeated ids or of long texts, is dealt to several
+    chunks by a hash of the row.
+    """
+    cuts = _plan_chunks(rows)
     # A binary search over the cuts, as nested comparisons.
 
     def search(lo: int, hi: int):
@@ -73,8 +77,15 @@ def with_chunks(rows: DataFrame) -> tuple[DataFrame, int]:
         return F.when(F.col("id") > F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
 
     part = search(0, len(cuts)).cast("long")
-    if sub > 1:
-        part = part * F.lit(sub) + F.pmod(F.xxhash64("id"), F.lit(sub))
+    # At most ``MAX_CUTS`` rows.
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()
+    subs = np.ones(len(cuts) + 1, np.int64)
+    for r in sizes:
+        subs[r["part"]] = max(1, round(r["n"] / CHUNK_DOCS), -(-r["bytes"] // CHUNK_BYTES))
+    chunks = int(subs.sum())
+    if chunks > len(subs):
+        listed = lambda values: F.array(*[F.lit(x) for x in values.tolist()])[part.cast("int")].cast("long")
+        part = listed(np.cumsum(subs) - subs) + F.pmod(F.xxhash64("id", "text"), listed(subs))
     return rows.withColumn("chunk", part), chunks
 
 

@@ -247,6 +247,21 @@ def test_byte_bpe(spark, sf, edges, empty, monkeypatch):
     assert bpe.encode(empty, BYTE_FILE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_chunks_of_repeated_ids_and_long_texts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_DOCS", 50)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 4000)
+    rows = [(None, f"no id {k}", "") for k in range(300)] + [(7, f"one id {k}", "") for k in range(300)] + [(k, f"text {k}", "") for k in range(100, 400)]
+    rows += [(k, f"long {k} " * 100, "") for k in range(400, 440)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    dealt, chunks = bpe.with_chunks(bpe.texts(df))
+    sizes = [r["count"] for r in dealt.groupBy("chunk").count().collect()]
+    assert len(sizes) <= chunks and max(sizes) <= 110
+    assert max(r["b"] for r in dealt.selectExpr("chunk", "octet_length(text) b").groupBy("chunk").agg({"b": "sum"}).toDF("chunk", "b").collect()) <= 12_000
+    encode = library().encode_ordinary
+    got = bpe.encode(df, BYTE_FILE, public_tokenizers.PATTERN).collect()
+    assert sorted((str(r["doc_id"]), list(r["ids"])) for r in got) == sorted((str(i), encode(t)) for i, t, _ in rows)
+
+
 def plain_lines(rows):
     """Line dedup by its definition; rows without an id keep all."""
     strip = " \t\n\x0b\x0c\r"
