@@ -55,6 +55,28 @@ def batches(make: Callable[[pa.RecordBatch], dict[str, object]], schema: T.Struc
     return run
 
 
+class Recent:
+    """Values by key, made in batches and kept in two generations.
+
+    When the young generation is full it becomes the old one, and what is asked again moves up; so
+    frequent keys stay while rare ones go. ``limit`` bounds the entries of a generation.
+    """
+
+    def __init__(self, make: Callable[[list], list], limit: int = 200_000):
+        self.make, self.limit, self.young, self.old = make, limit, {}, {}
+
+    def fetch(self, keys: list) -> list:
+        """The value of every key; the distinct keys of one call are held besides the limit."""
+        if len(self.young) >= self.limit:
+            self.young, self.old = {}, self.young
+        missing = set(keys).difference(self.young)
+        moved = {k: self.old[k] for k in missing if k in self.old}
+        self.young.update(moved)
+        fresh = sorted(missing.difference(moved))
+        self.young.update(zip(fresh, self.make(fresh), strict=True))
+        return list(map(self.young.__getitem__, keys))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from rowtrail.llm import ann, bpe, decontam, langid, lines, near_dups, rollups, secrets, tokenfile, toxicity
+from rowtrail.llm import alignment, ann, bpe, decontam, langid, lines, near_dups, rollups, secrets, tokenfile, toxicity
 from rowtrail.llm.common import table, written
 
 WORD_BPE_IDS = 49_408
@@ -80,11 +80,15 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_token_file, op3_language, op4_near_dups, op5_nearest, op6_toxicity, op7_byte_bpe, op8_token_rollup,
-        op9_line_dedup, op10_decontamination,
+        op9_line_dedup, op10_decontamination, op13_token_alignment,
     )
 }
 
