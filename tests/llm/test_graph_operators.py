@@ -1,13 +1,17 @@
 """Token alignment, embedding near-duplicates and conversation repair."""
 
 import hashlib
+import itertools
+import random
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from rowtrail.llm import alignment, queries
+from rowtrail.llm import alignment, conversations, queries
 
 # --- token alignment ------------------------------------------------------------------------------
 
@@ -118,3 +122,190 @@ def test_frequent_units_are_kept():
     for k in range(100):
         assert known.fetch(["hot", f"cold{k}", "hot"]) == ["HOT", f"COLD{k}", "HOT"]
     assert made["hot"] == 1 and len(known.young) + len(known.old) <= 22
+
+
+# --- conversation repair --------------------------------------------------------------------------
+
+WHITE = " \t\n\x0b\x0c\r"
+
+
+def plain_damage(rows):
+    """(conv, turn, role, text) after damage, by conversation, in order."""
+    out = defaultdict(list)
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        own = out[conv]
+        if kind:
+            text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+            own += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    for own in out.values():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+    return out
+
+
+def plain_faults(rows):
+    found, seen = [], set()
+    for _, role, text in rows:
+        body = text.strip(WHITE)
+        found.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return found
+
+
+def plain_repair(rows):
+    """Forwards over rows and states: the least (cost, letters) that leaves each role string's state."""
+    faults = plain_faults(rows)
+    step = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    states = ["", "s", "u", "a"]
+    lacks = {"": "u", "s": "u", "u": "a", "a": "u"}
+    full = {"u": "user", "a": "assistant"}
+
+    def inserted(now):
+        for _ in range(4):
+            for q in list(now):
+                cost, letters, kept = now[q]
+                to = lacks[q]
+                new = (cost + 5, letters + "I", kept + [full[to] + ":"])
+                if to not in now or new < now[to]:
+                    now[to] = new
+        return now
+
+    now = inserted({"": (0, "", [])})
+    for (_, role, text), fault in zip(rows, faults, strict=True):
+        after = {}
+        for q in states:
+            if q not in now:
+                continue
+            cost, letters, kept = now[q]
+            moves = [(q, cost + 2, "D", [])]
+            if fault not in ("blank", "duplicate"):
+                cut = 5 * (fault == "truncated")
+                if (q, role[:1]) in step:
+                    moves.append((step[q, role[:1]], cost + cut, "K", [f"{role}:{text}"]))
+                moves.append((lacks[q], cost + cut + 1, "R", [f"{full[lacks[q]]}:{text}"]))
+            for to, c, letter, line in moves:
+                new = (c, letters + letter, kept + line)
+                if to not in after or new[:2] < after[to][:2]:
+                    after[to] = new
+        now = inserted(after)
+    return min((now[q] for q in ("", "a") if q in now), key=lambda x: x[:2])
+
+
+def plain_conversations(rows):
+    out = []
+    for conv, own in plain_damage(rows).items():
+        faults, turns = plain_faults(own), [t for t, _, _ in own if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        initials = [r[:1] for _, r, _ in own]
+        illegal = sum(x + y not in ("su", "ua", "au") for x, y in itertools.pairwise(initials))
+        cost, audit, kept = plain_repair(own)
+        digest = hashlib.sha256("\n".join(kept).encode()).hexdigest()
+        out.append((str(conv), gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest))
+    return sorted(out)
+
+
+def conversation_rows(df):
+    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    return sorted((str(r["conv_id"]), *(r[c] for c in names)) for r in df.collect())
+
+
+def random_conversations(seed, conversations_, longest):
+    rng, rows = random.Random(seed), []
+    texts = ["Yes.", "no", "", " \t", "Well!", "Hm?", "a.b", "x " * 30 + ".", None, "Yes.\n", "é…", "So."]
+    for conv in [None, *range(conversations_)]:
+        role = 0
+        for turn in range(rng.randint(1, longest)):
+            role = rng.choice([role ^ 1, role ^ 1, role ^ 1, 0, 1])
+            name = rng.choice([("user", "assistant")[role]] * 8 + ["system", "tool", "", None, "umpire"])
+            rows.append((conv, turn + rng.choice([0, 0, 0, 3]) if rng.random() < 0.97 else None, name, rng.choice([f"Turn {turn}.", rng.choice(texts)])))
+    return rows + rows[:5]
+
+
+CONVERSATION = "conv_id long, turn long, role string, text string"
+
+
+def test_op12(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert conversation_rows(queries.op12_conversation_repair(spark, sf)) == plain_conversations(rows)
+
+
+def test_repair_of_odd_conversations(spark):
+    rows = random_conversations(5, 150, 12)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], CONVERSATION + ", part int, codes string")
+    assert conversation_rows(conversations.repair(conversations.damage(df))) == plain_conversations(rows)
+    assert conversations.repair(conversations.damage(df.filter("false"))).count() == 0
+
+
+@pytest.mark.parametrize("passes", [0, 1, 4])
+def test_long_conversations_converge_or_take_matrices(spark, monkeypatch, passes):
+    rng = random.Random(9)
+    rows = [r for r in random_conversations(6, 6, 300) if r[0] is not None]
+    # One without any two states of one rank (all but its ends are repeats), one of a single row many times.
+    rows += [(100, t, "user", "Same.") for t in range(200)] + [(100, 200, "assistant", "End.")]
+    rows += [(101, 1, "assistant", "Again.")] * 60 + [(102, t, ("user", "assistant")[t % 2], f"Fine {t}.") for t in range(400)]
+    rows += [(103, t, "assistant", rng.choice(["cut", "Cut."]) + " " * (t % 7)) for t in range(90)]
+    blocks = conversations.blocks_of
+    monkeypatch.setattr(conversations, "blocks_of", lambda rows: cut_blocks(spark, blocks(rows), 7))
+    monkeypatch.setattr(conversations, "joints", lambda b, own=conversations.joints: own(b, passes))
+    df = spark.createDataFrame(rows, CONVERSATION)
+    assert conversation_rows(conversations.repair(conversations.damage(df))) == plain_conversations(rows)
+    kept = conversations.repaired_rows(conversations.damage(df)).orderBy("conv_id", "part", "no", "place").collect()
+    own = [f"{r['role']}:{r['text']}" for r in kept if r["conv_id"] == 102]
+    assert own == plain_repair(plain_damage(rows)[102])[2]
+
+
+def cut_blocks(spark, blocks, size):
+    """Blocks of at most ``size`` rows."""
+    out = []
+    for r in blocks.collect():
+        whole = r.asDict()
+        n = len(whole["copies"])
+        if n <= size:
+            out.append(whole | {"no": whole["no"] * 1000})
+            continue
+        seen = list(zip(whole["roles"], whole["texts"], whole["copies"], list(whole["codes"]), strict=True))
+        for lo in range(0, n, size):
+            b = conversations.Block(whole["conv_id"])
+            for role, text, copies, code in seen[lo : lo + size]:
+                body = text.strip(WHITE)
+                b.add(None, role, text, copies, bool(body) and code == conversations.GONE)
+            row = b.row(whole["part"], whole["no"] * 1000 + lo)
+            # The turns are those of the whole block, told once.
+            row |= {"low": whole["low"], "high": whole["low"], "turns": min(1, whole["turns"])}
+            if lo + size >= n:
+                row |= {"high": whole["high"], "turns": whole["turns"]}
+            out.append(row)
+    return spark.createDataFrame(out, blocks.schema)
+
+
+def test_least_letters_against_all_letters():
+    """Every string of edits of short conversations, tried one by one."""
+    rng = random.Random(12)
+    good = re.compile("(s?(ua)+)?")
+    for _ in range(60):
+        rows = [(t, rng.choice(["user", "assistant", "system", "tool"]), rng.choice([f"T {t}.", "cut", " ", "So."])) for t in range(rng.randint(0, 4))]
+        faults, best = plain_faults(rows), None
+        for n_inserts in range(3):
+            for places in itertools.combinations_with_replacement(range(len(rows) + 1), n_inserts):
+                for letters in itertools.product("DKR", repeat=len(rows)):
+                    for new in itertools.product("ua", repeat=n_inserts + letters.count("R")):
+                        left, out, audit, cost = iter(new), "", "", 5 * n_inserts
+                        for at in range(len(rows) + 1):
+                            for _ in range(places.count(at)):
+                                out, audit = out + next(left), audit + "I"
+                            if at == len(rows):
+                                break
+                            letter, fault = letters[at], faults[at]
+                            if letter != "D" and fault in ("blank", "duplicate"):
+                                cost += 1000
+                            out += "" if letter == "D" else rows[at][1][0] if letter == "K" else next(left)
+                            cost += {"D": 2, "K": 0, "R": 1}[letter] + 5 * (letter != "D" and fault == "truncated")
+                            audit += letter
+                        if good.fullmatch(out):
+                            best = min(best or (cost, audit), (cost, audit))
+        block = conversations.Block(1)
+        for (t, role, text), fault in zip(rows, faults, strict=True):
+            block.add(t, role, text, 1, fault == "duplicate")
+        letters, cost, _ = conversations.trace(block.codes, block.copies, conversations.END, 0, True)
+        assert (cost, "".join(letters)) == best == plain_repair(rows)[:2]
