@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from rowtrail.llm import alignment, ann, bpe, conversations, decontam, langid, lines, near_dups, rollups, secrets, tokenfile, toxicity
+from rowtrail.llm import alignment, ann, bpe, conversations, decontam, langid, lines, near_dups, neighbours, rollups, secrets, tokenfile, toxicity
 from rowtrail.llm.common import table, written
 
 WORD_BPE_IDS = 49_408
@@ -80,6 +80,10 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op11_vector_near_dups(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf, "conversations")))
 
@@ -92,7 +96,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scan, op2_token_file, op3_language, op4_near_dups, op5_nearest, op6_toxicity, op7_byte_bpe, op8_token_rollup,
-        op9_line_dedup, op10_decontamination, op12_conversation_repair, op13_token_alignment,
+        op9_line_dedup, op10_decontamination, op11_vector_near_dups,
+        op12_conversation_repair, op13_token_alignment,
     )
 }
 
