@@ -10,6 +10,8 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Batches handed to Python are bounded in bytes too: rows may hold long texts or geometries.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     # Lists of directory names reach the Parquet page index value by value.
     "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     # Partitions known at run time to be small are joined by hash, which saves both sorts.
