@@ -55,6 +55,23 @@ def d1_evolved(spark, sf):
     return flat(D.diff_rows(given(spark, sf, "orders"), evolved(spark, sf), KEY), KEY)
 
 
+def retyped(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Two versions whose columns have other types: a wider decimal, bigint and double, int and bigint."""
+    big = F.lit(1 << 53) + F.col("o_custkey")
+    old = given(spark, sf, "orders").select(
+        *KEY, F.col("o_totalprice").cast("decimal(19,2)").alias("price"), big.alias("big"),
+        F.col("o_custkey").cast("int").alias("small"), F.col("o_totalprice").cast("decimal(15,2)").alias("fee"))
+    new = given(spark, sf, "ours").select(
+        *KEY, F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice").cast("decimal(21,4)") + F.lit("0.0001").cast("decimal(5,4)"))
+        .otherwise(F.col("o_totalprice").cast("decimal(19,2)")).cast("decimal(21,4)").alias("price"), big.cast("double").alias("big"),
+        F.col("o_custkey").alias("small"), F.col("o_totalprice").cast("decimal(15,2)").cast("double").alias("fee"))
+    return old, new
+
+
+def d1_retyped(spark, sf):
+    return flat(D.diff_rows(*retyped(spark, sf), KEY), KEY)
+
+
 def _datasets(spark, sf):
     status = F.coalesce(F.col("old.o_orderpriority"), F.col("new.o_orderpriority"))
     return orders_delta(spark, sf).withColumn("dataset", status)
@@ -88,6 +105,7 @@ QUERIES = {
     "d1_diff_rows_nulls": d1_nulls,
     "d1_diff_rows_composite_key": d1_composite,
     "d1_diff_rows_evolved": d1_evolved,
+    "d1_diff_rows_retyped": d1_retyped,
     "d2_filter_delta": lambda s, sf: flat(D.filter_delta(orders_delta(s, sf), "U"), KEY),
     "d3_diff_summary": lambda s, sf: D.diff_summary(orders_delta(s, sf)),
     "d4_diff_stat_by_dataset": lambda s, sf: D.diff_stat_by_dataset(_datasets(s, sf)),
@@ -110,6 +128,18 @@ _NEWER = (
     " CASE WHEN o_orderkey % 10 = 0 THEN o_orderpriority || '!' END AS o_note, NULL::VARCHAR AS o_orderstatus FROM {ours})"
 )
 EVOLVED_DELTA = duck.delta(_OLDER, _NEWER, KEY, _EVOLVED)
+# Numbers that no type holds together are compared as text.
+_FEE = "regexp_replace(o_totalprice::DECIMAL(15,2)::VARCHAR, '[.]?0+$', '')"
+RETYPED_OLD = (
+    "(SELECT o_orderkey, o_totalprice::DECIMAL(21,4) AS price, (9007199254740992 + o_custkey)::VARCHAR AS big,"
+    f" o_custkey::BIGINT AS small, {_FEE} AS fee FROM {{orders}})"
+)
+RETYPED_NEW = (
+    "(SELECT o_orderkey, (o_totalprice::DECIMAL(19,2)::DECIMAL(21,4) + CASE WHEN o_orderkey % 7 = 0 THEN 0.0001 ELSE 0 END)"
+    "::DECIMAL(21,4) AS price, ((9007199254740992 + o_custkey)::DOUBLE)::BIGINT::VARCHAR AS big,"
+    f" o_custkey::BIGINT AS small, {_FEE} AS fee FROM {{ours}})"
+)
+RETYPED = ["price", "big", "small", "fee"]
 _COUNT = "count(*) FILTER (op = '{}') AS {}"
 
 
@@ -150,6 +180,7 @@ ORACLES = {
         + duck.delta("{keyed_lineitem}", "edited", ["l_orderkey", "l_linenumber"], _LINE_VALUES)
     ),
     "d1_diff_rows_evolved": oracle(EVOLVED_DELTA),
+    "d1_diff_rows_retyped": oracle(duck.delta(RETYPED_OLD, RETYPED_NEW, KEY, RETYPED)),
     "d2_filter_delta": oracle(f"SELECT * FROM ({_DELTA}) WHERE op = 'U'"),
     "d3_diff_summary": oracle(
         f"SELECT {_COUNT.format('I', 'inserts')}, {_COUNT.format('U', 'updates')}, {_COUNT.format('D', 'deletes')}"

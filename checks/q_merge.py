@@ -98,12 +98,28 @@ def m10(spark, sf):
     return M.finish_merge(given(spark, sf, "orders"), merged, resolutions, KEY)
 
 
+def _versions(spark, sf) -> list:
+    """Three versions whose amounts and numbers have other types."""
+    types = (("orders", "decimal(19,2)", "bigint"), ("ours", "decimal(21,4)", "double"), ("theirs", "decimal(17,3)", "bigint"))
+    number = (F.lit(1 << 53) + F.col("o_custkey")).cast("bigint")
+    return [
+        given(spark, sf, name).select("o_orderkey", F.col("o_totalprice").cast(price).alias("price"), number.cast(kind).alias("number"))
+        for name, price, kind in types
+    ]
+
+
+def m5_retyped(spark, sf):
+    merged = M.merge_rows(*_versions(spark, sf), KEY)
+    return merged.select("o_orderkey", "status", "op", F.col("merged.price").alias("price"), F.col("merged.number").alias("number"))
+
+
 QUERIES = {
     "m1_merge_deltas": m1,
     "m2_classify_conflict": m2,
     "m3_conflict_payload": m3,
     "m4_pk_key_last_wins": m4,
     "m5_merge_rows": m5,
+    "m5_merge_rows_retyped": m5_retyped,
     "m6_merge_columns": m6,
     "m7_list_conflicts": lambda s, sf: spread(conflicts(s, sf), ["base", "ours", "theirs"], ["o_orderkey"]),
     "m7_count_conflicts": lambda s, sf: M.count_conflicts(rows(s, sf)),
@@ -196,6 +212,33 @@ def _resolved(src: str) -> str:
     )
 
 
+def _retyped() -> str:
+    def version(name: str, price: str, number: str) -> str:
+        return (
+            f"SELECT o_orderkey, o_totalprice::{price}::DECIMAL(21,4) AS price, ({number})::VARCHAR AS number FROM {{{name}}}"
+        )
+
+    exact = "9007199254740992 + o_custkey"
+    same = lambda x, y: (
+        f"(({x}.o_orderkey IS NULL) = ({y}.o_orderkey IS NULL) AND {x}.price IS NOT DISTINCT FROM {y}.price"
+        f" AND {x}.number IS NOT DISTINCT FROM {y}.number)"
+    )
+    pick = lambda c: f"CASE status WHEN 'theirs' THEN t_{c} WHEN 'conflict' THEN NULL ELSE o_{c} END"
+    return (
+        f"WITH b AS ({version('orders', 'DECIMAL(19,2)', exact)}),"
+        f" o AS ({version('ours', 'DECIMAL(21,4)', f'({exact})::DOUBLE::BIGINT')}),"
+        f" t AS ({version('theirs', 'DECIMAL(17,3)', exact)}),"
+        " k AS (SELECT o_orderkey FROM b UNION SELECT o_orderkey FROM o UNION SELECT o_orderkey FROM t),"
+        f" j AS (SELECT k.o_orderkey, b.o_orderkey AS b_key, o.o_orderkey AS o_key, t.o_orderkey AS t_key, o.price AS o_price,"
+        f" t.price AS t_price, o.number AS o_number, t.number AS t_number, CASE WHEN {same('b', 'o')} AND {same('b', 't')} THEN NULL"
+        f" WHEN {same('b', 't')} THEN 'ours' WHEN {same('b', 'o')} THEN 'theirs' WHEN {same('o', 't')} THEN 'identical' ELSE 'conflict' END AS status"
+        " FROM k LEFT JOIN b ON b.o_orderkey = k.o_orderkey LEFT JOIN o ON o.o_orderkey = k.o_orderkey LEFT JOIN t ON t.o_orderkey = k.o_orderkey)"
+        " SELECT o_orderkey, status, CASE WHEN status = 'conflict' THEN NULL WHEN b_key IS NULL THEN 'I'"
+        f" WHEN {pick('key')} IS NULL THEN 'D' ELSE 'U' END AS op, {pick('price')} AS price, {pick('number')} AS number"
+        " FROM j WHERE status IS NOT NULL"
+    )
+
+
 _TYPES = ["BIGINT", "VARCHAR", "DOUBLE", "TIMESTAMP", "VARCHAR"]
 _NULLS = ", ".join(f"NULL::{t} AS resolved_{n}" for n, t in zip(ORDER_VALUES, _TYPES))
 
@@ -231,6 +274,7 @@ ORACLES = {
         f" WHEN NOT {_MERGED_THERE} THEN 'D' ELSE 'U' END AS op, {_pick(_MERGED, 'merged')}"
         " FROM s WHERE status <> 'unchanged'"
     ),
+    "m5_merge_rows_retyped": oracle(_retyped()),
     "m6_merge_columns": oracle(_m6()),
     "m7_list_conflicts": oracle(
         f"{_S} SELECT o_orderkey, "

@@ -59,11 +59,20 @@ def replace_rows(base: DataFrame, net: DataFrame, upserts: DataFrame, keys: list
     """``base`` without the keys of ``net``, plus ``upserts``; keys are not NULL.
 
     Columns that only one side has are NULL in the other's rows; those of ``base`` come first.
+    Retyped ones take the type that holds both.
     A net change set proven small is broadcast, so ``base`` is only scanned. Callers write ``net``
     first, because measuring it reads it once more.
     """
     kept = join_small(base, net.select(*keys), keys, "left_anti")
-    return kept.unionByName(upserts, allowMissingColumns=True)
+    return put_together(kept, upserts, keys)
+
+
+def put_together(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of both; a column that one lacks is NULL there, a retyped one has the type that holds both."""
+    order = rows.columns + [c for c in more.columns if c not in rows.columns]
+    names = [c for c in order if c not in keys]
+    both = aligned(rows, keys, names, more), aligned(more, keys, names, rows)
+    return both[0].select(*order).unionByName(both[1].select(*order))
 
 
 def with_current(net: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
@@ -151,4 +160,4 @@ def upsert_by_key(df: DataFrame, new: DataFrame, keys: list[str], mode: str = "r
     if mode != "ignore":
         raise ValueError("mode is 'replace' or 'ignore'")
     added = new.join(df.select(*keys), keys, "left_anti")
-    return df.unionByName(added, allowMissingColumns=True)
+    return put_together(df, added, keys)

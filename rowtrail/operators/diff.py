@@ -22,11 +22,24 @@ def value_columns(old: DataFrame, new: DataFrame, keys: list[str]) -> list[str]:
     return names + [c for c in old.columns if c not in keys and c not in names]
 
 
+# Decimal digits that hold every value of an integer type.
+INTEGER_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+MAX_DIGITS = 38
+
+
+def _exact(a: T.DataType) -> tuple[int, int] | None:
+    """Digits before and after the point of a whole or decimal type."""
+    if isinstance(a, T.DecimalType):
+        return a.precision - a.scale, a.scale
+    return (INTEGER_DIGITS[type(a)], 0) if type(a) in INTEGER_DIGITS else None
+
+
 def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
-    """Type that both versions of a retyped column are compared in.
+    """Type that both versions of a retyped column are compared in; it holds every value of both.
 
-    Whole numbers as bigint, other numbers as double, dates and timestamps as timestamp, and anything
-    else as text.
+    Whole numbers meet in bigint, decimals and whole numbers in the decimal of all their digits, floats
+    and whole numbers of up to 32 bits in double, dates and timestamps in timestamp. Anything else
+    meets in text: also numbers that no type holds together, as bigint and double (:func:`number_text`).
     """
     if a == b or isinstance(b, T.NullType):
         return a
@@ -34,20 +47,53 @@ def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
         return b
     if isinstance(a, T.IntegralType) and isinstance(b, T.IntegralType):
         return T.LongType()
-    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+    if (x := _exact(a)) and (y := _exact(b)):
+        whole, scale = max(x[0], y[0]), max(x[1], y[1])
+        return T.DecimalType(whole + scale, scale) if whole + scale <= MAX_DIGITS else T.StringType()
+    if all(isinstance(t, (T.DoubleType, T.FloatType, T.ByteType, T.ShortType, T.IntegerType)) for t in (a, b)):
         return T.DoubleType()
     if isinstance(a, T.DatetimeType) and isinstance(b, T.DatetimeType):
         return T.TimestampType()
     return T.StringType()
 
 
+def number_text(value: Column, dtype: T.DataType) -> Column:
+    """Numbers of any type as plain text: equal text stands for equal numbers.
+
+    No zeros after the last digit of a fraction. A double is its shortest decimal; one that 38 digits with 18
+    of them after the point do not give back keeps its exponent, and so differs from every decimal.
+    """
+    if isinstance(dtype, T.DecimalType):
+        if dtype.scale in (0, MAX_DIGITS):
+            return value.cast("string")
+        # Small numbers may be spelled with an exponent, except beside a one.
+        size, beside = F.abs(value), T.DecimalType(dtype.scale + 1, dtype.scale)
+        small = F.concat(F.lit("0"), F.substring((size.cast(beside) + F.lit(1).cast(beside)).cast(beside).cast("string"), 2, MAX_DIGITS + 1))
+        shown = F.when(size < 1, small).otherwise(size.cast("string"))
+        return F.concat(F.when(value < 0, "-").otherwise(""), F.regexp_replace(shown, r"\.?0+$", ""))
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        wide, shortest = value.cast("double"), value.cast("string")
+        whole = (wide == F.floor(wide)) & (wide >= F.lit(-(2.0**63))) & (wide < F.lit(2.0**63))
+        decimal = shortest.try_cast("decimal(38,18)")
+        back = decimal.cast(dtype) == value
+        return F.when(whole, wide.try_cast("bigint").cast("string")).when(back, number_text(decimal, T.DecimalType(38, 18))).otherwise(shortest)
+    return value.cast("string")
+
+
 def aligned(df: DataFrame, keys: list[str], names: list[str], *others: DataFrame) -> DataFrame:
     """``keys`` and ``names`` of ``df`` in the types it shares with ``others``; what it lacks is NULL."""
     columns = []
     for c in names:
         types = [x.schema[c].dataType for x in (df, *others) if c in x.columns]
-        value = F.col(c) if c in df.columns else F.lit(None)
-        columns.append(value.cast(reduce(common_type, types)).alias(c) if c not in df.columns or len(set(types)) > 1 else value)
+        shared = reduce(common_type, types)
+        if c not in df.columns:
+            columns.append(F.lit(None).cast(shared).alias(c))
+        elif len(set(types)) == 1:
+            columns.append(F.col(c))
+        elif isinstance(shared, T.StringType) and all(isinstance(t, (T.NumericType, T.NullType)) for t in types):
+            columns.append(number_text(F.col(c), types[0]).alias(c))
+        else:
+            columns.append(F.col(c).cast(shared).alias(c))
     return df.select(*keys, *columns)
 
 

@@ -1,6 +1,7 @@
 """Inputs on which versions differ in columns, types, tables and ranges."""
 
 import struct
+from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from rowtrail.functions import geometry as G
 from rowtrail.operators import address as A
 from rowtrail.operators import changes as C
 from rowtrail.operators import merge as M
-from rowtrail.operators.diff import diff_rows
+from rowtrail.operators.diff import diff_rows, number_text
 from rowtrail.sources import exports
 
 
@@ -115,3 +116,35 @@ def test_keys_of_more_than_fifteen_columns(spark):
 
     df = spark.range(1).select(*[F.lit(i).cast("long").alias(f"k{i}") for i in range(17)])
     assert bytes(df.select(packed_key(df, df.columns)).first()[0]) == b"\xdc\x00\x11" + bytes(range(17))
+
+
+def test_numbers_of_other_types_are_compared_exactly(spark):
+    def table(values, kind):
+        return spark.createDataFrame(list(enumerate(values)), f"id long, v {kind}")
+
+    def changed(a, b):
+        return [r["id"] for r in diff_rows(a, b, ["id"]).orderBy("id").collect()]
+
+    big = 1 << 53
+    assert changed(table([D("12345678901234567.89"), D("1.50")], "decimal(19,2)"), table([D("12345678901234567.8800"), D("1.5")], "decimal(21,4)")) == [0]
+    assert changed(table([big + 1, big, -(1 << 63), 3, 0], "bigint"), table([float(big), float(big), -(2.0**63), 3.5, -0.0], "double")) == [0, 3]
+    assert changed(table([7, 1 << 30, -5], "int"), table([7.0, float(1 << 30), -5.5], "double")) == [2]
+    assert changed(table([D(5), D(10) ** 37], "decimal(38,0)"), table([D("5.00"), D("1e15")], "decimal(38,20)")) == [1]
+    assert changed(table([D("0.10"), D("0.30"), D("100.00"), D("-0.05")], "decimal(9,2)"), table([0.1, 0.1 + 0.2, 100.0, -0.05], "double")) == [1]
+    assert changed(table([0.1, 1e300, float("nan"), 1e-7, None], "double"), table([D("0.1"), D(1), D(1), D("0.0000001"), None], "decimal(38,12)")) == [1, 2]
+    assert changed(table([1, 2], "tinyint"), table([D(1), D("2.5")], "decimal(5,2)")) == [1]
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        small = table([D("0E-18"), D("-0.000000000000000001"), D("0.5"), D("20")], "decimal(38,18)")
+        assert [r["t"] for r in small.select(number_text(F.col("v"), small.schema["v"].dataType).alias("t")).collect()] == ["0", "-0.000000000000000001", "0.5", "20"]
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    base = table([D("98765432109876543.21"), D("1.00")], "decimal(19,2)")
+    ours = table([D("98765432109876543.21"), D("2.00")], "decimal(19,2)")
+    theirs = table([D("98765432109876543.2101"), D("1.0000")], "decimal(21,4)")
+    merged = M.merge_rows(base, ours, theirs, ["id"])
+    done = M.finish_merge(base, merged, M.resolve(M.list_conflicts(merged), ["id"], "ours"), ["id"])
+    assert {r["id"]: r["v"] for r in done.collect()} == {0: D("98765432109876543.2101"), 1: D("2.0000")}
+    wide = table([float(1 << 53)], "double"), table([(1 << 53) + 1], "bigint")
+    merged = M.merge_rows(wide[1], wide[1], wide[0], ["id"])
+    done = M.finish_merge(wide[1], merged, M.resolve(M.list_conflicts(merged), ["id"], "ours"), ["id"])
+    assert done.collect()[0]["v"] == str(1 << 53)
