@@ -20,7 +20,7 @@ from rowtrail.plans import scratch
 from rowtrail.sources import exports
 from rowtrail.sources.dbf import read_dbf
 from rowtrail.sources.feature_files import scan_feature_files
-from rowtrail.sources.geopackage import export_geopackage, read_geopackage
+from rowtrail.sources.geopackage import export_geopackage, read_all, read_geopackage
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -50,6 +50,32 @@ def x8(spark, sf):
     return read_geopackage(spark, path, "users")
 
 
+def x8_two_tables(spark, sf):
+    """Two tables in one folder, and a third that is overwritten beside them."""
+    path = local_folder(spark, "gpkg")
+    nations = given(spark, sf, "nation").select("n_nationkey", "n_name")
+    suppliers = given(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    export_geopackage(nations, path, "shop/nation", ["n_nationkey"])
+    export_geopackage(suppliers, path, "shop/supplier", ["s_suppkey"])
+    export_geopackage(suppliers.filter("s_suppkey < 0"), path, "shop/none", ["s_suppkey"])
+    export_geopackage(nations.filter("n_nationkey % 2 = 0"), path, "shop/nation", ["n_nationkey"])
+    tables = read_all(spark, path)
+    return (
+        tables["shop_nation"].select(F.lit("nation").alias("place"), F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+        .unionByName(tables["shop_supplier"].select(F.lit("supplier").alias("place"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+        .unionByName(tables["shop_none"].select(F.lit("none").alias("place"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+    )
+
+
+def x8_update_rows(spark, sf):
+    """The last event of each user, written in two steps: the later one updates keys of the first."""
+    path = local_folder(spark, "gpkg")
+    events = given(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    for mode, part in (("overwrite", "event_id % 2 = 0"), ("append", "event_id % 2 = 1 AND user_id % 3 = 0")):
+        export_geopackage(events.filter(part).withColumn("number", F.col("event_id")), path, "users", ["user_id"], mode=mode, seq="number")
+    return read_geopackage(spark, path, "users")
+
+
 def _dbf_header(records: int, fields: list[tuple[str, str, int]]) -> bytes:
     head = struct.pack("<BBBBIHH20x", 3, 124, 1, 1, records, 33 + 32 * len(fields), 1 + sum(n for _, _, n in fields))
     for name, kind, size in fields:
@@ -192,6 +218,8 @@ QUERIES = {
     "x6_csv_display": lambda s, sf: exports.csv_columns(given(s, sf, "values_mixed"), "display"),
     "x7_to_geojson": x7,
     "x8_export_geopackage": x8,
+    "x8_two_tables": x8_two_tables,
+    "x8_update_rows": x8_update_rows,
     "x11_scan_feature_files": x11,
     "x12_parquet": x12,
     "x13_sync_table": x13,
@@ -216,6 +244,15 @@ ORACLES = {
         "SELECT 'Feature' AS type, CASE WHEN wkt IS NOT NULL THEN 'Feature' END AS geometry_type, wkt, c_custkey, dataset,"
         " '<blob>' AS raw FROM {wkt_points}"
     ),
+    "x8_two_tables": oracle(
+        "SELECT 'nation' AS place, n_nationkey::BIGINT AS id, n_name AS name FROM {nation} WHERE n_nationkey % 2 = 0"
+        " UNION ALL SELECT 'supplier', s_suppkey, s_name FROM {supplier}"
+    ),
+    "x8_update_rows": oracle(
+        "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id"
+        " ORDER BY event_id % 2 DESC, event_id DESC) AS rank FROM {events} WHERE event_id % 2 = 0 OR user_id % 3 = 0)"
+        " WHERE rank = 1"
+    ),
     "x8_export_geopackage": oracle(
         "WITH u AS (SELECT DISTINCT user_id FROM {events}) SELECT user_id, user_id::DOUBLE AS twice FROM u"
         " UNION ALL SELECT -user_id - 1, user_id::DOUBLE FROM u"

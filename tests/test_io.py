@@ -13,7 +13,7 @@ from rowtrail.operators.evolve import Field, legends_of
 from rowtrail.sources import exports
 from rowtrail.sources.dbf import read_dbf
 from rowtrail.sources.feature_files import scan_feature_files
-from rowtrail.sources.geopackage import MANIFEST, export_geopackage, list_tables, read_all, read_geopackage, shards
+from rowtrail.sources.geopackage import expire, export_geopackage, list_tables, publish, read_all, read_geopackage, shards, table_schema
 from rowtrail.streaming import feed
 from rowtrail.operators.tiles import read_files
 
@@ -56,7 +56,7 @@ def test_append_updates_equal_keys(spark, tmp_path):
     export_geopackage(make([(1, "a", 1), (1, "b", 3), (1, "c", 2), (2, "x", 1)]), path, "t", ["id"], seq="seq")
     export_geopackage(make([(2, "y", 1), (3, "z", 1)]), path, "t", ["id"], seq="seq", mode="append")
     assert sorted(map(tuple, read_geopackage(spark, path, "t").collect())) == [(1, "b"), (2, "y"), (3, "z")]
-    with sqlite3.connect(shards(path)[0]) as db:
+    with sqlite3.connect(shards(path, "t")[0]) as db:
         assert {r[0] for r in db.execute("SELECT srs_id FROM gpkg_spatial_ref_sys")} == {-1, 0, 4326}
 
 
@@ -70,14 +70,53 @@ def test_export_geopackage(spark, tmp_path):
     with sqlite3.connect(stray) as db:
         db.execute("CREATE TABLE a_b (id INTEGER PRIMARY KEY, name TEXT, geom BLOB)")
         db.execute("INSERT INTO a_b VALUES (99, 'stray', NULL)")
-    assert stray not in shards(path) and read_geopackage(spark, path, "a_b").count() == 10
-    with sqlite3.connect(shards(path)[0]) as db:
+    assert stray not in shards(path, "a_b") and read_geopackage(spark, path, "a_b").count() == 10
+    with sqlite3.connect(shards(path, "a_b")[0]) as db:
         assert db.execute("SELECT column_name, geometry_type_name, srs_id FROM gpkg_geometry_columns").fetchall() == [
             ("geom", "POINT", 3857)]
     export_geopackage(df.filter("id < 3"), path, "a/b", ["id"])
     assert read_geopackage(spark, path, "a_b").count() == 3
-    with open(os.path.join(path, MANIFEST)) as f:
-        assert all(os.path.exists(os.path.join(path, n)) for n in json.load(f))
+    assert all(map(os.path.exists, shards(path, "a_b")))
+    # Overwritten and stray shards stay until they expire.
+    files = len(os.listdir(path))
+    assert expire(path) == 0 and expire(path, -1.0) == files - len(shards(path, "a_b")) - 1
+    assert read_geopackage(spark, path, "a_b").count() == 3 and not os.path.exists(stray)
+
+
+def test_tables_of_one_folder_stay_apart(spark, tmp_path):
+    path = str(tmp_path / "many")
+    make = lambda rows, names: spark.createDataFrame(rows, names)
+    export_geopackage(make([(k, f"a{k}") for k in range(40)], "id long, name string"), path, "a", ["id"], buckets=8)
+    export_geopackage(make([(k, 0.5 * k, None) for k in range(5)], "n int, x double, note string"), path, "b", [])
+    export_geopackage(make([], "id long, flag boolean"), path, "c", ["id"])
+    assert list_tables(path) == ["a", "b", "c"]
+    before = set(shards(path, "a"))
+    export_geopackage(make([(7, "new"), (100, "more")], "id int, name string"), path, "a", ["id"], mode="append")
+    after = set(shards(path, "a"))
+    assert 1 <= len(after - before) <= 2 and len(before & after) >= 6  # only shards that hold a key are written again
+    export_geopackage(make([(9, 1.0, "x")], "n int, x double, note string"), path, "b", [], mode="append")
+    tables = read_all(spark, path)
+    got = {r["id"]: r["name"] for r in tables["a"].collect()}
+    assert got == {k: f"a{k}" for k in range(40)} | {7: "new", 100: "more"}
+    assert sorted(r["n"] for r in tables["b"].collect()) == [0, 1, 2, 3, 4, 9]
+    assert tables["c"].count() == 0 and tables["c"].columns == ["id", "flag"] and table_schema(path, "a")["id"].metadata["primary_key_index"] == 0
+    export_geopackage(make([(1, "only")], "id long, name string"), path, "a", ["id"])
+    assert read_geopackage(spark, path, "a").count() == 1 and read_geopackage(spark, path, "b").count() == 6
+    with pytest.raises(ValueError, match="has the keys"):
+        export_geopackage(make([(1, "only")], "id long, name string"), path, "a", ["name"], mode="append")
+
+
+def test_manifests_of_writers_at_once_are_merged(tmp_path):
+    path, seen = str(tmp_path), []
+
+    def first(tables):
+        if not seen:  # another writer publishes between this one's reading and its own publishing
+            seen.append(True)
+            publish(path, lambda tables: tables | {"theirs": {"shards": []}})
+        return tables | {"ours": {"shards": []}}
+
+    publish(path, first)
+    assert list_tables(path) == ["ours", "theirs"] and not [n for n in os.listdir(path) if n.startswith("_draft")]
 
 
 def test_read_dbf_counts_records(spark, tmp_path):
