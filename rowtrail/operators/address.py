@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtrail.functions.address import digest_chunks, feature_directory, row_digest
 from rowtrail.operators.diff import diff_rows
@@ -93,58 +96,158 @@ def blob_dedup(digests: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------
-# Stored snapshots. Rows lie in the order of their directories, with small Parquet pages, and the
-# digests of the leaf directories lie next to them. A diff compares the digests, which are some
-# sixty times fewer than the rows, and then reads only the pages that hold a changed directory.
+# Stored snapshots. Rows lie in the order of their directories, with small Parquet pages and their
+# digests beside them. Directories of all levels lie next to them as a hash tree: the digest of a
+# directory sums those of the rows below it, and the root's is in the manifest. A diff compares the
+# roots, then goes down the levels, where each level's scan reads only the children of directories
+# that differ, and at last reads only the files, and in them the pages, that hold a leaf that differs.
 # ---------------------------------------------------------------------------------------------
 
 PAGE_ROWS = 4096
+# A level of up to this many directories is compared as a whole, without a shuffle.
+SMALL_LEVEL = 5000
 # Changed directories up to this many are listed on the driver, and up to this many names go into
-# the scan's filter.
+# a scan's filter.
 MAX_LISTED_DIRS = 100_000
 MAX_SCAN_NAMES = 1000
+# Up to so many changed rows out of so few files are compared in one task, without a shuffle.
+FEW_ROWS, FEW_FILES = 100_000, 16
 
-
-MANIFEST_COLUMNS = "folder string, keys array<string>, columns array<string>, dir string, levels int"
+TREE = ["n", "x0", "x1"]
+MANIFEST_COLUMNS = (
+    "folder string, keys array<string>, columns array<string>, dir string, levels int, schema string,"
+    " counts array<bigint>, n bigint, x0 bigint, x1 bigint"
+)
 
 
 def _ancestor(name: str, depth: int):
     return F.substring_index(name, "/", depth)
 
 
+def row_hashes(df: DataFrame, columns: list[str]) -> list:
+    """Two 64-bit hashes over ``columns``. Hashing skips NULLs, so where they stand is hashed too."""
+    plain = [F.to_json(c) if isinstance(df.schema[c].dataType, T.MapType) else F.col(c) for c in columns]
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns])
+    return [F.xxhash64(F.lit(seed), nulls, *plain) for seed in (1, 2)]
+
+
 def write_snapshot(df: DataFrame, keys: list[str], path: str, levels: int = 4, **layout) -> None:
-    """Store ``df`` under ``path``: ``rows`` ordered by directory and ``dirs`` with leaf digests.
+    """Store ``df`` under ``path``: ``rows`` ordered by directory, and the tree of directory digests.
 
-    Keys must not be NULL. The directory and those above it are stored under a name that no column of
-    ``df`` starts with. Rows and digests go to a new folder, which the manifest, written last, makes
-    the current one. The rows are cut into files by directory and key, so a directory too large for
-    one task is split. The digests are taken from the rows as they are written once.
+    Keys must not be NULL. Directories and digests are stored under names that no column of ``df``
+    starts with. Rows and tree go to a new folder, which the manifest, written last, makes the current
+    one. The rows are cut into files by directory and key, so a directory too large for one task is
+    split. Digests are made in the pass that writes the rows; the tree only reads them back, not the
+    values, and sums leaves before it sums the levels above.
     """
     spark, folder, at = df.sparkSession, uuid.uuid4().hex, "_dir"
     while any(c.startswith(at) for c in df.columns):
         at = f"_{at}"
-    rows = df.withColumn(at, feature_directory(df, keys, levels=levels, **layout))
+    names = keys + sorted(c for c in df.columns if c not in keys)
+    x0, x1 = row_hashes(df, names)
+    rows = df.withColumns({at: feature_directory(df, keys, levels=levels, **layout), f"{at}_x0": x0, f"{at}_x1": x1})
     rows = rows.withColumns({f"{at}_{i}": _ancestor(at, i) for i in range(1, levels)})
     ordered = rows.repartitionByRange(at, *keys).sortWithinPartitions(at, *keys)
     pages = {"parquet.page.row.count.limit": str(PAGE_ROWS)}
     ordered.write.options(**pages).parquet(f"{path}/{folder}/rows")
     stored = spark.read.schema(rows.schema).parquet(f"{path}/{folder}/rows")
-    names = keys + sorted(c for c in df.columns if c not in keys)
-    leaves = leaf_sums(stored.select(F.col(at).alias("dir"), row_digest(stored, names).alias("digest")))
-    digest = F.sha2(F.concat_ws(":", "n", *CHUNKS), 256)
-    leaves.select("dir", digest.alias("digest")).write.parquet(f"{path}/{folder}/dirs")
-    manifest = spark.createDataFrame([(folder, keys, df.columns, at, levels)], MANIFEST_COLUMNS)
+    sums = [F.sum("n").alias("n"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1")]
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")
+    leaves = stored.select(F.col(at).alias("dir"), file, F.lit(1).cast("long").alias("n"), F.col(f"{at}_x0").alias("x0"), F.col(f"{at}_x1").alias("x1"))
+    leaves = cut(leaves.groupBy("dir", "file").agg(*sums))
+    first = lambda i: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), i), "/")
+    ups = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda i: F.struct(i.alias("level"), first(i).alias("node")))
+    tree = leaves.select(F.explode(ups).alias("up"), "file", *TREE).select("up.*", "file", *TREE)
+    files = F.collect_set(F.when(F.col("level") == levels, F.col("file"))).alias("files")
+    tree = tree.groupBy("level", "node").agg(*sums, files).withColumnRenamed("node", "dir")
+    tree = cut(tree.withColumn("parent", first(F.greatest(F.col("level") - 1, F.lit(0)))))
+    tree.repartitionByRange("level", "dir").sortWithinPartitions("level", "dir").write.options(**pages).partitionBy("level").parquet(f"{path}/{folder}/tree")
+    # One row per level.
+    counts = {r["level"]: r for r in tree.groupBy("level").agg(F.count(F.lit(1)).alias("dirs"), *sums).collect()}
+    root = counts.get(0)
+    totals = [root[c] if root else 0 for c in TREE]
+    sizes = [counts[i]["dirs"] if i in counts else 0 for i in range(levels + 1)]
+    manifest = spark.createDataFrame([(folder, keys, df.columns, at, levels, rows.schema.json(), sizes, *totals)], MANIFEST_COLUMNS)
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
-def _manifest(spark: SparkSession, path: str):
-    return spark.read.schema(MANIFEST_COLUMNS).json(f"{path}/manifest").first()
+def _manifests(spark: SparkSession, *paths: str) -> list:
+    """The manifests of some snapshots, in one small job."""
+    folders = [f"{path.rstrip('/')}/manifest" for path in dict.fromkeys(paths)]
+    if len(folders) == 1:
+        return [spark.read.schema(MANIFEST_COLUMNS).json(folders).first()] * len(paths)
+    rows = spark.read.schema(MANIFEST_COLUMNS).json(folders).select("*", F.input_file_name().alias("file")).collect()
+    bare = lambda path: re.sub("^[a-z][a-z0-9+.-]*:/*", "/", path)
+    of = {f: [r for r in rows if bare(unquote(r["file"])).rpartition("/")[0].endswith(bare(f))] for f in folders}
+    # A folder that ends like another one is read by itself.
+    single = {f: own[0] if len(own) == 1 else spark.read.schema(MANIFEST_COLUMNS).json(f).first() for f, own in of.items()}
+    return [single[f"{path.rstrip('/')}/manifest"] for path in paths]
+
+
+def _stored(spark: SparkSession, path: str, m, files: list[str] | None = None) -> DataFrame:
+    """The stored rows of a snapshot, of all files or of some."""
+    schema, folder = T.StructType.fromJson(json.loads(m["schema"])), f"{path}/{m['folder']}/rows"
+    if files is not None and not files:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*([folder] if files is None else [f"{folder}/{f}" for f in files]))
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a stored snapshot, as they were handed in."""
-    m = _manifest(spark, path)
-    return spark.read.parquet(f"{path}/{m['folder']}/rows").select(*m["columns"])
+    m = _manifests(spark, path)[0]
+    return _stored(spark, path, m).select(*m["columns"])
+
+
+def _level(spark: SparkSession, path: str, m, level: int) -> DataFrame:
+    schema = "dir string, parent string, " + ", ".join(f"{c} bigint" for c in TREE) + ", files array<string>"
+    if not m["counts"][level]:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{m['folder']}/tree/level={level}")
+
+
+def _differing(a: DataFrame, b: DataFrame, small: bool) -> DataFrame:
+    """(dir, rows, files_a, files_b) whose digests differ, of two levels. Equal digests cancel out in one sum over both.
+
+    Levels of at most ``SMALL_LEVEL`` directories each are summed by one task, without a shuffle.
+    """
+    both = a.select("dir", *TREE, "files", F.lit(1).alias("sign")).unionByName(b.select("dir", *TREE, "files", F.lit(-1).alias("sign")))
+    files = lambda sign: F.flatten(F.collect_list(F.when(F.col("sign") == sign, F.col("files"))))
+    summed = (both.coalesce(1) if small else both).groupBy("dir").agg(
+        F.sum(F.col("sign") * F.col("n")).alias("more"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"), F.sum("n").alias("rows"),
+        files(1).alias("files_a"), files(-1).alias("files_b"),
+    )
+    return summed.filter("more != 0 OR x0 != 0 OR x1 != 0").select("dir", "rows", "files_a", "files_b")
+
+
+def changed_leaves_stored(spark: SparkSession, path_a: str, path_b: str, manifests=None) -> list[tuple] | DataFrame:
+    """(dir, rows, files_a, files_b) of the leaf directories in which two snapshots of one layout differ.
+
+    Goes down from the lowest level that is small as a whole. Below it, a level is read only where its
+    parents differ. A list while it stays within ``MAX_LISTED_DIRS``, else a written table.
+    """
+    a, b = manifests or _manifests(spark, path_a, path_b)
+    if all(a[c] == b[c] for c in TREE):
+        return []
+    levels = a["levels"]
+    size = [max(x, y) for x, y in zip(a["counts"], b["counts"], strict=True)]
+    level = max(i for i in range(levels + 1) if i == 0 or size[i] <= SMALL_LEVEL)
+    found: list[tuple] | DataFrame | None = None
+    while True:
+        sides = [_level(spark, path, m, level) for path, m in ((path_a, a), (path_b, b))]
+        if size[level] <= SMALL_LEVEL:
+            found = [tuple(r) for r in _differing(*sides, True).collect()]
+        else:
+            if isinstance(found, list) and len(found) <= MAX_SCAN_NAMES:  # the first level is read whole
+                sides = [side.filter(F.col("parent").isin([f[0] for f in found])) for side in sides]
+            elif found is not None:
+                parents = found if isinstance(found, DataFrame) else spark.createDataFrame([(f[0],) for f in found], "dir string")
+                sides = [join_small(side, parents.select(F.col("dir").alias("parent")), ["parent"], "left_semi") for side in sides]
+            differing = cut(_differing(*sides, False))
+            listed = differing.limit(MAX_LISTED_DIRS + 1).collect()
+            found = [tuple(r) for r in listed] if len(listed) <= MAX_LISTED_DIRS else differing
+        if level == levels:
+            return found
+        level += 1
 
 
 def _scan_filter(dirs: list[str], levels: int, at: str):
@@ -162,29 +265,30 @@ def diff_snapshots(
     """Delta between two stored snapshots, reading what changed; equal to :func:`diff_rows` of them.
 
     While the changed directories stay within ``MAX_LISTED_DIRS``, the scans are filtered by the
-    directories themselves or by the lowest level of directories above them that is short enough.
-    Beyond that a join restricts both sides to the changed directories. Snapshots whose columns, types
-    or layouts differ are compared as a whole, because their digests say nothing.
+    directories themselves or by the lowest level of directories above them that is short enough, and
+    only files that hold one are opened. Beyond that a join restricts both sides to the changed
+    directories. Snapshots whose columns, types or layouts differ are compared as a whole, because
+    their digests say nothing.
     """
-    a, b = _manifest(spark, path_a), _manifest(spark, path_b)
-    sides = [spark.read.parquet(f"{path}/{m['folder']}/rows") for path, m in ((path_a, a), (path_b, b))]
+    a, b = _manifests(spark, path_a, path_b)
     keep = [[c for c in m["columns"] if names is None or c in names or c in keys] for m in (a, b)]
-    types = [{c: side.schema[c].dataType for c in m["columns"]} for side, m in zip(sides, (a, b))]
+    stored = ((path_a, a), (path_b, b))
+    types = [{f["name"]: f["type"] for f in json.loads(m["schema"])["fields"] if f["name"] in m["columns"]} for m in (a, b)]
     if types[0] != types[1] or any(a[k] != b[k] for k in ("keys", "dir", "levels")):
-        return diff_rows(*[side.select(*k) for side, k in zip(sides, keep)], keys, keys_not_null=True)
-    dirs_a = spark.read.parquet(f"{path_a}/{a['folder']}/dirs")
-    dirs_b = spark.read.parquet(f"{path_b}/{b['folder']}/dirs").withColumnRenamed("digest", "digest_b")
-    changed = dirs_a.join(dirs_b, "dir", "full").filter(~F.col("digest").eqNullSafe(F.col("digest_b"))).select("dir")
+        return diff_rows(*[_stored(spark, *x).select(*k) for x, k in zip(stored, keep)], keys, keys_not_null=True)
     at, levels = b["dir"], b["levels"]
-    changed = changed.withColumnRenamed("dir", at)
-    listed = [r[0] for r in changed.limit(MAX_LISTED_DIRS + 1).collect()]
-    if len(listed) > MAX_LISTED_DIRS:
-        leaves = cut(changed)
-        sides = [join_small(side, leaves, [at], "left_semi") for side in sides]
+    found = changed_leaves_stored(spark, path_a, path_b, (a, b))
+    if isinstance(found, DataFrame):
+        leaves = found.select(F.col("dir").alias(at))
+        sides = [join_small(_stored(spark, *x), leaves, [at], "left_semi") for x in stored]
     else:
+        listed = [f[0] for f in found]
+        files = [sorted({x for f in found for x in f[k]}) for k in (2, 3)]
         condition, depth = _scan_filter(listed, levels, at)
-        sides = [side.filter(condition) for side in sides]
+        sides = [_stored(spark, *x, own).filter(condition) for x, own in zip(stored, files)]
         if depth < levels:
             leaves = F.broadcast(spark.createDataFrame([(d,) for d in listed], f"{at} string"))
             sides = [side.join(leaves, at, "left_semi") for side in sides]
+        if sum(f[1] for f in found) <= FEW_ROWS and max(map(len, files)) <= FEW_FILES:
+            sides = [side.coalesce(1) for side in sides]
     return diff_rows(*[side.select(*k) for side, k in zip(sides, keep)], keys, keys_not_null=True)
