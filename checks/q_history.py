@@ -64,6 +64,30 @@ def v6(spark, sf):
                             refs(spark, sf), TOPIC, "main", CUSTOMER), CUSTOMER)
 
 
+def extended(spark, sf) -> H.CommitIndex:
+    """A stored index of the older half of the commits, extended by the others in two steps."""
+    commits, path = given(spark, sf, "commits"), scratch(spark, "index")
+    half, most = commits.selectExpr("percentile(commit_no, array(0.5, 0.8))").first()[0]
+    H.store_index(H.index_commits(commits.filter(F.col("commit_no") <= half)), path)
+    H.extend_stored_index(spark, path, commits.filter((F.col("commit_no") > half) & (F.col("commit_no") <= most)))
+    return H.extend_stored_index(spark, path, commits.filter(F.col("commit_no") > half))
+
+
+def v1_extended(spark, sf):
+    return H.ancestors(extended(spark, sf), refs(spark, sf), "main")
+
+
+def v5_from_checkpoint(spark, sf):
+    """Checkpoints of the topic's history and of an early ref; the one within the history of main is used."""
+    path, deltas, found = scratch(spark, "checkpoints"), customer_deltas(spark, sf), index(spark, sf)
+    middle = given(spark, sf, "commits").selectExpr("percentile(commit_no, 0.6) AS n").first()["n"]
+    main = H.ancestors(found, refs(spark, sf), "main").filter(F.col("commit_no") <= middle)
+    early = main.orderBy(F.desc("commit_no")).select(F.lit("early").alias("name"), "commit_id").limit(1)
+    H.write_checkpoint(deltas, found, early, "early", CUSTOMER, path)
+    H.write_checkpoint(deltas, found, refs(spark, sf), TOPIC, CUSTOMER, path)
+    return H.snapshot_as_of(given(spark, sf, "customer"), deltas, found, refs(spark, sf), "main", CUSTOMER, path)
+
+
 def v8(spark, sf):
     def tagged(name):
         df = given(spark, sf, name)
@@ -103,11 +127,13 @@ QUERIES = {
     "v1_reachable_all_refs": lambda s, sf: H.reachable(index(s, sf), refs(s, sf)).groupBy("name").agg(
         F.count(F.lit(1)).alias("commits"), F.min("commit_no").alias("first"), F.max("commit_no").alias("last")
     ),
+    "v1_extended": v1_extended,
     "v2_log": v2,
     "v2_log_top": lambda s, sf: v2(s, sf, 25),
     "v4_show": lambda s, sf: H.show(given(s, sf, "commits"), given(s, sf, "all_deltas")),
     "v5_snapshot_as_of": v5,
     "v5_snapshot_as_of_orders": v5_orders,
+    "v5_from_checkpoint": v5_from_checkpoint,
     "v6_diff_refs": v6,
     "v7_merge_base": lambda s, sf: H.merge_base(index(s, sf), refs(s, sf), "main", TOPIC.replace("75", "79")),
     "v8_restore": v8,
@@ -172,6 +198,9 @@ ORACLES = {
     "v1_ancestors": oracle(
         f"{_MAIN} SELECT c.commit_id, c.commit_no FROM a JOIN {{commits}} c ON c.commit_id = a.commit_id"
     ),
+    "v1_extended": oracle(
+        f"{_MAIN} SELECT c.commit_id, c.commit_no FROM a JOIN {{commits}} c ON c.commit_id = a.commit_id"
+    ),
     # The commits follow from their numbers: 10 d has the d main commits below it and five commits of
     # each branch merged up to it; 10 d + 5 and 10 d + 9 add the five or four commits of their branch.
     "v1_reachable_all_refs": oracle(
@@ -189,6 +218,7 @@ ORACLES = {
         " coalesce(modified, 0) AS modified, coalesce(deleted, 0) AS deleted"
         " FROM {commits} c LEFT JOIN n ON n.commit_id = c.commit_id"
     ),
+    "v5_from_checkpoint": oracle(f"{_MAIN}, {_states('s', 'a', 'customer_deltas', 'c_custkey')} {_CUSTOMER}"),
     "v5_snapshot_as_of": oracle(f"{_MAIN}, {_states('s', 'a', 'customer_deltas', 'c_custkey')} {_CUSTOMER}"),
     "v5_snapshot_as_of_orders": oracle(
         f"{_TOPIC}, {_states('s', 't', 'order_deltas', 'o_orderkey')} "

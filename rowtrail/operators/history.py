@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowtrail.functions.text import short_hash
@@ -143,11 +144,96 @@ def index_commits(commits: DataFrame) -> CommitIndex:
     return CommitIndex(places, cut(crossings))
 
 
+def new_places(index: CommitIndex, commits: DataFrame) -> CommitIndex:
+    """Places and crossings of ``commits`` that ``index`` does not hold yet; what it holds stays as it is.
+
+    Parents are in ``index`` or among ``commits``. The new commits are chained among themselves; a new
+    chain goes on with an old one if its lowest commit follows that chain's last, the one with the most
+    commits if there are several. Rounds and joins follow the new commits; the old places are only scanned
+    for their parents. Chains may come out shorter than by :func:`index_commits`, which costs later
+    searches some rounds, never commits.
+    """
+    held = index.places.select("commit_id")
+    fresh = cut(commits.select("commit_id", "commit_no", "parent_ids").join(join_small(held, commits.select("commit_id"), ["commit_id"], "left_semi"), "commit_id", "left_anti"))
+    links = fresh.select("commit_id", "commit_no", F.posexplode("parent_ids").alias("_at", "_parent"))
+    inner = links.join(fresh.select(F.col("commit_id").alias("_parent")), "_parent", "left_semi")
+    among = fresh.select("commit_id", "commit_no").join(
+        inner.groupBy("commit_id").agg(F.array_sort(F.collect_list(F.struct("_at", "_parent"))).alias("_inner")), "commit_id", "left"
+    )
+    parents = F.coalesce(F.transform("_inner", lambda x: x["_parent"]), F.array().cast("array<string>"))
+    own = index_commits(among.select("commit_id", "commit_no", parents.alias("parent_ids")))
+    # Where the parents lie that are old, and whether a chain ends with them.
+    wanted = cut(links.join(inner.select("commit_id", "_at"), ["commit_id", "_at"], "left_anti").select("commit_id", "_parent"))
+    found = join_small(index.places.select(F.col("commit_id").alias("_parent"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos")), wanted.select("_parent").distinct(), ["_parent"], "left_semi")
+    old = cut(wanted.join(found, "_parent"))
+    after = old.select(F.col("to_chain").alias("chain"), (F.col("to_pos") + 1).alias("pos")).distinct()
+    taken = join_small(index.places.select("chain", "pos"), after, ["chain", "pos"], "left_semi")
+    open_ = old.join(taken.select(F.col("chain").alias("to_chain"), (F.col("pos") - 1).alias("to_pos")), ["to_chain", "to_pos"], "left_anti")
+    lowest = own.places.filter("pos = 0").select("commit_id", F.col("chain").alias("_own"))
+    sizes = own.places.groupBy("chain").agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed("chain", "_own")
+    offers = open_.join(lowest, "commit_id").join(sizes, "_own")
+    # A new chain takes one old chain, and an old chain is taken by one new chain.
+    choice = offers.groupBy("_own", "_size").agg(F.max(F.struct("to_pos", "to_chain")).alias("_to")).select("_own", "_size", "_to.*")
+    winner = choice.groupBy("to_chain").agg(F.max(F.struct("_size", "_own")).alias("_by")).select("to_chain", F.col("_by._own").alias("_own"))
+    joined = choice.join(winner, ["to_chain", "_own"]).select(F.col("_own").alias("chain"), "to_chain", "to_pos")
+    moved = own.places.join(joined, "chain", "left")
+    places = cut(moved.select(
+        "commit_id", "commit_no", F.coalesce("to_chain", "chain").alias("chain"),
+        (F.col("pos") + F.coalesce(F.col("to_pos") + 1, F.lit(0))).alias("pos"),
+    ))
+    at = places.select("commit_id", "chain", "pos")
+    among = links.join(inner.select("commit_id", "_at"), ["commit_id", "_at"], "left_semi").select("commit_id", "_parent")
+    to_new = among.join(at.select(F.col("commit_id").alias("_parent"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos")), "_parent")
+    every = to_new.unionByName(old).join(at, "commit_id")
+    return CommitIndex(places, cut(every.filter(F.col("chain") != F.col("to_chain")).select("chain", "pos", "to_chain", "to_pos")))
+
+
+def extend_index(index: CommitIndex, commits: DataFrame) -> CommitIndex:
+    """``index`` with the places of new commits beside its own; see :func:`new_places`."""
+    more = new_places(index, commits)
+    columns = ["chain", "pos", "to_chain", "to_pos"]
+    return CommitIndex(
+        index.places.select(*more.places.columns).unionByName(more.places), index.crossings.select(*columns).unionByName(more.crossings)
+    )
+
+
+def store_index(index: CommitIndex, path: str, version: int = 0) -> None:
+    """Write ``index`` as one version below ``path``; it counts once its mark, written last, is there."""
+    index.places.write.mode("overwrite").parquet(f"{path}/places/version={version}")
+    index.crossings.write.mode("overwrite").parquet(f"{path}/crossings/version={version}")
+    index.places.sparkSession.range(1).select(F.lit(version).alias("number")).coalesce(1).write.mode("overwrite").json(f"{path}/marks/{version}")
+
+
+def _versions(spark, path: str) -> list[int]:
+    marks = spark.read.schema("number int").option("recursiveFileLookup", "true").json(f"{path}/marks")
+    return sorted(r["number"] for r in marks.collect())
+
+
+def load_index(spark, path: str) -> CommitIndex:
+    """All marked versions of a stored index; versions are appended and never changed."""
+    versions = _versions(spark, path)
+
+    def read(part: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{path}/{part}/version={v}" for v in versions])
+
+    return CommitIndex(
+        read("places", "commit_id string, commit_no bigint, chain string, pos bigint"),
+        read("crossings", "chain string, pos bigint, to_chain string, to_pos bigint"),
+    )
+
+
+def extend_stored_index(spark, path: str, commits: DataFrame) -> CommitIndex:
+    """Append the places of new commits to a stored index as its next version; known commits add nothing."""
+    index = load_index(spark, path)
+    store_index(new_places(index, commits), path, max(_versions(spark, path)) + 1)
+    return load_index(spark, path)
+
+
 def reach(index: CommitIndex, refs: DataFrame) -> DataFrame:
     """(name, chain, top): for every ref, the chains it reaches and the highest position there."""
     start = refs.join(index.places, "commit_id").select("name", "chain", F.col("pos").alias("top"))
     fresh = cut(start.withColumn("bottom", F.lit(-1).cast("bigint")))
-    found = fresh.select("name", "chain", "top")
+    found = fresh.groupBy("name", "chain").agg(F.max("top").alias("top"))
     while not fresh.isEmpty():
         # Only the part of a chain that is new in this round is followed further.
         inside = (F.col("pos") <= F.col("top")) & (F.col("pos") > F.col("bottom"))
@@ -155,11 +241,12 @@ def reach(index: CommitIndex, refs: DataFrame) -> DataFrame:
             index.crossings.join(fresh, "chain").filter(inside)
             .groupBy("name", F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("top"))
         )
-        before = found.groupBy("name", "chain").agg(F.max("top").alias("bottom"))
+        before = found.withColumnRenamed("top", "bottom")
         better = met.join(before, ["name", "chain"], "left").withColumn("bottom", F.coalesce("bottom", F.lit(-1)))
         fresh = cut(better.filter(F.col("top") > F.col("bottom")))
-        found = found.union(fresh.select("name", "chain", "top"))
-    return found.groupBy("name", "chain").agg(F.max("top").alias("top"))
+        # One row per ref and chain, written, so that a round does not read those before it.
+        found = cut(found.union(fresh.select("name", "chain", "top")).groupBy("name", "chain").agg(F.max("top").alias("top")))
+    return found
 
 
 def reachable(index: CommitIndex, refs: DataFrame) -> DataFrame:
@@ -193,26 +280,105 @@ def show(commits: DataFrame, deltas: DataFrame, commit_id: str | None = None) ->
     return joined.fillna(0, [name for _, name in kinds])
 
 
+def last_rows(df: DataFrame, by: list[str], number: str) -> DataFrame:
+    """The row with the largest ``number`` of each group; NULLs of ``by`` group together.
+
+    The aggregate holds numbers only, so it hashes and combines before the shuffle; rows join it.
+    """
+    top = df.groupBy(*by).agg(F.max(number).alias("_top")).withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return df.join(top, [*same, F.col(number) == F.col("_top")]).select(*df.columns).dropDuplicates(by)
+
+
 def _last_states(deltas: DataFrame, keys: list[str], flags: dict[str, Column]) -> DataFrame:
-    """Per key, the last (op, new) by commit number, once for each flag."""
-    last = [
-        F.max_by(F.when(flag, F.struct("op", "new")), F.when(flag, F.col("commit_no"))).alias(name)
-        for name, flag in flags.items()
-    ]
-    return deltas.groupBy(*keys).agg(*last)
+    """Per key, the last (op, new) by commit number, once for each flag. Keys are not NULL."""
+    marked = deltas.select(*keys, "commit_no", "op", "new", *[flag.alias(f"_{name}") for name, flag in flags.items()])
+    tops = marked.groupBy(*keys).agg(*[F.max(F.when(F.col(f"_{name}"), F.col("commit_no"))).alias(f"_top_{name}") for name in flags])
+    # Both sides are dealt by the keys, and so is what comes out.
+    rows, out = marked.join(tops, keys), None
+    for name in flags:
+        own = rows.filter(F.col(f"_{name}") & (F.col("commit_no") == F.col(f"_top_{name}"))).dropDuplicates(keys)
+        own = own.select(*keys, F.struct("commit_no", "op", "new").alias(name))
+        out = own if out is None else out.join(own, keys, "full")
+    return out
 
 
 def snapshot_as_of(
-    base: DataFrame, deltas: DataFrame, index: CommitIndex, refs: DataFrame, ref: str, keys: list[str]
-) -> DataFrame:
-    """``base`` with the changes of the history of ``ref`` applied, deleted rows removed."""
-    past = cut(ancestors(index, refs, ref).select("commit_id"))
-    applied = join_small(deltas, past, ["commit_id"], "left_semi", salts=16, salt_by=keys)
-    last = cut(_last_states(applied, keys, {"state": F.lit(True)}))
-    upserts = last.filter(F.col("state.op") != "D").select(*keys, "state.new.*")
+    base: DataFrame, deltas: DataFrame, index: CommitIndex, refs: DataFrame, ref: str, keys: list[str],
+    checkpoints: str | None = None,
+) -> DataFrame:
+    """``base`` with the changes of the history of ``ref`` applied, deleted rows removed.
+
+    With ``checkpoints``, a folder of :func:`write_checkpoint`, the states of the largest checkpoint
+    that lies within the history stand for its commits, and only deltas of later commits are read.
+    """
+    last = cut(states_as_of(deltas, index, refs, ref, keys, checkpoints))
+    upserts = last.filter(F.col("op") != "D").select(*keys, "new.*")
     return replace_rows(base, last, upserts, keys)
 
 
+def states_as_of(
+    deltas: DataFrame, index: CommitIndex, refs: DataFrame, ref: str, keys: list[str], checkpoints: str | None = None
+) -> DataFrame:
+    """(keys, commit_no, op, new): the last change of every row that the history of ``ref`` touched."""
+    tops = cut(reach(index, refs.filter(F.col("name") == ref)).select("chain", "top"))
+    chosen = _best_checkpoint(tops, checkpoints) if checkpoints else None
+    places = join_small(index.places, tops, ["chain"], salts=16, salt_by=["commit_id"])
+    past = places.filter(F.col("pos") <= F.col("top"))
+    if chosen is not None:
+        done = _checkpoint_tops(tops.sparkSession, checkpoints).filter(F.col("number") == chosen).select("chain", F.col("top").alias("_done"))
+        past = past.join(done, "chain", "left").filter(F.col("pos") > F.coalesce("_done", F.lit(-1)))
+    past = cut(past.select("commit_id", "commit_no"))
+    # Commit numbers reach the scan, where deltas are stored by them.
+    low, high = past.agg(F.min("commit_no"), F.max("commit_no")).first()
+    rows = deltas.filter(F.col("commit_no").between(low, high)) if low is not None else deltas.limit(0)
+    applied = join_small(rows, past.select("commit_id"), ["commit_id"], "left_semi", salts=16, salt_by=keys)
+    applied = applied.select(*keys, "commit_no", "op", "new")
+    if chosen is not None:
+        states = tops.sparkSession.read.parquet(f"{checkpoints}/states/number={chosen}")
+        applied = applied.unionByName(states)
+    return _last_states(applied, keys, {"state": F.lit(True)}).select(*keys, "state.*")
+
+
+def write_checkpoint(
+    deltas: DataFrame, index: CommitIndex, refs: DataFrame, ref: str, keys: list[str], path: str
+) -> int:
+    """Store the states that the history of ``ref`` leaves, for later snapshots; returns its number.
+
+    An earlier checkpoint within that history is built upon. Write one every some thousand commits of a
+    main line. The tops of the chains, written last, make it count.
+    """
+    spark = deltas.sparkSession
+    taken = [r["number"] for r in _checkpoint_tops(spark, path).select("number").distinct().collect()]
+    number = max(taken, default=-1) + 1
+    states_as_of(deltas, index, refs, ref, keys, path if taken else None).write.mode("overwrite").parquet(f"{path}/states/number={number}")
+    tops = reach(index, refs.filter(F.col("name") == ref)).select("chain", "top")
+    tops.coalesce(1).write.mode("overwrite").parquet(f"{path}/tops/number={number}")
+    return number
+
+
+def _checkpoint_tops(spark, path: str) -> DataFrame:
+    """(number, chain, top) of all checkpoints: a row per checkpoint and chain."""
+    schema = "chain string, top bigint, number int"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/tops")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _best_checkpoint(tops: DataFrame, path: str) -> int | None:
+    """The checkpoint with most commits that holds none outside of the history with these tops."""
+    stored = _checkpoint_tops(tops.sparkSession, path)
+    within = stored.join(tops.withColumnRenamed("top", "_reached"), "chain", "left")
+    usable = within.groupBy("number").agg(
+        F.bool_and(F.col("top") <= F.coalesce("_reached", F.lit(-1))).alias("usable"), F.sum(F.col("top") + 1).alias("commits")
+    )
+    best = usable.filter("usable").orderBy(F.desc("commits"), F.desc("number")).select("number").first()
+    return best and best["number"]
+
+
 def diff_refs(
     base: DataFrame, deltas: DataFrame, index: CommitIndex, refs: DataFrame, ref_a: str, ref_b: str, keys: list[str]
 ) -> DataFrame:
@@ -230,7 +396,8 @@ def diff_refs(
     # A commit in both histories still decides the state of a key it touched last on either side.
     touched = join_small(deltas, sides, ["commit_id"], salts=16, salt_by=keys)
     states = _last_states(touched, keys, {"a": F.col("in_a"), "b": F.col("in_b")})
-    states = cut(states.filter(~F.col("a").eqNullSafe(F.col("b"))))
+    same = F.col("a.op").eqNullSafe(F.col("b.op")) & F.col("a.new").eqNullSafe(F.col("b.new"))
+    states = cut(states.filter(~(same & F.col("a").isNotNull() & F.col("b").isNotNull())))
     names = [f.name for f in deltas.schema["new"].dataType.fields]
     rows = base.select(*keys, F.struct(*names).alias("_base"))
     originals = join_small(rows, states.select(*keys), keys, "left_semi")
@@ -244,13 +411,16 @@ def diff_refs(
 
 
 def merge_base(index: CommitIndex, refs: DataFrame, ref_a: str, ref_b: str) -> DataFrame:
-    """The common ancestor of two refs with the highest commit number."""
-    both = reachable(index, refs.filter(F.col("name").isin(ref_a, ref_b)))
-    common = both.groupBy("commit_id", "commit_no").agg(F.count_distinct("name").alias("n"))
-    wanted = 1 if ref_a == ref_b else 2
-    return common.filter(F.col("n") == wanted).agg(
-        F.max_by("commit_id", "commit_no").alias("commit_id"), F.max("commit_no").alias("commit_no")
-    )
+    """The common ancestor of two refs with the highest commit number.
+
+    On a chain, two refs share all commits up to the lower of their tops, so only one commit per chain
+    is looked up; histories are never expanded.
+    """
+    tops = cut(reach(index, refs.filter(F.col("name").isin(ref_a, ref_b))))
+    side = lambda ref, name: tops.filter(F.col("name") == ref).select("chain", F.col("top").alias(name))
+    shared = side(ref_a, "_a").join(side(ref_b, "_b"), "chain").select("chain", F.least("_a", "_b").alias("pos"))
+    found = join_small(index.places, cut(shared), ["chain", "pos"], "left_semi")
+    return found.agg(F.max_by("commit_id", "commit_no").alias("commit_id"), F.max("commit_no").alias("commit_no"))
 
 
 def restore(head: DataFrame, target: DataFrame, keys: list[str], datasets: list[str] | None = None) -> DataFrame:
@@ -273,14 +443,14 @@ def commit_batch(
     ``commits``; writing the same commit again replaces it. Raises when there is nothing to commit.
     """
     pending = select_delta(deltas, filters or [])
-    order = F.struct("op", "new")
-    batch = pending.groupBy("dataset", *keys).agg(F.max_by(order, "seq").alias("_last")).select(
+    pending = cut(pending.select("dataset", *keys, "op", "new", "seq"))
+    if pending.isEmpty():
+        raise ValueError("nothing to commit")
+    batch = last_rows(pending, ["dataset", *keys], "seq").select(
         F.lit(meta["commit_id"]).alias("commit_id"),
         F.lit(meta["commit_no"]).cast("bigint").alias("commit_no"),
-        "dataset", *keys, "_last.op", "_last.new",
+        "dataset", *keys, "op", "new",
     )
-    if pending.isEmpty():
-        raise ValueError("nothing to commit")
     if path is None:
         return batch
     number = meta["commit_no"]
@@ -296,9 +466,15 @@ def commit_batch(
 
 
 def branches(index: CommitIndex, refs: DataFrame, current: str) -> DataFrame:
-    """(name, target, is_current, merged): short target and whether ``current`` contains it."""
-    past = ancestors(index, refs, current).select("commit_id", F.lit(True).alias("_in"))
-    joined = refs.join(past, "commit_id", "left")
+    """(name, target, is_current, merged): short target and whether ``current`` contains it.
+
+    A ref's commit is contained if it lies at or below the top that ``current`` reaches on its chain.
+    """
+    tips = cut(refs.select("commit_id").distinct())
+    spots = join_small(index.places.select("commit_id", "chain", "pos"), tips, ["commit_id"], "left_semi")
+    tops = reach(index, refs.filter(F.col("name") == current)).select("chain", "top")
+    inside = spots.join(tops, "chain").filter(F.col("pos") <= F.col("top")).select("commit_id", F.lit(True).alias("_in"))
+    joined = refs.join(inside, "commit_id", "left")
     return joined.select(
         "name",
         short_hash(F.col("commit_id")).alias("target"),

@@ -23,7 +23,9 @@ def _last_per_key(delta: DataFrame, keys: list[str], seq: str | None, prefix: st
                          *([F.col(seq).alias("_seq")] if seq else []))
     if seq is None:
         return keyed
-    return keyed.groupBy("pk_key").agg(F.max_by(prefix, "_seq").alias(prefix))
+    # The aggregate holds numbers only; rows join it.
+    top = keyed.groupBy("pk_key").agg(F.max("_seq").alias("_top"))
+    return keyed.join(top, "pk_key").filter(F.col("_seq") == F.col("_top")).dropDuplicates(["pk_key"]).select("pk_key", prefix)
 
 
 def classify_conflict(ours_op: Column, theirs_op: Column) -> Column:

@@ -130,3 +130,87 @@ def test_merges_that_list_a_fresh_branch_first(spark, monkeypatch):
     got = {(r.name, r.commit_no) for r in H.reachable(index, refs).collect()}
     assert got == {(name, p) for name, start in (("main", 600), ("half", 300)) for p in walk(parents, start)}
     assert len(rounds) <= 5
+
+
+@pytest.mark.parametrize("seed, cuts", [(3, [60]), (4, [1, 80, 81]), (5, [120, 150])])
+def test_extended_indexes_reach_what_a_rebuilt_one_does(spark, tmp_path, seed, cuts):
+    parents = random_dag(seed)
+    whole, path = commits_frame(spark, parents), str(tmp_path / "index")
+    H.store_index(H.index_commits(whole.filter(F.col("commit_no") < cuts[0])), path)
+    before = {r.commit_id: (r.chain, r.pos) for r in H.load_index(spark, path).places.collect()}
+    for low, high in zip(cuts, [*cuts[1:], len(parents)], strict=True):
+        # Known commits are handed in again, and change nothing.
+        index = H.extend_stored_index(spark, path, whole.filter((F.col("commit_no") >= low - 3) & (F.col("commit_no") < high)))
+    places = {r.commit_id: (r.chain, r.pos) for r in index.places.collect()}
+    assert len(places) == len(parents) == index.places.count() and before.items() <= places.items()
+    spot = {v: int(k[1:]) for k, v in places.items()}
+    assert len(spot) == len(places)
+    for (chain, pos), commit in spot.items():  # a chain follows parent links
+        assert pos == 0 or spot[chain, pos - 1] in parents[commit]
+    refs = spark.createDataFrame([(f"r{i}", f"c{i}") for i in parents], "name string, commit_id string")
+    got = {(r.name, r.commit_no) for r in H.reachable(index, refs).collect()}
+    assert got == {(f"r{i}", p) for i in parents for p in walk(parents, i)}
+
+
+def test_a_line_that_grows_stays_one_chain(spark):
+    parents = {0: []} | {i: [i - 1] for i in range(1, 90)}
+    whole = commits_frame(spark, parents)
+    index = H.index_commits(whole.filter("commit_no < 50"))
+    for low in (50, 70):
+        index = H.extend_index(index, whole.filter(f"commit_no >= {low} AND commit_no < {low + 20}"))
+    assert index.places.select("chain").distinct().count() == 1 and index.crossings.isEmpty()
+
+
+def test_merge_bases_and_branches_by_labels(spark):
+    parents = random_dag(7, 120)
+    index = H.index_commits(commits_frame(spark, parents))
+    refs = spark.createDataFrame([(f"r{i}", f"c{i}") for i in parents] + [("lost", "none")], "name string, commit_id string")
+    for a, b in ((119, 118), (60, 119), (5, 5), (90, 91)):
+        common = walk(parents, a) & walk(parents, b)
+        got = H.merge_base(index, refs, f"r{a}", f"r{b}")
+        assert got.first().commit_no == (max(common) if common else None)
+    got = {r.name: r.merged for r in H.branches(index, refs, "r119").collect()}
+    assert got == {f"r{i}": i in walk(parents, 119) for i in parents} | {"lost": False}
+
+
+def test_snapshots_from_checkpoints_read_later_deltas_only(spark, tmp_path):
+    rng, parents = random.Random(6), random_dag(6, 100)
+    index = H.index_commits(commits_frame(spark, parents))
+    refs = spark.createDataFrame([(f"r{i}", f"c{i}") for i in parents], "name string, commit_id string")
+    rows = [(f"c{i}", i, "t", k, rng.choice("IUUD"), (i,)) for i in parents for k in rng.sample(range(30), 4)]
+    rows = [r if r[4] != "D" else (*r[:5], None) for r in rows]
+    stored = f"{tmp_path}/deltas"
+    deltas = spark.createDataFrame(rows, "commit_id string, commit_no long, dataset string, id long, op string, new struct<v:long>")
+    deltas.repartition("commit_no").write.partitionBy("commit_no").parquet(stored)
+    deltas = spark.read.parquet(stored).withColumn("commit_no", F.col("commit_no").cast("long"))
+    base = spark.createDataFrame([(k, -1) for k in range(20)], "id long, v long")
+    path = f"{tmp_path}/checkpoints"
+    for ref in ("r40", "r70", "r85"):
+        H.write_checkpoint(deltas, index, refs, ref, ["id"], path)
+    for ref in (99, 86, 40, 3):
+        plain = H.snapshot_as_of(base, deltas, index, refs, f"r{ref}", ["id"])
+        quick = H.snapshot_as_of(base, deltas, index, refs, f"r{ref}", ["id"], path)
+        key = lambda df: sorted(map(tuple, df.collect()))
+        want = {k: -1 for k in range(20)}
+        for _, no, _, k, op, new in sorted(rows, key=lambda r: r[1]):
+            if no in walk(parents, ref):
+                want.pop(k, None)
+                if op != "D":
+                    want[k] = new[0]
+        assert key(plain) == key(quick) == sorted(want.items())
+    # Of the deltas, only commits beyond the checkpoint are listed for the scan.
+    states = H.states_as_of(deltas, index, refs, "r40", ["id"], path)
+    assert not [f for f in states.inputFiles() if "/deltas/" in f]
+
+
+def test_no_row_is_sorted_to_find_the_last_one(spark, sf):
+    from rowtrail.operators import merge as M
+
+    last = H.last_rows(Q.customer_deltas(spark, sf), ["c_custkey"], "commit_no")
+    states = H.states_as_of(Q.customer_deltas(spark, sf), Q.index(spark, sf), Q.refs(spark, sf), "main", ["c_custkey"])
+    delta = spark.createDataFrame([(1, "U", ("a",), ("b",), 1), (1, "U", ("a",), ("c",), 2)], "id long, op string, old struct<v:string>, new struct<v:string>, seq long")
+    merged = M.merge_deltas(delta, delta.limit(0), ["id"], "seq")
+    assert [r["values"]["v"] for r in merged.collect()] == ["c"]
+    for df in (last, states, merged):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "functions=[max(" in text and "max_by" not in text
