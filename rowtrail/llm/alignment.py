@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.taskcontext import TaskContext
 
-from rowtrail.llm.common import Recent, texts, written
+from rowtrail.llm.common import Recent, release, texts, written
 from rowtrail.llm.tokenfile import _byte_letters
 
 SLICE_BYTES = 1 << 20
@@ -267,6 +267,8 @@ def link_tokens(df: DataFrame, file_a: str, file_b: str, id_col: str = "doc_id",
             chunk.add(docs, aligner.slice(parts))
         if chunk.ids:
             yield chunk.row(number, v.same, n_b, arrow)
+        del aligner, chunk, docs, parts
+        release()
 
     return rows.mapInArrow(run, schema)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +40,23 @@ def with_fields(df: DataFrame, **fields: T.DataType) -> T.StructType:
     return T.StructType([df.schema["id"], *(T.StructField(n, t) for n, t in fields.items())])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` or, where ``df`` has such a column, a longer one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def release() -> None:
+    """Give back what a task has freed: Python workers, and what they hold, outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(make: Callable[[pa.RecordBatch], dict[str, object]], schema: T.StructType):
     """A function for ``mapInArrow`` from one that makes the columns of a batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,6 +70,8 @@ def batches(make: Callable[[pa.RecordBatch], dict[str, object]], schema: T.Struc
                 [c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in zip(arrow, cols.values(), strict=True)],
                 schema=arrow,
             )
+            del batch, cols
+        release()
 
     return run
 
@@ -65,16 +86,20 @@ class Recent:
     def __init__(self, make: Callable[[list], list], limit: int = 200_000):
         self.make, self.limit, self.young, self.old = make, limit, {}, {}
 
-    def fetch(self, keys: list) -> list:
-        """The value of every key; the distinct keys of one call are held besides the limit."""
+    def learn(self, keys: set) -> Callable:
+        """A function that gives the value of each of ``keys``; they are held besides the limit."""
         if len(self.young) >= self.limit:
             self.young, self.old = {}, self.young
-        missing = set(keys).difference(self.young)
+        missing = keys.difference(self.young)
         moved = {k: self.old[k] for k in missing if k in self.old}
         self.young.update(moved)
-        fresh = sorted(missing.difference(moved))
+        fresh = list(missing.difference(moved)) if moved else list(missing)
         self.young.update(zip(fresh, self.make(fresh), strict=True))
-        return list(map(self.young.__getitem__, keys))
+        return self.young.__getitem__
+
+    def fetch(self, keys: list) -> list:
+        """The value of every key."""
+        return list(map(self.learn(set(keys)), keys))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rowtrail.llm.common import mix64, texts, with_fields
+from rowtrail.llm.common import mix64, release, texts, with_fields
 
 GRAM = 2
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -27,7 +27,7 @@ BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 1, -1, -1
 WORD = re.compile(r"[^\W_]+")
 FILTER_BITS = 18
-CACHE = 400_000
+CACHE = 200_000
 
 # Every ASCII character that is no letter or digit, as a blank.
 BLANKED = {c: " " for c in range(128) if not chr(c).isalnum()}
@@ -43,14 +43,11 @@ class TextHashes(dict):
         return found
 
 
-_HASHES = TextHashes()  # of this worker process
-
-
-def word_hashes(text: str) -> np.ndarray:
+def word_hashes(text: str, hashes: TextHashes) -> np.ndarray:
     """Hashes of the words of ``text`` (runs of letters and digits, in lower case) in order."""
     text = text.lower()
     words = text.translate(BLANKED).split() if text.isascii() else WORD.findall(text)
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
 def _of_size(words: np.ndarray, size: int) -> np.ndarray:
@@ -77,7 +74,8 @@ class Items:
 
     def __init__(self, rows: list[tuple[object, str]], threshold: float):
         self.ids = [i for i, _ in rows]
-        self.words = [word_hashes(t) for _, t in rows]
+        hashes = TextHashes()
+        self.words = [word_hashes(t, hashes) for _, t in rows]
         sizes = [gram_size(len(w), threshold) for w in self.words]
         grams = [_of_size(w, n) if n else w for w, n in zip(self.words, sizes, strict=True)]
         # The least grams that an alignment from the threshold on keeps.
@@ -153,10 +151,12 @@ def _count(rows: DataFrame, items: Items) -> np.ndarray:
     n = len(items.known)
 
     def run(it):
-        find, total = items.lookup(), np.zeros(n, np.int64)
+        find, total, hashes = items.lookup(), np.zeros(n, np.int64), TextHashes()
         for batch in it:
             for text in batch.column("text"):
-                total[np.unique(find(word_hashes(text.as_py()))[1])] += 1
+                total[np.unique(find(word_hashes(text.as_py(), hashes))[1])] += 1
+        del hashes
+        release()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["gram", "n"])
 
@@ -250,11 +250,11 @@ def _searcher(items: Items, places: Places, threshold: float, schema: T.StructTy
     def run(it):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, find, present = to_arrow_schema(schema), items.lookup(), np.zeros(len(items.known), bool)
+        arrow, find, present, hashes = to_arrow_schema(schema), items.lookup(), np.zeros(len(items.known), bool), TextHashes()
         for batch in it:
             owner, found = [], []
             for i, text in enumerate(batch.column("text")):
-                for leak in leaks(word_hashes(text.as_py()), find, present):
+                for leak in leaks(word_hashes(text.as_py(), hashes), find, present):
                     owner.append(i)
                     found.append(leak)
             columns = [batch.column("id").take(pa.array(owner, pa.int64())), *(pa.array([x[c] for x in found], arrow.field(c + 1).type) for c in range(4))]

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 from zlib import crc32
@@ -19,19 +20,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from rowtrail.llm.common import batches, named, written
+from rowtrail.llm.common import Recent, batches, named, written
 from rowtrail.llm.toxicity import STRIP
 
 BUCKETS = 1 << 14
 LONGEST = 4
-CACHE = 300_000
+CACHE = 100_000
+SLICE_WORDS = 1 << 17
 TEMPER = 200.0  # n-grams that a longer text counts as: neighbouring ones are no independent evidence
 HOST_WEIGHT, DOMAIN_WEIGHT, TABLE_WEIGHT, TRUST_WEIGHT = 8.0, 20.0, 4.0, 2.0
 FLOOR = 0.5
 
-INVISIBLE = re.compile(r"(?is)<(script|style|head|nav)\b.*?</\1\s*>|<!--.*?-->")
-TAG = re.compile(r"(?s)<[^>]*>")
-DECLARED = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""")
+# Elements whose content is not shown, comments, and what ends each.
+HIDDEN = re.compile(r"(?i)<(?:(script|style|head|nav)\b|!--)")
+CLOSING = {tag: re.compile(rf"(?i)</{tag}\s*>") for tag in ("script", "style", "head", "nav")} | {"": re.compile("-->")}
+TAG = re.compile(r"<[^>]*>")
+HTML = re.compile(r"(?i)<html\b")
+DECLARED = re.compile(r"""(?i)\blang\s*=\s*["']?([A-Za-z]+)""")
+# Labels that stand between a name and a country in public suffixes.
+SECOND_LEVEL = ["ac", "co", "com", "edu", "gob", "gov", "mil", "ne", "net", "or", "org"]
 
 
 @dataclass
@@ -56,14 +63,6 @@ def words_of(text: str) -> list[str]:
     return [w for x in text.lower().split() if (w := x.strip(STRIP)) and any(map(str.isalpha, w))]
 
 
-class WordGrams(dict):
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = found = np.array(_grams(word), np.int64)
-        return found
-
-
 def train(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_language: int = 1500) -> Model:
     """N-gram counts by language from at most ``per_language`` labelled rows of each, by hash of the row.
 
@@ -78,12 +77,12 @@ def train(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str =
     sample = passed.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy("h"))).filter(F.col("at") <= per_language)
 
     def run(it):
-        sums, grams = {}, WordGrams()
+        sums, grams = {}, Recent(lambda words: [np.array(_grams(w), np.int16).tobytes() for w in words], CACHE)
         for batch in it:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                if words := words_of(text):
+            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                if words := words_of(text.as_py()):
                     own = sums.setdefault(y, np.zeros(BUCKETS, "<i8"))
-                    own += np.bincount(np.concatenate([grams[w] for w in words]), minlength=BUCKETS)
+                    own += np.bincount(np.frombuffer(b"".join(grams.fetch(words)), np.int16), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([zlib.compress(x.tobytes()) for x in sums.values()], pa.binary())], ["y", "counts"])
 
     found: dict[str, np.ndarray] = {}
@@ -99,7 +98,31 @@ def train(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str =
 
 
 def visible(html: str) -> str:
-    return unescape(TAG.sub(" ", INVISIBLE.sub(" ", html)))
+    """The text of a page, by one scan from left to right; what is never closed hides nothing."""
+    parts, at, open_, lo = [], 0, set(CLOSING), 0
+    while found := HIDDEN.search(html, lo):
+        kind, lo = (found.group(1) or "").lower(), found.end()
+        if kind in open_:
+            if end := CLOSING[kind].search(html, lo):
+                parts.append(html[at : found.start()])
+                at = lo = end.end()
+            else:  # nor can any later one of its kind
+                open_.discard(kind)
+    html = " ".join([*parts, html[at:]])
+    last = html.rfind(">") + 1  # beyond it no tag ends
+    return unescape(TAG.sub(" ", html[:last]) + html[last:])
+
+
+def declared_language(html: str) -> str | None:
+    """The language in the first ``html`` tag that names one."""
+    lo = 0
+    while found := HTML.search(html, lo):
+        end = html.find(">", found.end())
+        end = len(html) if end < 0 else end
+        if named_ := DECLARED.search(html, found.end(), end):
+            return named_.group(1).lower()
+        lo = end  # a tag within this one holds no more than it
+    return None
 
 
 def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -108,16 +131,21 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     schema = T.StructType([rows.schema["id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("declared", T.StringType())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        html = batch.column("html").to_pylist()
-        declared = [m.group(1).lower() if (m := DECLARED.search(x)) else None for x in html]
-        return {"id": batch.column("id"), "url": batch.column("url"), "text": [visible(x) for x in html], "declared": declared}
+        text, declared = [], []
+        for page in batch.column("html"):
+            html = page.as_py()
+            text.append(visible(html))
+            declared.append(declared_language(html))
+        return {"id": batch.column("id"), "url": batch.column("url"), "text": text, "declared": declared}
 
     found = rows.mapInArrow(batches(run, schema), schema)
-    host = F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    found = found.withColumn("host", host)
-    return found.select(
-        "id", "text", "declared", F.regexp_extract("host", r"\.([a-z]+)$", 1).alias("suffix"), "host", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain")
-    )
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)", 1))
+    found = found.withColumn("host", F.nullif(F.rtrim(host, F.lit(".")), F.lit("")))
+    suffix = F.nullif(F.regexp_extract("host", r"\.([a-z][a-z0-9-]*)$", 1), F.lit(""))
+    # An address of numbers is its own domain; below a public suffix of two parts the domain has three.
+    number = F.col("host").rlike(r"^\[|^[0-9]+(\.[0-9]+){3}$")
+    domain = F.regexp_extract("host", rf"([^.]+\.(?:(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|[^.]+))$", 1)
+    return found.select("id", "text", "declared", suffix.alias("suffix"), "host", F.when(number, F.col("host")).otherwise(F.nullif(domain, F.lit(""))).alias("domain"))
 
 
 def row_evidence(df: DataFrame, declared: str | None = None, host: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,34 +161,38 @@ def likelihoods(evidence: DataFrame, model: Model) -> DataFrame:
     schema = T.StructType([*(evidence.schema[c] for c in rest), T.StructField("n_grams", T.LongType()), T.StructField("logs", T.ArrayType(T.DoubleType())), T.StructField("known", T.BooleanType())])
     logs, least, n = model.logs, model.least, len(model.languages)
 
-    class WordLogs(dict):
-        """(n-grams, log likelihood by language) of each word."""
-
-        def __missing__(self, word: str) -> tuple[int, np.ndarray]:
-            if len(self) >= CACHE:
-                self.clear()
-            own = _grams(word)
-            self[word] = found = np.append(logs[own].sum(0), len(own))
-            return found
+    def word_logs(words: list[str]) -> list[bytes]:
+        """Log likelihood by language and number of n-grams of each word."""
+        return [np.append(logs[own := _grams(word)].sum(0), len(own)).tobytes() for word in words]
 
     def run(it):
-        known = WordLogs()
-
-        def one(text: str) -> tuple[int, list[float], bool]:
-            words = words_of(text)
-            if not words or not n:
-                return 0, [0.0] * n, False
-            total = sum(map(known.__getitem__, words), np.zeros(n + 1))
-            grams, own = int(total[-1]), total[:-1]
-            return grams, (own * min(1.0, TEMPER / grams)).tolist(), bool(own.max() / grams >= least)
+        known = Recent(word_logs, CACHE)
+
+        def some(texts: list[list[str]]) -> Iterator[tuple[int, list[float], bool]]:
+            sizes = np.array([len(words) for words in texts])
+            total, used = np.zeros((len(texts), n + 1)), np.flatnonzero(sizes)
+            if n and len(used):
+                found = np.frombuffer(b"".join(known.fetch([w for words in texts for w in words]))).reshape(-1, n + 1)
+                total[used] = np.add.reduceat(found, (np.cumsum(sizes) - sizes)[used])
+            for row in total:
+                grams, own = int(row[-1]), row[:-1]
+                yield (grams, (own * min(1.0, TEMPER / grams)).tolist(), bool(own.max() / grams >= least)) if grams else (0, [0.0] * n, False)
 
         def make(batch: pa.RecordBatch) -> dict:
-            got = [one(t.as_py()) for t in batch.column("text")]
+            got, held, size = [], [], 0
+            for text in batch.column("text"):
+                held.append(words_of(text.as_py()))
+                size += len(held[-1])
+                if size >= SLICE_WORDS:
+                    got += some(held)
+                    held, size = [], 0
+            got += some(held)
             return {c: batch.column(c) for c in rest} | {"n_grams": [g for g, _, _ in got], "logs": [x for _, x, _ in got], "known": [k for _, _, k in got]}
 
         yield from batches(make, schema)(it)
 
-    return evidence.select(*rest, "text").mapInArrow(run, schema)
+    text = F.coalesce("text", F.lit("")).alias("text")
+    return evidence.select(*rest, text).mapInArrow(run, schema)
 
 
 def _once(value: Column, use) -> Column:
@@ -183,7 +215,7 @@ def identify(evidence: DataFrame, model: Model) -> DataFrame:
 
     ``lang`` is the likeliest language, the earlier in the alphabet on ties; it is ``und`` and the row
     ``rejected`` where no word has a letter, where the text is unlike all known languages, or where
-    the posterior stays under one half. Null declarations, suffixes and hosts are no evidence. Ids
+    the posterior stays under one half. Null texts, declarations, suffixes and hosts are no evidence. Ids
     may be null or repeat. Without any language known, all rows are rejected.
     """
     names = sorted(model.languages)

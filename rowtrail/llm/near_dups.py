@@ -27,7 +27,7 @@ SLOTS = BANDS * ROWS
 SIZE_STEP = 1.1
 PERCENT = 75
 SLICE = 1 << 16
-CACHE = 400_000
+CACHE = 200_000
 GOLDEN, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 FACTORS = np.array([pow(GOLDEN, k, 1 << 64) | 1 for k in range(1, WORDS + 1)], np.uint64)
 
@@ -42,10 +42,7 @@ class WordHashes(dict):
         return found
 
 
-_HASHES = WordHashes()  # of this worker process
-
-
-def shingles(text: bytes) -> np.ndarray:
+def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
     """The sorted distinct shingle hashes of a whole UTF-8 text.
 
     Words are runs without blanks, A-Z in lower case. With fewer words than a shingle has, the whole
@@ -54,7 +51,7 @@ def shingles(text: bytes) -> np.ndarray:
     words = text.lower().split()  # bytes: ASCII letters and blanks only
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - WORDS + 1)
     total = np.full(n, len(h) if len(h) < WORDS else WORDS, np.uint64)
     for k in range(min(WORDS, len(h))):
@@ -63,7 +60,18 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
-    """SuperMinHash signatures of non-empty sets, one row each; a slot holds rank << 32 | random."""
+    """SuperMinHash signatures of non-empty sets, one row each; a slot holds rank << 32 | random.
+
+    A large set is taken in parts, whose minima are its own.
+    """
+    parts = [-(-len(s) // SLICE) for s in sets]
+    if max(parts, default=0) > 1:
+        whole = _signatures([s[lo : lo + SLICE] for s in sets for lo in range(0, len(s), SLICE)], slots)
+        return np.minimum.reduceat(whole, np.cumsum(parts) - parts)
+    return _signatures(sets, slots)
+
+
+def _signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
     out, lo = np.empty((len(sets), slots), np.uint64), 0
     sizes = np.array([len(s) for s in sets])
     while lo < len(sets):
@@ -107,10 +115,12 @@ def sketch(rows: DataFrame) -> DataFrame:
     """(id, n, k1, k2, bands) of (id, text): set size, digest of the set, bucket keys (null if empty)."""
     schema = with_fields(rows, n=T.LongType(), k1=T.LongType(), k2=T.LongType(), bands=T.ArrayType(T.LongType()))
 
+    hashes = WordHashes()  # sent empty, so each task fills its own
+
     def run(batch: pa.RecordBatch) -> dict:
         raw, n, k1, k2, bands = batch.column("text").cast(pa.binary()), [], [], [], []
-        for lo in range(0, len(raw), 256):
-            sets = [shingles(t) for t in raw[lo : lo + 256].to_pylist()]
+        for lo in range(0, len(raw), 64):
+            sets = [shingles(t, hashes) for t in raw[lo : lo + 64].to_pylist()]
             full = iter(band_keys(signatures([s for s in sets if len(s)])).tolist())
             for s in sets:
                 a, b = _halves(s)
@@ -128,8 +138,10 @@ def full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     own = rows.join(wanted.select(F.col("cid").alias("id")).distinct(), "id", "left_semi")
     schema = with_fields(own, k1=T.LongType(), k2=T.LongType(), set=T.ArrayType(T.LongType()))
 
+    hashes = WordHashes()  # sent empty, so each task fills its own
+
     def run(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        sets = [shingles(t.as_py(), hashes) for t in batch.column("text").cast(pa.binary())]
         halves = [_halves(s) for s in sets]
         return {"id": batch.column("id"), "k1": [a for a, _ in halves], "k2": [b for _, b in halves], "set": [s.view(np.int64) for s in sets]}
 
