@@ -20,7 +20,7 @@ from rowtrail.llm.common import batches, mix64, named, texts, with_fields
 BUCKETS, DIM = 1 << 16, 4
 SHORTEST, LONGEST = 3, 5
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_"
-CACHE = 400_000
+CACHE = 200_000
 SLICE = 200  # texts whose new words are learnt together
 RARE = 3  # words of fewer documents would be learnt by heart
 STEPS, RATE, DAMPING, SCALE = 50, 0.1, 3.0, 40.0
@@ -60,7 +60,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     whole = np.add.reduceat(mix64(codes * np.uint64(0x9E3779B97F4A7C15) + (at - (ends - np.repeat(sizes, sizes))).astype(np.uint64)), np.cumsum(sizes) - sizes)
     found, owners = [mix64(whole)], [np.arange(len(words))]
     rolled = np.zeros(len(codes), np.uint64)
-    for n in range(1, LONGEST + 1):
+    for n in range(1, min(LONGEST, len(codes)) + 1):
         rolled[: len(codes) - n + 1] = mix64(rolled[: len(codes) - n + 1] * np.uint64(31) + codes[n - 1 :] + np.uint64(n << 32))
         if n >= SHORTEST:
             inside = at + n <= ends
