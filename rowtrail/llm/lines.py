@@ -14,11 +14,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rowtrail.llm.common import batches, named, texts, with_fields, written
+from rowtrail.llm.common import batches, free_name, named, texts, with_fields, written
 from rowtrail.plans import scratch
 
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
+BUCKET_KEYS = 4_000_000
+LEAST_BUCKETS = 16
 HASH = ["h1", "h2"]
 
 
@@ -38,8 +40,8 @@ def line_hashes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def explode(batch: pa.RecordBatch) -> dict:
         at, h1, h2 = [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            own = {h for line in text.split("\n") if (h := line_hash(line))}
+        for i, text in enumerate(batch.column("text")):
+            own = {h for line in text.as_py().split("\n") if (h := line_hash(line))}
             at += [i] * len(own)
             for a, b in own:
                 h1.append(a)
@@ -116,15 +118,17 @@ class LineRuns:
 def drop_lines(df: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with ``text_col`` cut by the hashes in ``drops``, plus ``n_lines`` and ``n_dropped``."""
     # At most as many hashes as the document has lines.
-    lost = drops.groupBy("id").agg(F.collect_set(F.struct(*HASH)).alias("_lost")).withColumnRenamed("id", "_id")
-    joined = df.withColumn("_text", F.coalesce(named(text_col), F.lit(""))).join(lost, named(id_col) == F.col("_id"), "left").drop("_id")
+    own_text, own_lost, own_id = (free_name(df, x) for x in ("_text", "_lost", "_id"))
+    lost = drops.groupBy("id").agg(F.collect_set(F.struct(*HASH)).alias(own_lost)).withColumnRenamed("id", own_id)
+    joined = df.withColumn(own_text, F.coalesce(named(text_col), F.lit(""))).join(lost, named(id_col) == F.col(own_id), "left").drop(own_id)
     fields = [T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     rest = [f for f in df.schema if f.name not in {text_col, "n_lines", "n_dropped"}]
     schema = T.StructType(rest + fields)
 
     def cut(batch: pa.RecordBatch) -> dict:
         out, n, gone = [], [], []
-        for text, lost in zip(batch.column("_text").to_pylist(), batch.column("_lost").to_pylist(), strict=True):
+        for text, lost in zip(batch.column(own_text), batch.column(own_lost), strict=True):
+            text, lost = text.as_py(), lost.as_py()
             lines, lost = text.split("\n"), {(x["h1"], x["h2"]) for x in lost or ()}
             kept = [x for x in lines if line_hash(x) not in lost] if lost else lines
             out.append("\n".join(kept) if lost else text)
@@ -136,7 +140,7 @@ def drop_lines(df: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_col
 
 
 def dedup_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_batches: int = 4, buckets: int = 16, fanout: int = 2
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_batches: int = 4, buckets: int | None = None, fanout: int = 2
 ) -> DataFrame:
     """``df`` without lines whose key an earlier document holds, plus ``n_lines`` and ``n_dropped``.
 
@@ -144,7 +148,8 @@ def dedup_lines(
     stay. The first holder is the smallest id. Rows that repeat an id are one document; a row with a
     null id keeps all its lines and owns none. A null text is one empty line and comes back as an
     empty text. Columns called ``n_lines`` or ``n_dropped`` are replaced; others are kept. The batches
-    split the ids at their quantiles; their number does not change the result.
+    split the ids at their quantiles; their number does not change the result. Without ``buckets`` a
+    run has one for every ``BUCKET_KEYS`` keys of the table.
     """
     spark = df.sparkSession
     given = line_hashes(df.filter(named(id_col).isNotNull()), id_col, text_col)
@@ -153,9 +158,11 @@ def dedup_lines(
     for c in cuts or []:
         part = part + (F.col("id") > F.lit(c)).cast("int")
     keys = written(given.withColumn("batch", part), "line-keys")
-    runs, drops = LineRuns(spark, buckets, fanout), None
-    for k in range(n_batches):
-        lost = runs.add(keys.filter(F.col("batch") == k).drop("batch"))
-        drops = lost if drops is None else drops.unionByName(lost)
-    runs.close()
+    runs, drops = LineRuns(spark, buckets or max(LEAST_BUCKETS, -(-keys.count() // BUCKET_KEYS)), fanout), None
+    try:
+        for k in range(n_batches):
+            lost = runs.add(keys.filter(F.col("batch") == k).drop("batch"))
+            drops = lost if drops is None else drops.unionByName(lost)
+    finally:
+        runs.close()
     return drop_lines(df, drops, id_col, text_col)
