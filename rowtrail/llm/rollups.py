@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowtrail.llm import tokenfile
@@ -30,9 +31,18 @@ class TokenRollup:
         self.path = path or scratch(spark, "token-rollup")
         self._ledger = f"doc_id {id_type}, version string, source string, lang string, n_tokens long, live boolean"
         self._totals = "source string, lang string, version string, n_docs long, n_tokens long"
-        if path is None:
+        if path is None or not self._exists():
             spark.createDataFrame([], "number long, batch_id string, base boolean").write.parquet(f"{self.path}/commits/first")
 
+    def _exists(self) -> bool:
+        try:
+            self.spark.read.option("recursiveFileLookup", "true").schema("number long").parquet(f"{self.path}/commits")
+            return True
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error.getCondition()):
+                raise
+            return False
+
     def commits(self) -> list:
         """Committed batches in order, one small row each since the last compaction."""
         spark = self.spark.read.option("recursiveFileLookup", "true").schema("number long, batch_id string, base boolean")
