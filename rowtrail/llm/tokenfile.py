@@ -23,7 +23,7 @@ from rowtrail.plans import scratch
 
 STEP = 128
 BLOCK = 1 << 16
-CACHE = 600_000
+CACHE = 300_000  # words of one generation
 
 # --- encoding -------------------------------------------------------------------------------------
 
@@ -52,11 +52,23 @@ class WordIds(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
+        self.old: dict[bytes, bytes] = {}  # the generation before; what is met again moves up, so frequent words stay
+
         self.all, self.width = Tokenizer.from_file(file), width
         self.model, self.letters, self.pieces = self.all.model, _byte_letters(), {}
         self.special = [t.content.encode() for t in self.all.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: bytes) -> bytes:
+        found = self.old.get(word)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        if found is None:
+            found = self._encoded(word)
+        self[word] = found
+        return found
+
+    def _encoded(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
         low = text.lower()
         # Special tokens are found in the raw text, so a word that may hold one takes the long way. Some
@@ -69,9 +81,6 @@ class WordIds(dict):
             found = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES.findall(low)])
         else:
             found = np.array(self.all.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = found
         return found
 
     def _piece(self, piece: str) -> bytes:
