@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from rowtrail.llm import alignment, conversations, queries
+from rowtrail.llm import alignment, conversations, neighbours, queries
 
 # --- token alignment ------------------------------------------------------------------------------
 
@@ -309,3 +309,76 @@ def test_least_letters_against_all_letters():
             block.add(t, role, text, 1, fault == "duplicate")
         letters, cost, _ = conversations.trace(block.codes, block.copies, conversations.END, 0, True)
         assert (cost, "".join(letters)) == best == plain_repair(rows)[:2]
+
+
+# --- vector near-duplicates -----------------------------------------------------------------------
+
+
+def plain_vectors(rows, threshold=0.9):
+    """(id, n_links, component, kept) by comparing all pairs of rows."""
+    good = [k for k, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links, up = defaultdict(set), {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for dim in {len(rows[k][1]) for k in good}:
+        own = [k for k in good if len(rows[k][1]) == dim]
+        x = np.array([rows[k][1] for k in own], float)
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        for a, b in zip(*np.nonzero(np.triu(x @ x.T >= threshold, 1)), strict=True):
+            links[own[a]].add(own[b])
+            links[own[b]].add(own[a])
+            p, q = sorted((root(own[a]), root(own[b])), key=lambda k: rows[k][0])
+            up[q] = p
+    return sorted((str(i), len(links[k]), str(i if i is None else rows[root(k)][0]), i is None or rows[root(k)][0] == i) for k, (i, _) in enumerate(rows))
+
+
+def vector_rows(df):
+    return sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in df.collect())
+
+
+def test_op11(spark, sf):
+    rows = [(r["vec_id"], list(r["embedding"])) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    assert vector_rows(queries.op11_vector_near_dups(spark, sf)) == plain_vectors(rows)
+
+
+def test_cliques_chains_and_odd_vectors(spark):
+    rng = np.random.default_rng(5)
+    near = lambda v, cosine: cosine * v + np.sqrt(1 - cosine**2) * unit(rng.standard_normal(len(v)))
+    unit = lambda v: v / np.sqrt((v * v).sum())
+    rows, i = [], itertools.count(10)
+    rows += [(next(i), rng.standard_normal(24).tolist()) for _ in range(300)]
+    middle = unit(rng.standard_normal(24))
+    rows += [(next(i), near(middle, 0.985).tolist()) for _ in range(130)]  # links enough to saturate the longest lists
+    other = near(middle, 0.93)
+    rows += [(next(i), near(other, 0.985).tolist()) for _ in range(70)]  # a second group, some of whose links lead to the first
+    for _ in range(25):
+        v = rng.standard_normal(24)
+        rows += [(next(i), v.tolist()), (next(i), near(unit(v), rng.uniform(0.85, 0.99)).tolist())]
+    step = unit(rng.standard_normal(24))
+    for _ in range(20):  # a chain: neighbours are linked, ends are not
+        rows.append((next(i), (3 * step).tolist()))
+        step = unit(near(step, 0.95))
+    same = rng.standard_normal(24).tolist()
+    rows += [(next(i), same) for _ in range(60)] + [(5, same), (5, same), (7, [2 * x for x in same])]
+    nan, inf = float("nan"), float("inf")
+    rows += [(1, None), (2, []), (3, [0.0] * 24), (4, [nan] * 24), (6, [inf] + [1.0] * 23), (8, [None] + [1.0] * 23), (None, same), (9, [1.0, 2.0]), (900, [1.0, 2.0]), (901, [1e300, 2e300]), (902, [1e-300, 2e-300])]
+    df = spark.createDataFrame([(k, v, "x", 1) for k, v in rows], "vec_id long, embedding array<double>, vec string, node int")
+    assert vector_rows(neighbours.near_vectors(df)) == plain_vectors(rows)
+    assert neighbours.near_vectors(df.filter("false")).count() == 0
+    bad = neighbours.near_vectors(df.filter("vec_id IN (1, 2, 3, 4)"))
+    assert vector_rows(bad) == [(str(k), 0, str(k), True) for k in (1, 2, 3, 4)]
+
+
+def test_audit_sees_what_is_missing(spark):
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((50, 8))
+    rows = [(k, k, 1, 8, bytearray(np.append(v, v[:25] * 1.001, 0)[k].astype("<f8").tobytes())) for k in range(75)]
+    nodes = spark.createDataFrame(rows, "node long, lead long, copies long, dim int, vec binary")
+    half = spark.createDataFrame([(k, 1) for k in range(13)] + [(50 + k, 1) for k in range(12)], "node long, n long")
+    assert neighbours.audit(nodes, half, "<f8", 0.999, 100) == pytest.approx(0.5)
+    assert neighbours.audit(nodes.limit(0), half, "<f8", 0.999) == 1.0
