@@ -1,6 +1,6 @@
 """Byte-level BPE through a global shuffle of distinct words.
 
-Documents are grouped into chunks of neighbouring ids. Each chunk's texts are split into words
+Documents are grouped into chunks of neighbouring rows. Each chunk's texts are split into words
 (pre-tokens with what trails them up to the next single space), every distinct word of a chunk goes
 once through a shuffle by word, is encoded once, and its ids return to the chunk, where they are put
 back by position. Decoding joins the ids with the table of token bytes.
@@ -15,13 +15,15 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from rowtrail.llm.common import texts
+from rowtrail.llm.common import named, release, written
 
 CHUNK_DOCS = 4000
 CHUNK_BYTES = 32 << 20
 MAX_CUTS = 1024
+BUCKETS, MANY_CHUNKS = 256, 1 << 14
 FLUSH = 500_000
 CODEC = pa.Codec("zstd", compression_level=3)
 # White space other than blank and line feed, and the mark that cuts are made at.
@@ -52,23 +54,16 @@ def split_words(text: str) -> list[str]:
     return words if words[0] else words[1:]
 
 
-def _plan_chunks(rows: DataFrame):
-    """Ids to cut at, at most ``MAX_CUTS``."""
+def _placed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, file, at): the row's place in its file, or, where ``df`` is no plain scan, one by its id."""
+    rows = df.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"), *_place(df))
+    if "at" in rows.columns:
+        return rows
+    # Ids at even shares of the rows, at most ``MAX_CUTS``; a binary search over them, as nested comparisons.
     n = rows.count()
-    chunks = max(1, -(-n // CHUNK_DOCS))
-    cuts = min(chunks, MAX_CUTS)
-    at = rows.select(F.percentile_approx("id", [k / cuts for k in range(1, cuts)], 10_000)).first()[0] if cuts > 1 else []
-    return sorted(set(at or []))
-
-
-def with_chunks(rows: DataFrame) -> tuple[DataFrame, int]:
-    """``rows`` with ``chunk``, and the number of chunks: neighbouring ids share one, null ids the first.
-
-    A range with too many rows or bytes, as of null or repeated ids or of long texts, is dealt to several
-    chunks by a hash of the row.
-    """
-    cuts = _plan_chunks(rows)
-    # A binary search over the cuts, as nested comparisons.
+    shares = min(MAX_CUTS, max(1, -(-n // CHUNK_DOCS)))
+    cuts = rows.select(F.percentile_approx("id", [k / shares for k in range(1, shares)], 10_000)).first()[0] if shares > 1 else []
+    cuts = sorted(set(cuts or []))
 
     def search(lo: int, hi: int):
         if lo == hi:
@@ -76,17 +71,36 @@ def with_chunks(rows: DataFrame) -> tuple[DataFrame, int]:
         mid = (lo + hi) // 2
         return F.when(F.col("id") > F.lit(cuts[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
 
-    part = search(0, len(cuts)).cast("long")
-    # At most ``MAX_CUTS`` rows.
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()
-    subs = np.ones(len(cuts) + 1, np.int64)
-    for r in sizes:
-        subs[r["part"]] = max(1, round(r["n"] / CHUNK_DOCS), -(-r["bytes"] // CHUNK_BYTES))
-    chunks = int(subs.sum())
-    if chunks > len(subs):
-        listed = lambda values: F.array(*[F.lit(x) for x in values.tolist()])[part.cast("int")].cast("long")
-        part = listed(np.cumsum(subs) - subs) + F.pmod(F.xxhash64("id", "text"), listed(subs))
-    return rows.withColumn("chunk", part), chunks
+    return rows.select("id", "text", F.lit("").alias("file"), (search(0, len(cuts)) * F.lit(max(1, n // shares))).cast("long").alias("at"))
+
+
+def _place(df: DataFrame) -> list:
+    try:
+        df.select("_metadata.row_index", "_metadata.file_path")
+    except AnalysisException:
+        return []
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+
+
+def with_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(id, text, chunk) and about how many chunks there are.
+
+    A chunk is a run of neighbouring rows of one file, so a task meets few chunks and a chunk few tasks,
+    in whatever order the ids lie. Rows and bytes of an average run stay below ``CHUNK_DOCS`` and
+    ``CHUNK_BYTES``; a run beyond, as of long texts or of one id, is dealt out by a hash of the row.
+    """
+    rows = _placed(df, id_col, text_col)
+    size = F.octet_length("text").cast("long")
+    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    each = max(1, min(CHUNK_DOCS, int(CHUNK_BYTES / 2 / max(1.0, total / max(1, n)))))
+    run = F.floor(F.col("at") / F.lit(each))
+    sizes = rows.groupBy("file", run.alias("run")).agg(F.count(F.lit(1)).alias("docs"), F.sum(size).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("docs") / (1.5 * CHUNK_DOCS)), F.ceil(F.col("bytes") / CHUNK_BYTES))
+    # Only runs that are too large.
+    over = written(sizes.withColumn("parts", parts).filter("parts > 1").select("file", "run", "parts"), "large-runs")
+    rows = rows.withColumn("run", run).join(over, ["file", "run"], "left")
+    part = F.pmod(F.xxhash64("id", "text"), F.coalesce("parts", F.lit(1)))
+    return rows.select("id", "text", F.xxhash64("file", "run", part).alias("chunk")), max(1, n // each)
 
 
 def _squeezed(value) -> bytes:
@@ -133,11 +147,12 @@ def distinct_words(rows: DataFrame, buckets: int) -> DataFrame:
         for batch in it:
             for chunk, part in _groups(batch, "chunk"):
                 own = seen.setdefault(chunk, set())
-                for text in batch.column("text").take(part).to_pylist():
-                    own.update(split_words(text))
+                for text in batch.column("text").take(part):
+                    own.update(split_words(text.as_py()))
             if sum(map(len, seen.values())) > FLUSH:
                 yield from flush()
         yield from flush()
+        release()
 
     return rows.select("chunk", "text").mapInArrow(run, "bucket long, chunk long, words binary")
 
@@ -192,9 +207,10 @@ def encode(df: DataFrame, file: str, pattern: str, id_col: str = "doc_id", text_
     A null or empty text has no ids. Ids may be null or repeat; every row comes back once. Words are
     shuffled once per chunk and task, texts once, both compressed. A missing word would be an error.
     """
-    rows, chunks = with_chunks(texts(df, id_col, text_col))
+    rows, chunks = with_chunks(df, id_col, text_col)
     kind = rows.schema["id"].dataType
-    buckets = min(4096, max(64, 4 * chunks))
+    # More of them only beyond many chunks, so that what tasks send grows with the input.
+    buckets = BUCKETS * (1 + chunks // MANY_CHUNKS)
     ids = encode_words(distinct_words(rows, buckets), file, pattern)
     schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     packed_schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("texts", T.BinaryType())])

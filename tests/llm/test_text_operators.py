@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from checks.compare import compare, duck_tables
@@ -247,18 +248,26 @@ def test_byte_bpe(spark, sf, edges, empty, monkeypatch):
     assert bpe.encode(empty, BYTE_FILE, public_tokenizers.PATTERN).count() == 0
 
 
-def test_chunks_of_repeated_ids_and_long_texts_are_bounded(spark, monkeypatch):
+def test_chunks_of_repeated_ids_and_long_texts_are_bounded(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(bpe, "CHUNK_DOCS", 50)
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 4000)
     rows = [(None, f"no id {k}", "") for k in range(300)] + [(7, f"one id {k}", "") for k in range(300)] + [(k, f"text {k}", "") for k in range(100, 400)]
     rows += [(k, f"long {k} " * 100, "") for k in range(400, 440)]
     df = spark.createDataFrame(rows, SCHEMA)
-    dealt, chunks = bpe.with_chunks(bpe.texts(df))
+    dealt, chunks = bpe.with_chunks(df)
     sizes = [r["count"] for r in dealt.groupBy("chunk").count().collect()]
-    assert len(sizes) <= chunks and max(sizes) <= 110
+    assert len(sizes) <= 3 * chunks and max(sizes) <= 110
     assert max(r["b"] for r in dealt.selectExpr("chunk", "octet_length(text) b").groupBy("chunk").agg({"b": "sum"}).toDF("chunk", "b").collect()) <= 12_000
     encode = library().encode_ordinary
     got = bpe.encode(df, BYTE_FILE, public_tokenizers.PATTERN).collect()
+    want = sorted((str(i), encode(t)) for i, t, _ in rows)
+    path = str(tmp_path / "shuffled")
+    df.repartition(3, F.xxhash64("text")).write.parquet(path)
+    stored = spark.read.parquet(path)  # chunks are runs of its files, in whatever order the ids lie
+    file, met = {r["text"]: r["file"] for r in stored.select("text", F.input_file_name().alias("file")).collect()}, {}
+    for r in bpe.with_chunks(stored)[0].collect():
+        met.setdefault(r["chunk"], set()).add(file[r["text"]])
+    assert max(map(len, met.values())) == 1 < len(met) and sorted((str(r["doc_id"]), list(r["ids"])) for r in bpe.encode(stored, BYTE_FILE, public_tokenizers.PATTERN).collect()) == want
     assert sorted((str(r["doc_id"]), list(r["ids"])) for r in got) == sorted((str(i), encode(t)) for i, t, _ in rows)
 
 
