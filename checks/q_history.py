@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from checks import duck
@@ -11,7 +13,8 @@ from rowtrail.functions.address import full_feature_path
 from rowtrail.operators import history as H
 from rowtrail.operators.changes import net_changes
 from rowtrail.operators.diff import diff_rows
-from rowtrail.plans import scratch
+from rowtrail.operators.rows import assign_rowid
+from rowtrail.plans import cut, scratch
 
 CUSTOMER = ["c_custkey"]
 CUSTOMER_VALUES = ["c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -64,10 +67,27 @@ def v6(spark, sf):
                             refs(spark, sf), TOPIC, "main", CUSTOMER), CUSTOMER)
 
 
+def percentiles(commits: DataFrame, shares: list[float]) -> list[float | None]:
+    """Exact percentiles of commit_no, as ``percentile`` gives them; the numbers never pass through one task."""
+    rows = cut(assign_rowid(commits.select("commit_no").filter(F.col("commit_no").isNotNull()), ["commit_no"], "_row"))
+    last = rows.count() - 1
+    if last < 0:
+        return [None] * len(shares)
+    places = {share: last * share for share in shares}
+    wanted = sorted({int(f(place)) + 1 for place in places.values() for f in (math.floor, math.ceil)})
+    at = {r["_row"] - 1: r["commit_no"] for r in rows.filter(F.col("_row").isin(wanted)).collect()}
+
+    def between(place: float) -> float:
+        low, high = math.floor(place), math.ceil(place)
+        return float(at[low]) if low == high else (high - place) * at[low] + (place - low) * at[high]
+
+    return [between(places[share]) for share in shares]
+
+
 def extended(spark, sf) -> H.CommitIndex:
     """A stored index of the older half of the commits, extended by the others in two steps."""
     commits, path = given(spark, sf, "commits"), scratch(spark, "index")
-    half, most = commits.selectExpr("percentile(commit_no, array(0.5, 0.8))").first()[0]
+    half, most = percentiles(commits, [0.5, 0.8])
     H.store_index(H.index_commits(commits.filter(F.col("commit_no") <= half)), path)
     H.extend_stored_index(spark, path, commits.filter((F.col("commit_no") > half) & (F.col("commit_no") <= most)))
     return H.extend_stored_index(spark, path, commits.filter(F.col("commit_no") > half))
@@ -80,9 +100,9 @@ def v1_extended(spark, sf):
 def v5_from_checkpoint(spark, sf):
     """Checkpoints of the topic's history and of an early ref; the one within the history of main is used."""
     path, deltas, found = scratch(spark, "checkpoints"), customer_deltas(spark, sf), index(spark, sf)
-    middle = given(spark, sf, "commits").selectExpr("percentile(commit_no, 0.6) AS n").first()["n"]
+    middle = percentiles(given(spark, sf, "commits"), [0.6])[0]
     main = H.ancestors(found, refs(spark, sf), "main").filter(F.col("commit_no") <= middle)
-    early = main.orderBy(F.desc("commit_no")).select(F.lit("early").alias("name"), "commit_id").limit(1)
+    early = cut(main.orderBy(F.desc("commit_no")).select(F.lit("early").alias("name"), "commit_id").limit(1))
     H.write_checkpoint(deltas, found, early, "early", CUSTOMER, path)
     H.write_checkpoint(deltas, found, refs(spark, sf), TOPIC, CUSTOMER, path)
     return H.snapshot_as_of(given(spark, sf, "customer"), deltas, found, refs(spark, sf), "main", CUSTOMER, path)
