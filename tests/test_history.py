@@ -214,3 +214,58 @@ def test_no_row_is_sorted_to_find_the_last_one(spark, sf):
     for df in (last, states, merged):
         text = df._jdf.queryExecution().executedPlan().toString()
         assert "functions=[max(" in text and "max_by" not in text
+
+
+def test_blocks_hold_any_history(spark, monkeypatch):
+    """Lines, merges and children that lie in other blocks, equal numbers among them."""
+    monkeypatch.setattr(H, "BLOCK", 16)
+    monkeypatch.setattr(H, "SPAN", 8)
+    monkeypatch.setattr("rowtrail.plans.joins.fits", lambda *_: False)
+    parents = random_dag(9, 60)
+    commits = commits_frame(spark, parents).withColumn("commit_no", F.floor(F.col("commit_no") / 3))
+    index = H.index_commits(commits)
+    spot = {(r.chain, r.pos): int(r.commit_id[1:]) for r in index.places.collect()}
+    assert sorted(spot.values()) == sorted(parents)
+    assert all(pos == 0 or spot[chain, pos - 1] in parents[commit] for (chain, pos), commit in spot.items())
+    refs = spark.createDataFrame([(f"r{i}", f"c{i}") for i in parents], "name string, commit_id string")
+    got = sorted((r.name, int(r.commit_id[1:])) for r in H.reachable(index, refs).collect())
+    assert got == sorted((f"r{i}", p) for i in parents for p in walk(parents, i))
+    plan = H.reachable(index, refs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan  # no row is repeated for chains that might be hot
+
+
+def test_rows_written_for_an_index_do_not_grow_with_the_longest_line(spark, monkeypatch):
+    """One line of 2,000 commits: each is written a few times, not once per doubling step."""
+    monkeypatch.setattr(H, "BLOCK", 250, raising=False)
+    rows, cut = [], H.cut
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(H, "cut", counted)
+    index = H.index_commits(commits_frame(spark, {0: []} | {i: [i - 1] for i in range(1, 2000)}))
+    assert index.places.select("chain").distinct().count() == 1 and index.places.agg(F.max("pos")).first()[0] == 1999
+    assert sum(rows) < 5 * 2000
+
+
+def test_percentiles_without_a_task_that_holds_all_numbers(spark):
+    for numbers in ([5], [3, 9], [7, 7, 1, 40, None, 12, 12], list(range(0, 999, 7))):
+        df = spark.createDataFrame([(n,) for n in numbers], "commit_no long")
+        want = df.selectExpr("percentile(commit_no, array(0.5, 0.6, 0.8))").first()[0]
+        assert Q.percentiles(df, [0.5, 0.6, 0.8]) == want
+
+
+def test_only_hot_keys_are_salted(spark, monkeypatch):
+    from rowtrail.plans import joins
+
+    big = spark.range(300).selectExpr("CASE WHEN id < 200 THEN 1 WHEN id < 250 THEN NULL ELSE id END AS k", "id")
+    small = spark.createDataFrame([(1, "a"), (260, "b"), (None, "c")], "k long, v string")
+    key = lambda df: sorted(map(str, df.collect()))
+    for limit, salted in ((joins.HOT_ROWS, False), (40, True)):
+        monkeypatch.setattr(joins, "HOT_ROWS", limit)
+        for how in ("inner", "left", "left_anti", "left_semi"):
+            got = joins.salted_join(big, small, ["k"], how, 4, ["id"])
+            assert ("_salt" in got._jdf.queryExecution().optimizedPlan().toString()) == salted
+            assert key(got) == key(big.join(small, ["k"], how))
