@@ -269,3 +269,46 @@ def test_only_hot_keys_are_salted(spark, monkeypatch):
             got = joins.salted_join(big, small, ["k"], how, 4, ["id"])
             assert ("_salt" in got._jdf.queryExecution().optimizedPlan().toString()) == salted
             assert key(got) == key(big.join(small, ["k"], how))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_line_of_many_refs_is_listed_in_blocks(spark, monkeypatch, broadcast):
+    """One line of 400 commits with a ref on each: no task lists a large part of the 80,200 rows."""
+    monkeypatch.setattr(H, "LISTED", 32, raising=False)
+    monkeypatch.setattr(H, "BLOCKS", 50, raising=False)
+    if not broadcast:
+        monkeypatch.setattr("rowtrail.plans.joins.fits", lambda *_: False)
+    parents = {0: []} | {i: [i - 1] for i in range(1, 400)} | {400: [250], 401: [400]}
+    index = H.index_commits(commits_frame(spark, parents))
+    heads = [(f"r{i}", i) for i in range(400)] + [("side", 401), ("two", 401), ("two", 300), ("r7", 7), (None, 3), (None, 9), ("lost", 999)]
+    refs = spark.createDataFrame([(name, f"c{i}") for name, i in heads], "name string, commit_id string")
+    rows = H.reachable(index, refs)
+    want = {}
+    for name, i in heads[:-1]:
+        want.setdefault(name, set()).update(walk(parents, i))
+    got = rows.collect()
+    assert len(got) == sum(map(len, want.values()))
+    assert {(r.name, r.commit_id, r.commit_no) for r in got} == {(name, f"c{i}", i) for name, seen in want.items() for i in seen}
+    if broadcast:
+        tasks = rows.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in tasks) < len(got) / 4
+    assert "inline(_places" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_refs_are_listed_without_a_shuffle_of_all_places(spark):
+    index = H.index_commits(commits_frame(spark, {0: []} | {i: [i - 1] for i in range(1, 50)}))
+    refs = spark.createDataFrame([(f"r{i}", f"c{i}") for i in range(H.SHARED)], "name string, commit_id string")
+    rows = H.reachable(index, refs)
+    assert rows.count() == H.SHARED * (H.SHARED + 1) // 2
+    assert "Exchange hashpartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_refs_are_counted_whatever_their_names(spark, monkeypatch):
+    """Names that come twice, are null, or lie on no known commit."""
+    parents = {0: []} | {i: [i - 1] for i in range(1, 30)}
+    heads = [("a", "c4"), ("a", "c9"), ("a", "c9"), (None, "c2"), (None, "c1"), ("lost", "none"), *((f"r{i}", f"c{i}") for i in range(30))]
+    index, refs = H.index_commits(commits_frame(spark, parents)), spark.createDataFrame(heads, "name string, commit_id string")
+    monkeypatch.setattr(Q, "index", lambda *_: index)
+    monkeypatch.setattr(Q, "refs", lambda *_: refs)
+    got = sorted(((r.name or "", r.commits, r.first, r.last) for r in Q.QUERIES["v1_reachable_all_refs"](spark, "").collect()))
+    assert got == sorted([("", 3, 0, 2), ("a", 10, 0, 9), *((f"r{i}", i + 1, 0, i) for i in range(30))])
