@@ -57,14 +57,30 @@ def release() -> None:
         trim(0)
 
 
-def batches(make: Callable[[pa.RecordBatch], dict[str, object]], schema: T.StructType):
-    """A function for ``mapInArrow`` from one that makes the columns of a batch."""
+def sized(it: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``it`` in batches of about ``most`` bytes: small ones are joined, large ones cut."""
+    held, size = [], 0
+    for batch in it:
+        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            if held and size + part.nbytes > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
+def batches(make: Callable[[pa.RecordBatch], dict[str, object]], schema: T.StructType, most: int | None = None):
+    """A function for ``mapInArrow`` from one that makes the columns of a batch, of ``most`` bytes if given."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in sized(it, most) if most else it:
             cols = make(batch)
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in zip(arrow, cols.values(), strict=True)],

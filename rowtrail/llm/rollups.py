@@ -121,16 +121,16 @@ def count_tokens(df: DataFrame, file: str, id_col: str = "doc_id", text_col: str
     schema = with_fields(rows, source=T.StringType(), lang=T.StringType(), **counts)
 
     def run(batch: pa.RecordBatch) -> dict:
-        words, out = tokenfile.word_ids(file, "<u2"), {n: [] for n in counts}
-        for text in batch.column("text").to_pylist():
+        ids, out = tokenfile.word_ids(file, "<u2").encode(batch.column("text")), {n: [] for n in counts}
+        for text, own in zip(batch.column("text").to_pylist(), ids, strict=True):
             raw = text.encode()
-            parts, h = raw.split(), xxhash.xxh3_128_intdigest(raw)
-            values = ((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), len(text), len(parts), len(b"".join(map(words.__getitem__, parts))) // 2)
+            h = xxhash.xxh3_128_intdigest(raw)
+            values = ((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), len(text), len(raw.split()), len(own) // 2)
             for n, v in zip(counts, values, strict=True):
                 out[n].append(v)
         return {c: batch.column(c) for c in ("id", "source", "lang")} | out
 
-    return rows.mapInArrow(batches(run, schema), schema).withColumnRenamed("id", "doc_id")
+    return rows.mapInArrow(batches(run, schema, tokenfile.SLICE), schema).withColumnRenamed("id", "doc_id")
 
 
 def change_rows(counted: DataFrame, version: str, op: str, seq: int = 0) -> DataFrame:

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.taskcontext import TaskContext
 
@@ -24,6 +26,9 @@ from rowtrail.plans import scratch
 STEP = 128
 BLOCK = 1 << 16
 CACHE = 300_000  # words of one generation
+KNOWN = 1 << 19  # pieces of words
+SHORT = 64  # bytes of a word or piece that is kept
+SLICE = 8 << 20  # bytes of text that are encoded together
 
 # --- encoding -------------------------------------------------------------------------------------
 
@@ -40,12 +45,27 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+# What takes the whole tokenizer: words with other characters, with capitals whose lower case PIECES
+# does not know, and words that may hold a special token, which is found in the raw text.
+_FAR = "".join(c for c in map(chr, range(0x250)) if max(c.lower()) >= "ɐ")
+LONG = rf"[^\x{{0}}-\x{{24f}}]|[{_FAR}]|<\|"
+LINES = re.compile(PIECES.pattern + "|\n")
+
+
+def _joined(parts: pa.BinaryArray, bounds: np.ndarray) -> pa.BinaryArray:
+    """The values of ``parts`` from each bound to the next, end to end."""
+    _, ends, data = parts.buffers()
+    ends = np.frombuffer(ends, np.int32, len(parts) + 1, 4 * parts.offset)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends[bounds]), data or pa.py_buffer(b"")])
+
+
 class WordIds(dict):
     """Ids of white-space separated words, as little-endian bytes, by the word's bytes.
 
     The tokenizer drops white space and splits inside words only, so the ids of a text are those of
-    its words. Each new word is encoded once. Words of Latin letters take the model alone; all others
-    take the whole tokenizer.
+    its words. Texts are encoded together: every distinct word is split once, and pieces that are not
+    known yet take the model alone. Words that ``LONG`` finds take the whole tokenizer one by one;
+    those are the items kept here.
     """
 
     def __init__(self, file: str, width: str):
@@ -55,10 +75,12 @@ class WordIds(dict):
         self.old: dict[bytes, bytes] = {}  # the generation before; what is met again moves up, so frequent words stay
 
         self.all, self.width = Tokenizer.from_file(file), width
-        self.model, self.letters, self.pieces = self.all.model, _byte_letters(), {}
-        self.special = [t.content.encode() for t in self.all.get_added_tokens_decoder().values()]
+        self.model, self.letters = self.all.model, _byte_letters()
+        self.known, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())  # pieces and their ids, the last used first
 
     def __missing__(self, word: bytes) -> bytes:
+        if len(word) > SHORT:
+            return self._encoded(word)
         found = self.old.get(word)
         if len(self) >= CACHE:
             self.old = dict(self)
@@ -69,27 +91,52 @@ class WordIds(dict):
         return found
 
     def _encoded(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "surrogatepass")
-        low = text.lower()
-        # Special tokens are found in the raw text, so a word that may hold one takes the long way. Some
-        # letters below U+0250 have a lower case beyond, which PIECES does not know.
-        if text.isascii() or max(text) < "ɐ" and max(low) < "ɐ" and "İ" not in text:
-            plain = b"<|" not in word
-        else:
-            plain = False
-        if plain:
-            found = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES.findall(low)])
-        else:
-            found = np.array(self.all.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        return found
-
-    def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
-        found = np.array([t.id for t in self.model.tokenize(mapped)], self.width).tobytes()
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        self.pieces[piece] = found
-        return found
+        return np.array(self.all.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, self.width).tobytes()
+
+    def _modelled(self, pieces: list[str]) -> pa.BinaryArray:
+        if not pieces:
+            return pa.array([], pa.binary())
+        mapped = "\n".join(pieces).encode().decode("latin-1").translate(self.letters).split(chr(self.letters[10]))
+        ids = [[t.id for t in tokens] for tokens in map(self.model.tokenize, mapped)]
+        raw = np.fromiter(chain.from_iterable(ids), self.width).tobytes()
+        ends = np.cumsum([0, *map(len, ids)]) * np.dtype(self.width).itemsize
+        return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+
+    def _pieces(self, pieces: pa.StringArray) -> pa.BinaryArray:
+        """The ids of each of some distinct pieces; the last ``KNOWN`` short ones are kept."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = np.asarray(at.is_null())
+        at = np.asarray(at.fill_null(0)).astype(np.int64)
+        rest = np.ones(len(self.known), bool)
+        rest[at[~new]] = False
+        at[new] = len(self.known) + np.arange(new.sum())
+        ids = pa.concat_arrays([self.ids, self._modelled(pieces.filter(pa.array(new)).to_pylist())]).take(pa.array(at))
+        short, rest = pc.less_equal(pc.binary_length(pieces), SHORT), pa.array(rest)
+        self.known = pa.concat_arrays([pieces.filter(short), self.known.filter(rest)])[:KNOWN]
+        self.ids = pa.concat_arrays([ids.filter(short), self.ids.filter(rest)])[:KNOWN]
+        return ids
+
+    def _words(self, words: pa.StringArray) -> pa.BinaryArray:
+        """The ids of each of some distinct words."""
+        far = pc.match_substring_regex(words, LONG)
+        low = pc.utf8_lower(pc.if_else(far, "", words)).dictionary_encode()
+        lines = pc.binary_join(pa.ListArray.from_arrays([0, len(low.dictionary)], low.dictionary), "\n")[0].as_py() + "\n"
+        found = pa.array(LINES.findall(lines), pa.string()).dictionary_encode()
+        end = pc.index(found.dictionary, "\n").as_py()
+        ends = np.flatnonzero(np.asarray(found.indices) == end) + 1
+        known = self._pieces(pa.concat_arrays([found.dictionary[:end], found.dictionary[end + 1 :]]))
+        known = pa.concat_arrays([known[:end], pa.array([b""]), known[end:]])
+        ids = _joined(known.take(found.indices), np.concatenate([[0], ends])).take(low.indices)
+        long = words.filter(far).cast(pa.binary()).to_pylist()
+        return pc.replace_with_mask(ids, far, pa.array([self[w] for w in long], pa.binary())) if long else ids
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of each text."""
+        words = pc.ascii_split_whitespace(texts)  # may hold empty words, which have no ids
+        each = words.flatten().dictionary_encode()
+        if not len(each):
+            return [b""] * len(texts)
+        return _joined(self._words(each.dictionary).take(each.indices), np.asarray(words.offsets)).to_pylist()
 
 
 _CACHES: dict[tuple[str, str], WordIds] = {}  # of this worker process
@@ -111,12 +158,11 @@ def encode(df: DataFrame, file: str, vocabulary: int, end_id: int | None, id_col
     end = b"" if end_id is None else np.array([end_id], width).tobytes()
 
     def run(batch: pa.RecordBatch) -> dict:
-        get = word_ids(file, width).__getitem__
-        ids = [b"".join(map(get, t.split())) + end for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        ids = [x + end for x in word_ids(file, width).encode(batch.column("text"))]
         size = np.dtype(width).itemsize
         return {"id": batch.column("id"), "ids": ids, "n_tokens": [len(x) // size for x in ids]}
 
-    return rows.mapInArrow(batches(run, schema), schema)
+    return rows.mapInArrow(batches(run, schema, SLICE), schema)
 
 
 # --- code -----------------------------------------------------------------------------------------

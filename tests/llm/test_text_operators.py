@@ -9,13 +9,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from checks.compare import compare, duck_tables
-from rowtrail.llm import bpe, lines, queries, secrets, tokenfile
+from rowtrail.llm import bpe, common, lines, queries, secrets, tokenfile
 
 # Texts with nulls, empty and very long ones, repeated rows, and columns that clash with the operators' own.
 EDGES = [
@@ -206,6 +207,53 @@ def test_letters_whose_lower_case_lies_beyond_the_fast_path():
         assert got == words.all.encode(text, add_special_tokens=False).ids, text
 
 
+def whole(words, texts):
+    return [np.array(words.all.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("kept", [0, 3, 1 << 19])
+def test_texts_encoded_together_have_their_own_ids(monkeypatch, kept):
+    monkeypatch.setattr(tokenfile, "KNOWN", kept)
+    words = tokenfile.WordIds(WORD_FILE, "<u2")
+    far = [c for c in map(chr, range(0x250)) if max(c.lower()) >= "ɐ"]
+    rng = random.Random(21)
+    letters = [x for c in map(chr, range(0x250)) for x in (c, f" {c}li ", f"a{c}1", f"É{c}'s")]
+    mixed = ["".join(rng.choice(far + PIECES) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
+    for texts in (["", " \n", ""], [], letters, mixed, letters[::-1], ["\xa0", "\x85 \xa0"], ["W\u030a A\u0301 I\u0307 İ ſ K"]):
+        assert words.encode(pa.array(texts, pa.string())) == whole(words, texts)
+    assert len(words.known) == len(words.ids) <= kept
+
+
+def test_a_slice_of_texts_is_encoded_by_its_own_rows():
+    words, texts = tokenfile.WordIds(WORD_FILE, "<u2"), pa.array(["one two", "Three", "", "four's 5"])
+    assert words.encode(texts[1:3]) == whole(words, ["Three", ""]) and words.encode(texts[3:]) == whole(words, ["four's 5"])
+
+
+def test_a_piece_of_many_words_takes_the_model_once(monkeypatch):
+    words, made = tokenfile.WordIds(WORD_FILE, "<u2"), []
+    own = words._modelled
+    monkeypatch.setattr(words, "_modelled", lambda pieces: made.extend(pieces) or own(pieces))
+    for text in ("Word word. WORD, (word) Été", "word! été, other"):
+        assert words.encode(pa.array([text])) == whole(words, [text])
+    assert sorted(made) == sorted({"word", ".", ",", "(", ")", "été", "!", "other"})
+
+
+def test_long_words_are_not_kept():
+    words, texts = tokenfile.WordIds(WORD_FILE, "<u2"), ["ab " + "x" * 70 + " 中 " + "中" * 30, "é" * 33]
+    for _ in range(2):
+        assert words.encode(pa.array(texts)) == whole(words, texts)
+    assert words.known.to_pylist() == ["ab"] and list(words) == ["中".encode()]
+
+
+def test_batches_of_a_size():
+    rows = pa.record_batch({"text": ["x" * n for n in (5, 1, 90, 4, 0, 300, 2)]})
+    for step in (1, 3, 7):
+        for most in (1, 60, 10_000):
+            got = list(common.sized(iter([rows[i : i + step] for i in range(0, 7, step)]), most))
+            assert pa.Table.from_batches(got).equals(pa.Table.from_batches([rows]).combine_chunks()) and (most > 1 or len(got) == 7)
+    assert len(got) == 1 and list(common.sized(iter([]), 5)) == list(common.sized(iter([rows[:0]]), 5)) == []
+
+
 def test_token_file(spark, sf, edges, empty):
     tok = Tokenizer.from_file(WORD_FILE)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
