@@ -1,25 +1,27 @@
 """Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment of words.
 
 An alignment of m matched words and e errors has at most e + 1 runs of matches, so at least m - e - 1
-of the item's word pairs stand in the document: a score of s words takes s - 1 pairs. The document
-frequency of every pair of the benchmark is counted over the whole corpus, and the rarest pairs of an
-item, all but s - 2 of them, are its seeds: no alignment from the threshold on is without one. A
-document that holds a seed, and s - 1 of the item's pairs around it, is aligned with the item. The best
-local alignment, relative to the item's length, is the score: copies have 1, edited ones what their
-edits leave.
+of the item's word pairs stand in the document: a score of s words takes s - 1 pairs. One pass over the
+whole corpus counts the document frequency of every pair of the benchmark and keeps the documents that
+may hold an alignment: whichever s - 1 - h pairs of an item are left aside, h of the others must be there.
+The pairs of an item that are rarest in the corpus, all but s - 2 of them, are its seeds: no alignment
+from the threshold on is without one. A kept document that holds a seed, and s - 1 of the item's pairs
+around it, is aligned with the item. The best local alignment, relative to the item's length, is the
+score: copies have 1, edited ones what their edits leave.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rowtrail.llm.common import mix64, release, texts, with_fields
+from rowtrail.llm.common import mix64, release, texts, with_fields, written
 
 GRAM = 2
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -27,35 +29,24 @@ BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 1, -1, -1
 WORD = re.compile(r"[^\W_]+")
 FILTER_BITS = 18
-CACHE = 200_000
+HITS = 8
+PLACES = 1_000_000
 
 # Every ASCII character that is no letter or digit, as a blank.
 BLANKED = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 
-class TextHashes(dict):
-    """64-bit hashes by word; forgets all when it grows beyond its bound."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
-
-
-def word_hashes(text: str, hashes: TextHashes) -> np.ndarray:
-    """Hashes of the words of ``text`` (runs of letters and digits, in lower case) in order."""
+def split_words(text: str) -> list[str]:
+    """The words of ``text`` (runs of letters and digits, in lower case) in order."""
     text = text.lower()
-    words = text.translate(BLANKED).split() if text.isascii() else WORD.findall(text)
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    return text.translate(BLANKED).split() if text.isascii() else WORD.findall(text)
 
 
-def _of_size(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` words; each place in a run has a factor of its own."""
-    n = len(words) - size + 1
-    total = np.full(n, size, np.uint64)
+def _of_size(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words that begin at ``at``; each place in a run has a factor of its own."""
+    total = np.full(len(at), size, np.uint64)
     for k in range(size):
-        total += words[k : k + n] * FACTORS[k]
+        total += words[at + k] * FACTORS[k]
     return mix64(total)
 
 
@@ -74,17 +65,25 @@ class Items:
 
     def __init__(self, rows: list[tuple[object, str]], threshold: float):
         self.ids = [i for i, _ in rows]
-        hashes = TextHashes()
-        self.words = [word_hashes(t, hashes) for _, t in rows]
+        listed = [split_words(t) for _, t in rows]
+        # 64-bit hashes of the block's words; 0 stands for every other word.
+        self.hashes = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) or 1 for words in listed for w in words}
+        self.words = [self.hashed(words) for words in listed]
         sizes = [gram_size(len(w), threshold) for w in self.words]
-        grams = [_of_size(w, n) if n else w for w, n in zip(self.words, sizes, strict=True)]
+        grams = [_of_size(w, np.arange(len(w) - n + 1), n) if n else w for w, n in zip(self.words, sizes, strict=True)]
         # The least grams that an alignment from the threshold on keeps.
         self.least = np.array([least_score(len(w), threshold) - 1 if len(w) > GRAM == n else 1 for w, n in zip(self.words, sizes, strict=True)], np.int64)
+        # As many of them are asked of a row to be kept, among the grams that are rarest in the block.
+        self.hits = np.minimum(self.least, HITS)
         self.sizes = sorted({n for n in sizes if n})
         self.known = np.unique(np.concatenate([*grams, np.zeros(0, np.uint64)]))
         # Per item, the index in ``known`` of the gram at each of its positions.
         self.grams = [np.searchsorted(self.known, g) for g in grams]
 
+    def hashed(self, words: list[str]) -> np.ndarray:
+        """The hash of each word, 0 for words that no item of the block has."""
+        return np.fromiter(map(self.hashes.get, words, repeat(0)), np.uint64, len(words))
+
     def lookup(self):
         """A function that gives (position, index into ``known``) of a document's grams that are in it."""
         wanted = self.known
@@ -92,12 +91,14 @@ class Items:
         seen[wanted >> np.uint64(64 - FILTER_BITS)] = True
 
         def find(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            grams = [_of_size(words, n) for n in self.sizes if len(words) >= n]
-            ats, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for g in grams:
-                at = np.flatnonzero(seen[g >> np.uint64(64 - FILTER_BITS)])
-                index = np.minimum(np.searchsorted(wanted, g[at]), max(0, len(wanted) - 1))
-                hit = wanted[index] == g[at] if len(wanted) else np.zeros(0, bool)
+            ats, found, known = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], words != 0
+            for n in self.sizes:
+                at = np.flatnonzero(np.logical_and.reduce([known[k : len(known) - n + 1 + k] for k in range(n)]))
+                g = _of_size(words, at, n)
+                likely = seen[g >> np.uint64(64 - FILTER_BITS)]
+                at, g = at[likely], g[likely]
+                index = np.minimum(np.searchsorted(wanted, g), max(0, len(wanted) - 1))
+                hit = wanted[index] == g if len(wanted) else np.zeros(0, bool)
                 ats.append(at[hit])
                 found.append(index[hit])
             return np.concatenate(ats), np.concatenate(found)
@@ -146,34 +147,14 @@ def _windows(at: np.ndarray, size: int, slack: int, length: int) -> list[tuple[i
     return [(a, b) for a, b in found]
 
 
-def _count(rows: DataFrame, items: Items) -> np.ndarray:
-    """In how many rows of the corpus each known gram occurs; summed per task before the exchange."""
-    n = len(items.known)
-
-    def run(it):
-        find, total, hashes = items.lookup(), np.zeros(n, np.int64), TextHashes()
-        for batch in it:
-            for text in batch.column("text"):
-                total[np.unique(find(word_hashes(text.as_py(), hashes))[1])] += 1
-        del hashes
-        release()
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["gram", "n"])
-
-    counts = np.zeros(n, np.int64)
-    for row in rows.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        counts[row["gram"]] = row["n"]
-    return counts
-
-
-def _seeds(items: Items, counts: np.ndarray) -> list[np.ndarray]:
-    """Per item, the positions of its seeds: the rarest grams, as many as no kept alignment can be without.
+def _seeds(items: Items, counts: np.ndarray, hits: np.ndarray | int = 1) -> list[np.ndarray]:
+    """Per item, the positions of its rarest grams, as many as no kept alignment can be without ``hits`` of them.
 
-    Grams that no document holds match nothing and are left out.
+    Grams without a count match nothing and are left out.
     """
     found = []
-    for grams, least in zip(items.grams, items.least.tolist(), strict=True):
-        order = np.lexsort((np.arange(len(grams)), counts[grams]))[: max(0, len(grams) - least + 1)]
+    for grams, most in zip(items.grams, (hits - items.least).tolist(), strict=True):
+        order = np.lexsort((np.arange(len(grams)), counts[grams]))[: max(0, len(grams) + most)]
         found.append(np.sort(order[counts[grams[order]] > 0]))
     return found
 
@@ -195,6 +176,57 @@ class Places:
         return np.repeat(at, n), self.item[index], self.position[index]
 
 
+def _promising(items: Items, rare: Places, doc: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The documents that hold enough of an item's rare grams, from (document, gram) in order, each once.
+
+    Some ``PLACES`` places are listed at a time, or those of one document.
+    """
+    if not len(doc):
+        return doc
+    begin = np.flatnonzero(np.r_[True, np.diff(doc) > 0])
+    sizes = np.cumsum(np.add.reduceat(rare.first[gram + 1] - rare.first[gram], begin)) // PLACES
+    cuts, n, found = begin[np.r_[True, np.diff(sizes) > 0]].tolist(), len(items.ids), []
+    for lo, hi in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+        own, item, _ = rare.of(doc[lo:hi], gram[lo:hi])
+        pair, hits = np.unique(own * n + item, return_counts=True)
+        found.append(np.unique(pair[hits >= items.hits[pair % n]] // n))
+    return np.concatenate(found)
+
+
+def _scan(rows: DataFrame, items: Items) -> tuple[np.ndarray, DataFrame]:
+    """In how many rows of the corpus each known gram occurs, and the rows that may hold an item, written.
+
+    Both come from one pass over the corpus: a task's counts follow its rows, summed.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    n = len(items.known)
+    rare = Places(items, _seeds(items, np.bincount(np.concatenate([*items.grams, np.zeros(0, np.int64)]), minlength=n), items.hits))
+    fields = [("id", rows.schema["id"].dataType), ("text", T.StringType()), ("gram", T.LongType()), ("n", T.LongType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+
+    def run(it):
+        arrow, find, total, other = to_arrow_schema(schema), items.lookup(), np.zeros(n, np.int64), np.zeros(1, np.uint64)
+        for batch in it:
+            # An unknown word after each text: no gram reaches into the next one.
+            parts = [x for text in batch.column("text") for x in (items.hashed(split_words(text.as_py())), other)]
+            ends = np.cumsum([len(x) + 1 for x in parts[::2]], dtype=np.int64)
+            at, gram = find(np.concatenate([*parts, other]))
+            doc, gram = np.divmod(np.unique(np.searchsorted(ends, at, side="right") * n + gram), max(1, n))
+            total += np.bincount(gram, minlength=n)
+            kept = pa.array(_promising(items, rare, doc, gram), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(kept), batch.column("text").take(kept), *[pa.nulls(len(kept), pa.int64())] * 2], schema=arrow)
+            del batch, parts
+        release()
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(used), arrow.field(c).type) for c in range(2)), pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], schema=arrow)
+
+    both, counts = written(rows.select("id", "text").mapInArrow(run, schema), "decontam"), np.zeros(n, np.int64)
+    for row in both.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        counts[row["gram"]] = row["n"]
+    return counts, both.filter("gram IS NULL").select("id", "text")
+
+
 def find_leaks(
     df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     threshold: float = 0.5, block_words: int = BLOCK_WORDS,
@@ -205,7 +237,8 @@ def find_leaks(
     whatever its edits; seeds have no upper frequency. Null and empty texts, of documents and of
     items, match nothing; an item of fewer than three words is looked up whole. Ids may be null or
     repeat; equal rows of the result are merged. The benchmark is read in blocks of about
-    ``block_words`` words, each of which passes over the corpus twice without shuffling texts.
+    ``block_words`` words, each of which passes over the corpus once without shuffling texts; documents that
+    may hold an item are written to the session's shared folder and read again.
     """
     rows, listed = texts(df, id_col, text_col), texts(benchmark, item_col, item_text)
     kind, spark = listed.schema["id"].dataType, df.sparkSession
@@ -215,8 +248,9 @@ def find_leaks(
     for k in range(n_blocks):
         block = listed.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k).distinct()
         items = Items([(r["id"], r["text"]) for r in block.collect()], threshold)  # a block of bounded size
-        places = Places(items, _seeds(items, _count(rows, items)))
-        found = rows.mapInArrow(_searcher(items, places, threshold, schema), schema).distinct()
+        counts, kept = _scan(rows, items)
+        places = Places(items, _seeds(items, counts))
+        found = kept.mapInArrow(_searcher(items, places, threshold, schema), schema).distinct()
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "start", "end")
 
@@ -250,11 +284,11 @@ def _searcher(items: Items, places: Places, threshold: float, schema: T.StructTy
     def run(it):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow, find, present, hashes = to_arrow_schema(schema), items.lookup(), np.zeros(len(items.known), bool), TextHashes()
+        arrow, find, present = to_arrow_schema(schema), items.lookup(), np.zeros(len(items.known), bool)
         for batch in it:
             owner, found = [], []
             for i, text in enumerate(batch.column("text")):
-                for leak in leaks(word_hashes(text.as_py(), hashes), find, present):
+                for leak in leaks(items.hashed(split_words(text.as_py())), find, present):
                     owner.append(i)
                     found.append(leak)
             columns = [batch.column("id").take(pa.array(owner, pa.int64())), *(pa.array([x[c] for x in found], arrow.field(c + 1).type) for c in range(4))]

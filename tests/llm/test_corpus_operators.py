@@ -380,6 +380,51 @@ def test_few_words_in_any_order_by_full_alignment(spark, threshold):
     assert {(r["doc_id"], r["item_id"], r["score"]) for r in got.collect()} == want
 
 
+def test_decontamination_reads_the_corpus_once_and_rereads_promising_rows_only(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefghijklmnop") + rng.choice("äbcd")
+    items = [(k, " ".join(word() for _ in range(rng.choice([1, 3, 9, 30, 60])))) for k in range(30)]
+    docs = []
+    for k in range(400):
+        own = [word() for _ in range(rng.randint(0, 40))]
+        if k % 10 == 0:  # an edited copy
+            own += [word() if rng.random() < 0.15 else w for w in items[rng.randrange(30)][1].split()]
+        docs.append((k if k % 7 else None, None if k % 50 == 9 else " ".join(own)))
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(it):
+        for batch in it:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "doc_id long, text string"
+    df = spark.createDataFrame(docs, schema).mapInArrow(passed, schema)
+    got = decontam.find_leaks(df, spark.createDataFrame(items, "item_id long, text string"))
+    best = {(d, i, s / len(b.split())) for d, a in docs for i, b in items if (s := plain_align(b.split(), (a or "").split())) >= 0.5 * len(b.split())}
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in got.collect()} == best and read.value == len(docs)
+
+    known = decontam.Items([(i, t) for i, t in items if len(t.split()) > 8], 0.5)
+    counts, kept = decontam._scan(decontam.texts(spark.createDataFrame(docs, schema)), known)
+    own = [set(known.lookup()(known.hashed((t or "").split()))[1].tolist()) for _, t in docs]
+    assert counts.tolist() == [sum(g in grams for grams in own) for g in range(len(known.known))] and counts.any()
+    enough = [k for k, grams in enumerate(own) if any(sum(g in grams for g in item.tolist()) >= least for item, least in zip(known.grams, known.least, strict=True))]
+    found = Counter((r["id"], r["text"]) for r in kept.collect())
+    assert not Counter((docs[k][0], docs[k][1] or "") for k in enough) - found and len(enough) <= found.total() < 100
+
+
+def test_places_of_many_documents_are_listed_in_parts(monkeypatch):
+    items = decontam.Items([(k, f"a b c d e f g h {k} {k + 1} {k + 2}") for k in range(20)], 0.5)
+    rare = decontam.Places(items, decontam._seeds(items, np.ones(len(items.known), np.int64), items.hits))
+    find, texts = items.lookup(), ["a b c d e f g h", "", "none", "a b", "x a b c d e f g h y", "3 4 5"]
+    hits = [np.unique(find(items.hashed(t.split()))[1]) for t in texts]
+    doc, gram = np.repeat(np.arange(len(texts)), [len(h) for h in hits]), np.concatenate(hits)
+    whole = decontam._promising(items, rare, doc, gram).tolist()
+    assert whole == [0, 4]
+    for places in (1, 50, 250):
+        monkeypatch.setattr(decontam, "PLACES", places)
+        assert decontam._promising(items, rare, doc, gram).tolist() == whole
+
+
 # --- pipeline -------------------------------------------------------------------------------------
 
 
