@@ -295,6 +295,27 @@ def test_a_line_of_many_refs_is_listed_in_blocks(spark, monkeypatch, broadcast):
     assert "inline(_places" in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_blocks_too_large_to_broadcast_are_listed_in_tiles(spark, monkeypatch):
+    """Two lines with a ref on each commit: tasks stay small without a broadcast, and no row is salted."""
+    monkeypatch.setattr("rowtrail.plans.joins.HOT_ROWS", 20)
+    parents = {0: []} | {i: [i - 1] for i in range(1, 200)} | {200: []} | {i: [i - 1] for i in range(201, 280)}
+    index = H.index_commits(commits_frame(spark, parents))
+    monkeypatch.setattr("rowtrail.plans.joins.fits", lambda *_: False)
+    heads = [(f"r{i}", i) for i in parents] + [(None, 279), (None, 5), ("r7", 190), ("lost", 999)]
+    refs = spark.createDataFrame([(name, f"c{i}") for name, i in heads], "name string, commit_id string")
+    want = {(name, f"c{i}", i) for name, head in heads[:-1] for i in walk(parents, head)}
+    for listed, blocks in ((32, 20), (2, 800)):
+        monkeypatch.setattr(H, "LISTED", listed)
+        monkeypatch.setattr(H, "BLOCKS", blocks)
+        monkeypatch.setattr(H, "DEALT", 300, raising=False)
+        rows = H.reachable(index, refs).withColumn("task", F.spark_partition_id())
+        got = rows.collect()
+        assert len(got) == len(want) and {(r.name, r.commit_id, r.commit_no) for r in got} == want
+        tasks = [r.task for r in got]
+        assert max(map(tasks.count, set(tasks))) < len(got) / 3
+        assert "_salt" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_few_refs_are_listed_without_a_shuffle_of_all_places(spark):
     index = H.index_commits(commits_frame(spark, {0: []} | {i: [i - 1] for i in range(1, 50)}))
     refs = spark.createDataFrame([(f"r{i}", f"c{i}") for i in range(H.SHARED)], "name string, commit_id string")
